@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BLOCK = 1024
 
-BlockFunction = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Stations = dict[str, np.ndarray]
+BlockFunction = Callable[[Stations, Stations], Stations]
 
 
 def largest_snapshot(points: DataFrame, by: str = "ts") -> int:
@@ -25,18 +26,62 @@ def largest_snapshot(points: DataFrame, by: str = "ts") -> int:
     return int(row[0] or 0)
 
 
+def to_stations(table: pa.Table) -> Stations:
+    """Column arrays ordered by station name."""
+    arrays = {c: table.column(c).to_numpy() for c in table.column_names}
+    order = np.argsort(arrays["station_id"], kind="stable")
+    return {c: v[order] for c, v in arrays.items()}
+
+
+def take(stations: Stations, rows: np.ndarray) -> Stations:
+    return {c: v[rows] for c, v in stations.items()}
+
+
+def to_table(out: Stations, schema: pa.Schema, **constants) -> pa.Table:
+    n = len(next(iter(out.values())))
+    arrays = [
+        pa.array(out[f.name], f.type) if f.name in out
+        else pa.repeat(constants[f.name].cast(f.type), n)
+        for f in schema
+    ]
+    return pa.Table.from_arrays(arrays, schema=schema)
+
+
+_ARROW = {
+    "string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(),
+    "timestamp": pa.timestamp("us", tz="UTC"), "timestamp_ntz": pa.timestamp("us"),
+    "date": pa.date32(),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow schema of a flat DDL string of the types above."""
+    pairs = [part.split() for part in ddl.split(",")]
+    return pa.schema([(name, _ARROW[kind]) for name, kind in pairs])
+
+
+def spread_evenly(points: DataFrame, *keys: str) -> DataFrame:
+    """One exchange on the keys with a fixed number of tasks: a snapshot is few bytes but much
+    arithmetic, so merging small partitions by size would leave cores idle."""
+    spark = points.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    return points.repartition(tasks, *keys)
+
+
 def per_snapshot(
     points: DataFrame, fn: BlockFunction, schema: str, by: str = "ts"
 ) -> DataFrame:
     """``fn(queries, candidates)`` with both sides the whole snapshot."""
+    ddl = f"{by} {points.schema[by].dataType.simpleString()}, {schema}"
+    arrow = arrow_schema(ddl)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("station_id", ignore_index=True)
-        out = fn(pdf, pdf)
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
+    def run(table: pa.Table) -> pa.Table:
+        stations = to_stations(table.drop_columns([by]))
+        return to_table(fn(stations, stations), arrow, **{by: table.column(by)[0]})
 
-    return points.groupBy(by).applyInPandas(run, f"{by} {points.schema[by].dataType.simpleString()}, {schema}")
+    return spread_evenly(points, by).groupBy(by).applyInArrow(run, ddl)
 
 
 def per_block_pair(
@@ -63,35 +108,37 @@ def per_block_pair(
     as_candidate = F.transform(
         F.filter(others, lambda i: i != mine), lambda i: role(i, mine, F.lit(False), F.lit(True))
     )
-    cols = points.columns
     spread = (
         points.join(chunks, by)
         .withColumn("_own", own)
-        .select(*cols, F.inline(F.concat(as_query, as_candidate)))
+        .select(*points.columns, F.inline(F.concat(as_query, as_candidate)))
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("station_id", ignore_index=True)
-        queries = pdf[pdf["_query"]].reset_index(drop=True)
-        candidates = pdf[pdf["_candidate"]].reset_index(drop=True)
-        out = fn(queries, candidates)
-        out.insert(0, "q_chunk", pdf["q_chunk"].iloc[0])
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
-
-    kind = points.schema[by].dataType.simpleString()
-    return spread.groupBy(by, "q_chunk", "c_chunk").applyInPandas(
-        run, f"{by} {kind}, q_chunk int, {schema}"
+    ddl = f"{by} {points.schema[by].dataType.simpleString()}, q_chunk int, {schema}"
+    arrow = arrow_schema(ddl)
+
+    def run(table: pa.Table) -> pa.Table:
+        constants = {by: table.column(by)[0], "q_chunk": table.column("q_chunk")[0]}
+        stations = to_stations(table.drop_columns([by, "q_chunk", "c_chunk"]))
+        as_query, as_candidate = (stations.pop(c).astype(bool) for c in ("_query", "_candidate"))
+        queries, candidates = take(stations, as_query), take(stations, as_candidate)
+        return to_table(fn(queries, candidates), arrow, **constants)
+
+    return (
+        spread_evenly(spread, by, "q_chunk", "c_chunk")
+        .groupBy(by, "q_chunk", "c_chunk").applyInArrow(run, ddl)
     )
 
 
-def distances(queries: pd.DataFrame, candidates: pd.DataFrame) -> np.ndarray:
+def distances(queries: Stations, candidates: Stations) -> np.ndarray:
     """Straight-line km between Cartesian positions; infinite from a station to itself."""
-    squares = np.zeros((len(queries), len(candidates)))
+    squares = np.zeros((len(queries["x"]), len(candidates["x"])))
     for axis in ("x", "y", "z"):
-        gap = queries[axis].to_numpy()[:, None] - candidates[axis].to_numpy()[None, :]
+        gap = queries[axis][:, None] - candidates[axis][None, :]
         squares += gap * gap
     out = np.sqrt(squares)
-    same = queries["station_id"].to_numpy()[:, None] == candidates["station_id"].to_numpy()[None, :]
-    out[same] = np.inf
+    out[same_station(queries, candidates)] = np.inf
     return out
+
+
+def same_station(queries: Stations, candidates: Stations) -> np.ndarray:
+    return queries["station_id"][:, None] == candidates["station_id"][None, :]

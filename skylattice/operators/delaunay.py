@@ -9,9 +9,10 @@ of both hulls' corners, so partial results of blocks combine without loss.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skylattice.constants import PLANE_LAT0
 from skylattice.functions.geodesy import scaled_lon
 from skylattice.operators import blocks
 
@@ -63,17 +64,20 @@ def star(dx: np.ndarray, dy: np.ndarray) -> tuple[list[int], bool]:
     return [int(pool[c - 1]) for c in ring], False
 
 
-def _unique_positions(frame: pd.DataFrame) -> pd.DataFrame:
+def _unique_positions(stations: blocks.Stations) -> blocks.Stations:
     """Of stations at one place only the first by name takes part."""
-    return frame.drop_duplicates(["px", "py"], keep="first", ignore_index=True)
+    places = np.stack([stations["px"], stations["py"]], axis=1)
+    _, first = np.unique(places, axis=0, return_index=True)
+    return blocks.take(stations, np.sort(first))
 
 
-def _stars(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[int, np.ndarray, bool]]:
-    qx, qy = queries["px"].to_numpy(), queries["py"].to_numpy()
-    cx, cy = candidates["px"].to_numpy(), candidates["py"].to_numpy()
+def _stars(
+    queries: blocks.Stations, candidates: blocks.Stations
+) -> list[tuple[int, np.ndarray, bool]]:
+    """(query, neighbour indices around it, ring closed) of every query with a neighbour."""
     out = []
-    for i in range(len(queries)):
-        dx, dy = cx - qx[i], cy - qy[i]
+    for i, (x, y) in enumerate(zip(queries["px"], queries["py"], strict=True)):
+        dx, dy = candidates["px"] - x, candidates["py"] - y
         others = np.flatnonzero((dx != 0) | (dy != 0))
         if len(others):
             ring, closed = star(dx[others], dy[others])
@@ -81,39 +85,41 @@ def _stars(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[int, n
     return out
 
 
-def _edges(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    queries, candidates = _unique_positions(queries), _unique_positions(candidates)
+def _spokes(
+    queries: blocks.Stations, candidates: blocks.Stations
+) -> tuple[np.ndarray, np.ndarray]:
     stars = _stars(queries, candidates)
-    src = np.concatenate([np.full(len(n), i) for i, n, _ in stars]) if stars else np.array([], int)
-    dst = np.concatenate([n for _, n, _ in stars]) if stars else np.array([], int)
-    src, dst = src.astype(int), dst.astype(int)
-    gap = np.abs(queries["alt"].to_numpy()[src] - candidates["alt"].to_numpy()[dst]) / 1000.0
-    return pd.DataFrame(
-        {
-            "src": queries["station_id"].to_numpy()[src],
-            "dst": candidates["station_id"].to_numpy()[dst],
-            "alt_diff_km": gap,
-        }
-    )
+    src = [i for i, ring, _ in stars for _ in ring]
+    dst = [j for _, ring, _ in stars for j in ring]
+    return np.array(src, dtype=int), np.array(dst, dtype=int)
 
 
-def _ring_rows(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _edges(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
     queries, candidates = _unique_positions(queries), _unique_positions(candidates)
-    frames = []
-    for i, ring, _ in _stars(queries, candidates):
-        frame = candidates.iloc[ring][["station_id", "px", "py", "alt"]].reset_index(drop=True)
-        frame.insert(0, "src", queries["station_id"].iloc[i])
-        for c in ("px", "py", "alt"):
-            frame.insert(1, f"src_{c}", queries[c].iloc[i])
-        frames.append(frame)
-    names = ["src", "src_alt", "src_py", "src_px", "station_id", "px", "py", "alt"]
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=names)
-
-
-def plane(nodes: DataFrame, by: str, extra: tuple[str, ...] = ("alt",)) -> DataFrame:
-    """Distinct station positions on the local plane, one row per snapshot and station."""
+    src, dst = _spokes(queries, candidates)
+    return {
+        "src": queries["station_id"][src],
+        "dst": candidates["station_id"][dst],
+        "alt_diff_km": np.abs(queries["alt"][src] - candidates["alt"][dst]) / 1000.0,
+    }
+
+
+def _partial_rings(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+    """Neighbours within one block, with what it takes to merge them."""
+    src, dst = _spokes(queries, candidates)
+    out = {"src": queries["station_id"][src], "station_id": candidates["station_id"][dst]}
+    for c in ("px", "py", "alt"):
+        out[f"src_{c}"] = queries[c][src]
+        out[c] = candidates[c][dst]
+    return out
+
+
+def plane(
+    nodes: DataFrame, by: str, extra: tuple[str, ...] = ("alt",), lat0: float = PLANE_LAT0
+) -> DataFrame:
+    """Station positions on the local plane at ``lat0`` (0 leaves degrees unscaled)."""
     return nodes.select(
-        by, "station_id", scaled_lon("lon").alias("px"), F.col("lat").alias("py"),
+        by, "station_id", scaled_lon("lon", lat0).alias("px"), F.col("lat").alias("py"),
         *[F.col(c).cast("double").alias(c) for c in extra],
     )
 
@@ -121,67 +127,72 @@ def plane(nodes: DataFrame, by: str, extra: tuple[str, ...] = ("alt",)) -> DataF
 EDGE_SCHEMA = "src string, dst string, alt_diff_km double"
 
 
-def delaunay_edges(nodes: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK) -> DataFrame:
+def delaunay_edges(
+    nodes: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK, lat0: float = PLANE_LAT0
+) -> DataFrame:
     """``ts, src, dst, alt_diff_km``, both directions of every Delaunay edge of the snapshot.
     Four stations on one circle get no diagonal; stations at one place are taken once."""
-    flat = plane(nodes, by)
+    flat = plane(nodes, by, lat0=lat0)
     if blocks.largest_snapshot(flat, by) <= max_block:
         return blocks.per_snapshot(flat, _edges, EDGE_SCHEMA, by)
     # coincident stations may sit in different chunks
     first = F.min("station_id").alias("station_id")
     flat = flat.groupBy(by, "px", "py").agg(first, F.min_by("alt", "station_id").alias("alt"))
     partial = blocks.per_block_pair(
-        flat, _ring_rows,
-        "src string, src_alt double, src_py double, src_px double,"
-        " station_id string, px double, py double, alt double",
+        flat, _partial_rings,
+        "src string, station_id string, src_px double, px double, src_py double, py double,"
+        " src_alt double, alt double",
         by, max_block,
     )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    ddl = f"{by} {nodes.schema[by].dataType.simpleString()}, {EDGE_SCHEMA}"
+    arrow = blocks.arrow_schema(ddl)
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = blocks.to_stations(table.drop_columns([by, "q_chunk"]))
+        order = np.argsort(rows["src"], kind="stable")
+        rows = blocks.take(rows, order)
+        starts = np.flatnonzero(np.r_[True, rows["src"][1:] != rows["src"][:-1]])
         parts = []
-        for _, rows in pdf.groupby("src", sort=False):
-            head = rows.iloc[:1]
-            query = pd.DataFrame(
-                {
-                    "station_id": head["src"].to_numpy(), "px": head["src_px"].to_numpy(),
-                    "py": head["src_py"].to_numpy(), "alt": head["src_alt"].to_numpy(),
-                }
-            )
-            parts.append(_edges(query, rows.reset_index(drop=True)))
-        out = pd.concat(parts, ignore_index=True)
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
-
-    kind = nodes.schema[by].dataType.simpleString()
-    return partial.groupBy(by, "q_chunk", F.pmod(F.xxhash64("src"), F.lit(16))).applyInPandas(
-        merge, f"{by} {kind}, {EDGE_SCHEMA}"
+        for lo, hi in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+            candidates = blocks.take(rows, np.arange(lo, hi))
+            query = {"station_id": candidates["src"][:1]}
+            query.update({c: candidates[f"src_{c}"][:1] for c in ("px", "py", "alt")})
+            parts.append(_edges(query, candidates))
+        out = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
+
+    # the parts of one station meet here: its neighbours in each block, about six a block
+    return (
+        partial.withColumn("_slice", F.pmod(F.xxhash64("src"), F.lit(16)))
+        .groupBy(by, "q_chunk", "_slice")
+        .applyInArrow(lambda t: merge(t.drop_columns(["_slice"])), ddl)
     )
 
 
 def delaunay_triangles(
-    points: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK
+    points: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK, lat0: float = PLANE_LAT0
 ) -> DataFrame:
     """``ts, a, b, c`` with a the first station by name, once per triangle. From the edges: a
     triangle is three mutual neighbours, consecutive around each of its corners."""
 
-    def triangles(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def triangles(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         unique = _unique_positions(candidates)
-        names = unique["station_id"].to_numpy()
+        names = unique["station_id"]
         rows = []
         for i, ring, closed in _stars(unique, unique):
             following = np.roll(ring, -1)
             if not closed:
                 ring, following = ring[:-1], following[:-1]
             keep = (ring > i) & (following > i)
-            rows.extend((names[i], names[j], names[k]) for j, k in
-                        zip(ring[keep], following[keep], strict=True))
-        return pd.DataFrame(rows, columns=["a", "b", "c"])
+            rows.extend((i, j, k) for j, k in zip(ring[keep], following[keep], strict=True))
+        corners = np.array(rows, dtype=int).reshape(-1, 3)
+        return {c: names[corners[:, n]] for n, c in enumerate("abc")}
 
-    flat = plane(points, by, ())
+    flat = plane(points, by, (), lat0)
     if blocks.largest_snapshot(flat, by) <= max_block:
         return blocks.per_snapshot(flat, triangles, "a string, b string, c string", by)
 
-    edges = delaunay_edges(points.withColumn("alt", F.lit(0.0)), by, max_block)
+    edges = delaunay_edges(points.withColumn("alt", F.lit(0.0)), by, max_block, lat0)
     at = flat.select(by, F.col("station_id").alias("dst"), "px", "py")
     origin = flat.select(
         by, F.col("station_id").alias("src"), F.col("px").alias("ox"), F.col("py").alias("oy")

@@ -6,7 +6,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skylattice.constants import EARTH_RADIUS_KM, EDGE_ATTRIBUTES, EDGE_DIFFS, HAVERSINE_EPS
@@ -29,17 +28,15 @@ def positions(nodes: DataFrame, by: str = "ts") -> DataFrame:
 
 
 def _pairs_within(
-    queries: pd.DataFrame, candidates: pd.DataFrame, dist: np.ndarray, radius: np.ndarray
-) -> pd.DataFrame:
+    queries: blocks.Stations, candidates: blocks.Stations, dist: np.ndarray, radius: np.ndarray
+) -> blocks.Stations:
     src, dst = np.nonzero(dist <= radius[:, None])
-    gap = np.abs(queries["alt"].to_numpy()[src] - candidates["alt"].to_numpy()[dst]) / 1000.0
-    return pd.DataFrame(
-        {
-            "src": queries["station_id"].to_numpy()[src],
-            "dst": candidates["station_id"].to_numpy()[dst],
-            "alt_diff_km": gap,
-        }
-    )
+    return {
+        "src": queries["station_id"][src],
+        "dst": candidates["station_id"][dst],
+        "alt_diff_km": np.abs(queries["alt"][src] - candidates["alt"][dst]) / 1000.0,
+        "km": dist[src, dst],
+    }
 
 
 def _kth(dist: np.ndarray, k: int) -> np.ndarray:
@@ -52,9 +49,9 @@ def _kth(dist: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _range_block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _range_block(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
     dist = blocks.distances(queries, candidates)
-    return _pairs_within(queries, candidates, dist, queries["radius"].to_numpy())
+    return _pairs_within(queries, candidates, dist, queries["radius"])
 
 
 def adaptive_radius_edges(
@@ -64,19 +61,17 @@ def adaptive_radius_edges(
     """Directed edges to every station within ``scale`` times the distance to the k-th nearest."""
     at = positions(nodes, by)
 
-    def whole(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         dist = blocks.distances(queries, candidates)
         return _pairs_within(queries, candidates, dist, _kth(dist, k) * scale)
 
     if blocks.largest_snapshot(at, by) <= max_block:
         return blocks.per_snapshot(at, whole, EDGE_SCHEMA, by)
 
-    def nearest(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def nearest(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         dist = np.sort(blocks.distances(queries, candidates), axis=1)[:, :k]
         row, col = np.nonzero(np.isfinite(dist))
-        return pd.DataFrame(
-            {"station_id": queries["station_id"].to_numpy()[row], "d": dist[row, col]}
-        )
+        return {"station_id": queries["station_id"][row], "d": dist[row, col]}
 
     near = blocks.per_block_pair(at, nearest, "station_id string, d double", by, max_block)
     rank = F.row_number().over(Window.partitionBy(by, "station_id").orderBy("d"))
@@ -92,7 +87,7 @@ BINS = 65536
 DIAMETER_KM = 2.0 * (EARTH_RADIUS_KM + 100.0)
 
 
-def _with_self(queries: pd.DataFrame, candidates: pd.DataFrame) -> np.ndarray:
+def _with_self(queries: blocks.Stations, candidates: blocks.Stations) -> np.ndarray:
     dist = blocks.distances(queries, candidates)
     dist[np.isinf(dist)] = 0.0
     return dist
@@ -107,17 +102,17 @@ def radius_at_quantile(
     at = positions(nodes, by)
     kind = nodes.schema[by].dataType.simpleString()
     if blocks.largest_snapshot(at, by) <= max_block:
-        def whole(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"radius": [np.quantile(_with_self(queries, candidates), quantile)]})
+        def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+            return {"radius": np.array([np.quantile(_with_self(queries, candidates), quantile)])}
 
         return blocks.per_snapshot(at, whole, "radius double", by)
 
     width = DIAMETER_KM / BINS
 
-    def histogram(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def histogram(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         bins = np.floor(_with_self(queries, candidates) / width).astype(np.int64)
         found, n = np.unique(bins, return_counts=True)
-        return pd.DataFrame({"bin": found, "n": n.astype(np.int64)})
+        return {"bin": found, "n": n.astype(np.int64)}
 
     counts = (
         blocks.per_block_pair(at, histogram, "bin bigint, n bigint", by, max_block)
@@ -136,12 +131,14 @@ def radius_at_quantile(
         )
     )
 
-    def in_band(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def in_band(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         dist = _with_self(queries, candidates).ravel()
         bins = np.floor(dist / width).astype(np.int64)
-        lo, hi = queries["bin_lo"].iloc[0], queries["bin_hi"].iloc[0]
+        if not len(dist):
+            return {"d": dist, "n": bins}
+        lo, hi = queries["bin_lo"][0], queries["bin_hi"][0]
         found, n = np.unique(dist[(bins >= lo) & (bins <= hi)], return_counts=True)
-        return pd.DataFrame({"d": found, "n": n.astype(np.int64)})
+        return {"d": found, "n": n.astype(np.int64)}
 
     inside = (
         blocks.per_block_pair(at.join(band, by), in_band, "d double, n bigint", by, max_block)
@@ -162,26 +159,20 @@ def radius_edges(
 ) -> DataFrame:
     """All pairs within the snapshot's distance quantile; ``max_neighbors`` keeps the nearest."""
     if blocks.largest_snapshot(nodes, by) <= max_block:
-        def whole(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
             dist = blocks.distances(queries, candidates)
             matrix = np.where(np.isinf(dist), 0.0, dist)
-            radius = np.full(len(queries), np.quantile(matrix, quantile) * ROUND_UP)
-            out = _pairs_within(queries, candidates, dist, radius)
-            src, dst = np.nonzero(dist <= radius[:, None])
-            out["km"] = dist[src, dst]
-            return out
+            radius = np.full(len(dist), np.quantile(matrix, quantile) * ROUND_UP)
+            return _pairs_within(queries, candidates, dist, radius)
 
         found = blocks.per_snapshot(
             positions(nodes, by), whole, EDGE_SCHEMA + ", km double", by
         )
     else:
-        def within(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        def within(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
             dist = blocks.distances(queries, candidates)
-            radius = queries["radius"].to_numpy() * ROUND_UP
-            out = _pairs_within(queries, candidates, dist, radius)
-            src, dst = np.nonzero(dist <= radius[:, None])
-            out["km"] = dist[src, dst]
-            return out
+            radius = queries["radius"] * ROUND_UP
+            return _pairs_within(queries, candidates, dist, radius)
 
         reach = positions(nodes, by).join(radius_at_quantile(nodes, quantile, by, max_block), by)
         found = blocks.per_block_pair(
@@ -209,26 +200,23 @@ def rescue_isolated(
     )
     marked = linked.withColumn("isolated", F.col("_linked").isNull()).drop("_linked", "x", "y", "z")
 
-    def nearest(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        lonely = queries[queries["isolated"]].reset_index(drop=True)
-        lat1, lon1 = (np.radians(lonely[c].to_numpy())[:, None] for c in ("lat", "lon"))
-        lat2, lon2 = (np.radians(candidates[c].to_numpy())[None, :] for c in ("lat", "lon"))
+    def nearest(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        lonely = blocks.take(queries, queries["isolated"].astype(bool))
+        lat1, lon1 = (np.radians(lonely[c])[:, None] for c in ("lat", "lon"))
+        lat2, lon2 = (np.radians(candidates[c])[None, :] for c in ("lat", "lon"))
         a = (np.sin((lat2 - lat1) / 2) ** 2
              + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2 + HAVERSINE_EPS)
         km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
-        gap = np.abs(lonely["alt"].to_numpy()[:, None] - candidates["alt"].to_numpy()[None, :]) / 1000.0
-        same = lonely["station_id"].to_numpy()[:, None] == candidates["station_id"].to_numpy()[None, :]
-        km[(km > max_km) | (gap > max_alt_km) | same] = np.inf
-        best = km.argmin(axis=1) if len(candidates) else np.zeros(len(lonely), int)
-        rows = np.flatnonzero(np.isfinite(km[np.arange(len(lonely)), best])) if len(candidates) else []
-        return pd.DataFrame(
-            {
-                "src": lonely["station_id"].to_numpy()[rows],
-                "dst": candidates["station_id"].to_numpy()[best[rows]],
-                "alt_diff_km": gap[rows, best[rows]],
-                "km": km[rows, best[rows]],
-            }
-        )
+        gap = np.abs(lonely["alt"][:, None] - candidates["alt"][None, :]) / 1000.0
+        km[(km > max_km) | (gap > max_alt_km) | blocks.same_station(lonely, candidates)] = np.inf
+        rows = np.flatnonzero(np.isfinite(km).any(axis=1))
+        best = km[rows].argmin(axis=1) if len(rows) else rows
+        return {
+            "src": lonely["station_id"][rows],
+            "dst": candidates["station_id"][best],
+            "alt_diff_km": gap[rows, best],
+            "km": km[rows, best],
+        }
 
     schema = EDGE_SCHEMA + ", km double"
     if blocks.largest_snapshot(nodes, by) <= max_block:

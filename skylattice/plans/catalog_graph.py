@@ -182,13 +182,17 @@ def _(s, d):
     return gr.max_alt_filter(delaunay_edges(materialize(ev.points(s, d))))
 
 
+_WIDE = RESCUED.replace("80e0", "300e0").replace("base.ts", "low.ts").replace("FROM base", "FROM low")
+
+
 @query("rescue_isolated",
-       sql("points", "SELECT ts, src, dst FROM rescued", cart("points"), DELAUNAY, DIST, ADAPTIVE,
-           base("delaunay", "adaptive"), RESCUED))
+       sql("points", "SELECT ts, src, dst FROM rescued", cart("points"), DELAUNAY, DIST,
+           "low AS (SELECT delaunay.* FROM delaunay JOIN dist ON dist.ts = delaunay.ts AND"
+           " dist.src = delaunay.src AND dist.dst = delaunay.dst WHERE gap <= 0.02e0)", _WIDE))
 def _(s, d):
     points = materialize(ev.points(s, d))
-    found = delaunay_edges(points).unionByName(gr.adaptive_radius_edges(points))
-    return gr.rescue_isolated(points, gr.max_alt_filter(found)).select("ts", "src", "dst")
+    level = gr.max_alt_filter(delaunay_edges(points), 0.02)
+    return gr.rescue_isolated(points, level, max_km=300.0).select("ts", "src", "dst")
 
 
 # --- attributes --------------------------------------------------------------------------------
