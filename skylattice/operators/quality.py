@@ -9,12 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skylattice.constants import AUDIT_EXCLUDED_DIRS, CLEANING_EXCLUDED_DIRS, FILE_SUFFIX
 
 
-def exclude_paths(df: DataFrame, mode: str = "cleaning", col: str = "path") -> DataFrame:
-    """Drop files in excluded folders. ``cleaning`` looks for the words in any folder name
-    whatever the case, and for ``<digits>_old``; ``audit`` looks for them, and for the years
-    before the study period, case-sensitively anywhere in the folder part of the path."""
+def exclude_paths(
+    df: DataFrame, mode: str = "cleaning", col: str = "path", root: str | None = None
+) -> DataFrame:
+    """Drop files in excluded folders. ``cleaning`` looks for the words in any folder name below
+    ``root`` whatever the case, and for ``<digits>_old``; ``audit`` looks for them, and for the
+    years before the study period, case-sensitively anywhere in the whole folder path."""
     folder = F.regexp_replace(F.col(col), r"/[^/]*$", "")
     if mode == "cleaning":
+        if root:
+            below = F.instr(folder, root.rstrip("/")) + len(root.rstrip("/"))
+            folder = F.substr(folder, below)
         words = "|".join(w.lower() for w in CLEANING_EXCLUDED_DIRS)
         return df.filter(~F.lower(folder).rlike(words) & ~folder.rlike(r"\d+_old"))
     if mode == "audit":
