@@ -76,6 +76,11 @@ def inventory(spark: SparkSession, root: str, suffix: str = FILE_SUFFIX) -> Data
     return here.filter(F.col("path").endswith(suffix))
 
 
+def open_quote(text: Column) -> Column:
+    """Whether a quote is never closed, which makes a file unreadable as CSV."""
+    return (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def _plain(path: Column) -> Column:
     """Path without the scheme, so listings and readers agree."""
     return F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
@@ -85,9 +90,7 @@ def audit_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     """``path, status, number``: empty, unreadable (nothing but blanks, or a quote that never
     closes) or ok; problem files are numbered by path within their status."""
     text = decoded()
-    broken = (F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) == 0) | (
-        F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 1
-    )
+    broken = ~text.rlike(r"\S") | open_quote(text)
     readable = contents.select(_plain(F.col("path")).alias("_p"), broken.alias("_broken"))
     listed = files.withColumn("_p", _plain(F.col("path")))
     status = (

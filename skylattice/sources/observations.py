@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skylattice.constants import FILE_SUFFIX, RAW_TO_CANONICAL
 from skylattice.operators.quality import exclude_paths, file_timestamp
-from skylattice.sources.files import archive_files, decoded
+from skylattice.sources.files import archive_files, decoded, open_quote
 
 # a comma followed by an even number of quotes is a separator
 SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -23,13 +23,14 @@ def _fields(line: Column) -> Column:
 def parse_observations(contents: DataFrame) -> DataFrame:
     """One text row per data line of each file: ``path, line_no, ts, has_pressure`` and the
     canonical columns, found by the file's own header. Lines with more fields than the header
-    are skipped, shorter ones padded with nulls; files without a source column or with a name
-    that is no hour are rejected. Everything is a column expression on the file's bytes, so files
+    are skipped, shorter ones padded with nulls; files with a quote left open, without a source
+    column or with a name that is no hour are rejected. Everything is a column expression on the file's bytes, so files
     of different encodings and headers share one scan."""
     lines = F.split(F.regexp_replace(decoded(), "^﻿", ""), "\r?\n")
     names = F.transform(_fields(F.col("_header")), lambda f: F.trim(f))
     rows = (
         contents.withColumn("ts", file_timestamp("path")).filter("ts is not null")
+        .filter(~open_quote(decoded()))
         .select("path", "ts", lines.alias("_lines"))
         .withColumn("_header", F.col("_lines")[0]).withColumn("_names", names)
         .filter(F.array_contains("_names", "Font"))
