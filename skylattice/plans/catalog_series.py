@@ -23,9 +23,9 @@ QUERIES = {}
 ORACLES = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, places: int = 6):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), places)
         if oracle:
             ORACLES[name] = oracle
         return fn
@@ -401,10 +401,10 @@ def _(s, d):
        " placed AS (SELECT l.run_id, CASE WHEN epoch - e0 < s.third THEN 'start'"
        " WHEN epoch - e0 < 2 * s.third THEN 'middle' ELSE 'end' END AS third, loss, rmse, mae, r2, smape"
        " FROM run_log l JOIN span s ON s.run_id = l.run_id WHERE stage = 'val')"
-       f" SELECT run_id, third, metric, count(v) AS n, {r('min(v)', 'low')},"
-       f" {r('quantile_cont(v, 0.25)', 'q1')}, {r('quantile_cont(v, 0.5)', 'median')},"
-       f" {r('quantile_cont(v, 0.75)', 'q3')}, {r('max(v)', 'high')} FROM placed"
-       f" UNPIVOT (v FOR metric IN ({', '.join(METRICS)})) GROUP BY run_id, third, metric")
+       f" SELECT run_id, third, metric, count(v) AS n, {r('min(v)', 'low', 9)},"
+       f" {r('quantile_cont(v, 0.25)', 'q1', 9)}, {r('quantile_cont(v, 0.5)', 'median', 9)},"
+       f" {r('quantile_cont(v, 0.75)', 'q3', 9)}, {r('max(v)', 'high', 9)} FROM placed"
+       f" UNPIVOT (v FOR metric IN ({', '.join(METRICS)})) GROUP BY run_id, third, metric", places=9)
 def _(s, d):
     return rl.epoch_thirds_summary(_runs(s, d))
 

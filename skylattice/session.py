@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame that several branches read to the checkpoint folder and read it from there.
-    The files are replicated storage, so a lost executor costs no recomputation upstream."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame that several branches read as a table in the checkpoint folder and read it
+    back: its lineage ends there, a lost executor costs no recomputation, and its columns and
+    size are known to the planner. Whoever runs the job clears the folder afterwards."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
