@@ -2,9 +2,9 @@
 
 A snapshot is one hour of stations. Distances between its stations are worked out in numpy inside
 a task and only results leave it. A snapshot of at most ``MAX_BLOCK`` stations is one group. When a
-larger one exists (checked by counting first), every snapshot is cut into hashed chunks of that
-size and each ordered pair of chunks becomes its own group, so neither a crowded hour nor a dense
-area ends up in one task; the per-block results are then merged.
+larger one exists (checked by counting first), neighbour searches go through spatial tiles
+(``tiles``). What really needs every distance of a snapshot is computed on ordered pairs of hashed
+chunks, each its own group, so neither a crowded hour nor a dense area ends up in one task.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ def to_table(out: Stations, schema: pa.Schema, **constants) -> pa.Table:
 _ARROW = {
     "string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(),
     "timestamp": pa.timestamp("us", tz="UTC"), "timestamp_ntz": pa.timestamp("us"),
-    "date": pa.date32(),
+    "date": pa.date32(), "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
 }
 
 

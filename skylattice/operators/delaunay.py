@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skylattice.constants import PLANE_LAT0
 from skylattice.functions.geodesy import scaled_lon
-from skylattice.operators import blocks
+from skylattice.operators import blocks, tiles
+from skylattice.session import materialize
 
 NEAR = 24
 
@@ -105,15 +106,173 @@ def _edges(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stat
 
 
 def _partial_rings(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-    """Neighbours within one block, with what it takes to merge them."""
+    """Neighbours among some candidates, with what it takes to merge them. A query without any
+    is kept by a row that names itself."""
     src, dst = _spokes(queries, candidates)
-    out = {"src": queries["station_id"][src], "station_id": candidates["station_id"][dst]}
+    alone = np.setdiff1d(np.arange(len(queries["px"])), src)
+    rows = np.r_[src, alone]
+    out = {
+        "src": queries["station_id"][rows],
+        "station_id": np.r_[candidates["station_id"][dst], queries["station_id"][alone]],
+        "home": queries["home"][rows],
+        "src_reach": queries["reach"][rows],
+    }
     for c in ("px", "py", "alt"):
-        out[f"src_{c}"] = queries[c][src]
-        out[c] = candidates[c][dst]
+        out[f"src_{c}"] = queries[c][rows]
+        out[c] = np.r_[candidates[c][dst], queries[c][alone]]
     return out
 
 
+PARTIAL = (
+    "src string, station_id string, src_px double, px double, src_py double, py double,"
+    " src_alt double, alt double, home int, src_reach double"
+)
+PARTIAL_COLUMNS = [part.split()[0] for part in PARTIAL.split(",")]
+STAR = (
+    "src string, px double, py double, alt double, home int, reach double, closed boolean,"
+    " ring array<string>, ring_x array<double>, ring_y array<double>, ring_alt array<double>,"
+    " disc_x array<double>, disc_y array<double>, disc_r array<double>"
+)
+
+
+def _discs(dx: np.ndarray, dy: np.ndarray, closed: bool) -> tuple[np.ndarray, ...]:
+    """Centres (as offsets) and radii of the circles through a station and each two consecutive
+    neighbours."""
+    ex, ey = np.roll(dx, -1), np.roll(dy, -1)
+    if not closed:
+        dx, dy, ex, ey = dx[:-1], dy[:-1], ex[:-1], ey[:-1]
+    det = 2.0 * (dx * ey - dy * ex)
+    d2, e2 = dx * dx + dy * dy, ex * ex + ey * ey
+    x, y = (ey * d2 - dy * e2) / det, (dx * e2 - ex * d2) / det
+    return x, y, np.hypot(x, y)
+
+
+def _merged_star(rows: blocks.Stations) -> dict:
+    """One star out of all partial rows of a station."""
+    x, y = rows["src_px"][0], rows["src_py"][0]
+    dx, dy = rows["px"] - x, rows["py"] - y
+    others = np.flatnonzero((dx != 0) | (dy != 0))
+    ring, closed = np.array([], dtype=int), False
+    if len(others):
+        found, closed = star(dx[others], dy[others])
+        ring = others[found]
+    cx, cy, radius = _discs(dx[ring], dy[ring], closed)
+    return {
+        "src": rows["src"][0], "px": x, "py": y, "alt": rows["src_alt"][0],
+        "home": rows["home"][0], "reach": rows["src_reach"][0], "closed": closed,
+        "ring": rows["station_id"][ring], "ring_x": rows["px"][ring], "ring_y": rows["py"][ring],
+        "ring_alt": rows["alt"][ring], "disc_x": cx + x, "disc_y": cy + y, "disc_r": radius,
+    }
+
+
+def _merge_stars(partial: DataFrame, by: str) -> DataFrame:
+    """The partial rows of one station meet here: some six neighbours for each tile it visited."""
+    ddl = f"{by} {partial.schema[by].dataType.simpleString()}, {STAR}"
+    arrow = blocks.arrow_schema(ddl)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = blocks.to_stations(table.drop_columns([by, "_slice"]))
+        rows = blocks.take(rows, np.argsort(rows["src"], kind="stable"))
+        starts = np.flatnonzero(np.r_[True, rows["src"][1:] != rows["src"][:-1]])
+        ends = np.r_[starts[1:], len(rows["src"])]
+        stars = [
+            _merged_star(blocks.take(rows, np.arange(lo, hi)))
+            for lo, hi in zip(starts, ends, strict=True)
+        ]
+        out = {c: [star[c] for star in stars] for c in stars[0]}
+        return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
+
+    return (
+        partial.select(by, *PARTIAL_COLUMNS)
+        .withColumn("_slice", F.pmod(F.xxhash64("src"), F.lit(4)))
+        .groupBy(by, "home", "_slice").applyInArrow(run, ddl)
+    )
+
+
+def _may_change(star: DataFrame) -> Column:
+    """Whether a station inside the box could become a neighbour: the box meets a circle of the
+    star or, for an open star, lies partly outside one of the two lines at its gap."""
+    x0, x1, y0, y1 = (F.col(c) for c in ("lo_px", "hi_px", "lo_py", "hi_py"))
+    disc = F.arrays_zip("disc_x", "disc_y", "disc_r")
+
+    def meets(c: Column) -> Column:
+        gx = F.greatest(x0 - c["disc_x"], c["disc_x"] - x1, F.lit(0.0))
+        gy = F.greatest(y0 - c["disc_y"], c["disc_y"] - y1, F.lit(0.0))
+        return F.sqrt(gx * gx + gy * gy) <= c["disc_r"] * F.lit(1.0 + 1e-9)
+
+    def beyond(x: Column, y: Column, sign: float) -> Column:
+        vx, vy = x - F.col("px"), y - F.col("py")
+        turns = [
+            (vx * (cy - F.col("py")) - vy * (cx - F.col("px"))) * F.lit(sign)
+            for cx in (x0, x1) for cy in (y0, y1)
+        ]
+        return F.least(*turns) <= F.lit(1e-12)
+
+    first = beyond(F.get("ring_x", F.lit(0)), F.get("ring_y", F.lit(0)), 1.0)
+    last = beyond(F.element_at("ring_x", -1), F.element_at("ring_y", -1), -1.0)
+    lines = F.when(F.size("ring") == 0, F.lit(True)).otherwise(first | last)
+    return F.exists(disc, meets) | (~F.col("closed") & lines)
+
+
+PLANE_AXES = ["px", "py"]
+
+
+def _tiled_stars(flat: DataFrame, by: str, max_block: int) -> DataFrame:
+    """Exact stars of snapshots cut into tiles. First every station sees its own tile and those
+    nearby; then each is sent to the tiles it has not seen that could still change its star."""
+    # stations at one place would be split between candidates and queries
+    flat = flat.groupBy(by, "px", "py").agg(
+        F.min("station_id").alias("station_id"), F.min_by("alt", "station_id").alias("alt")
+    )
+    tiled = materialize(tiles.assign_tiles(flat, by, size=max(1, max_block // 2)))
+    margin = F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")) / 2.0
+    table = materialize(tiles.boxes(tiled, PLANE_AXES, margin.alias("reach"), by=by))
+    points = tiled.join(table.select(by, "tile", "reach"), [by, "tile"])
+    near = tiles.visits(
+        points, tiles.tile_pairs(table, PLANE_AXES, "reach", by), PLANE_AXES, F.col("reach"), by
+    )
+    stars = materialize(_merge_stars(tiles.search(points, near, _partial_rings, PARTIAL, by), by))
+
+    box = [f"{p}_{a}" for a in PLANE_AXES for p in ("lo", "hi")]
+    boxes = table.select(by, "tile", *box)
+    extent = {
+        "_x0": F.array_min(F.zip_with("disc_x", "disc_r", lambda c, r: c - r)),
+        "_x1": F.array_max(F.zip_with("disc_x", "disc_r", lambda c, r: c + r)),
+        "_y0": F.array_min(F.zip_with("disc_y", "disc_r", lambda c, r: c - r)),
+        "_y1": F.array_max(F.zip_with("disc_y", "disc_r", lambda c, r: c + r)),
+    }
+    closed = stars.filter("closed").withColumns(extent)
+    reached = closed.groupBy(by, "home").agg(
+        F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+        F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
+    )
+    overlap = "lo_px <= _x1 AND hi_px >= _x0 AND lo_py <= _y1 AND hi_py >= _y0"
+    pairs = (
+        reached.join(boxes, by).filter(F.expr(overlap) & (F.col("home") != F.col("tile")))
+        .select(by, "home", "tile", *box)
+    )
+    unseen = tiles.gap_to_box({a: F.col(a) for a in PLANE_AXES}) > F.col("reach")
+    cols = [by, "src", "px", "py", "alt", "reach", "home", "tile"]
+    inner = closed.join(pairs, [by, "home"]).filter(F.expr(overlap) & unseen & _may_change(closed))
+    # open stars belong to the few stations at the rim of the snapshot or of a void
+    rim = stars.filter("NOT closed").join(boxes, by).filter(
+        (F.col("home") != F.col("tile")) & unseen & _may_change(stars)
+    )
+    more = materialize(inner.select(*cols).unionByName(rim.select(*cols)))
+    visitors = more.withColumnRenamed("src", "station_id")
+    visited = points.join(more.select(by, "tile").distinct(), [by, "tile"], "left_semi")
+    added = tiles.search(visited, visitors, _partial_rings, PARTIAL, by, own=False)
+    changing = more.select(by, "src").distinct()
+    known = stars.join(changing, [by, "src"], "left_semi").select(
+        by, "src", F.col("px").alias("src_px"), F.col("py").alias("src_py"),
+        F.col("alt").alias("src_alt"), "home", F.col("reach").alias("src_reach"),
+        F.inline(F.arrays_zip("ring", "ring_x", "ring_y", "ring_alt"))
+        .alias("station_id", "px", "py", "alt"),
+    )
+    final = _merge_stars(known.unionByName(added), by)
+    return stars.join(changing, [by, "src"], "left_anti").unionByName(final)
+
+
 def plane(
     nodes: DataFrame, by: str, extra: tuple[str, ...] = ("alt",), lat0: float = PLANE_LAT0
 ) -> DataFrame:
@@ -135,45 +294,18 @@ def delaunay_edges(
     flat = plane(nodes, by, lat0=lat0)
     if blocks.largest_snapshot(flat, by) <= max_block:
         return blocks.per_snapshot(flat, _edges, EDGE_SCHEMA, by)
-    # coincident stations may sit in different chunks
-    first = F.min("station_id").alias("station_id")
-    flat = flat.groupBy(by, "px", "py").agg(first, F.min_by("alt", "station_id").alias("alt"))
-    partial = blocks.per_block_pair(
-        flat, _partial_rings,
-        "src string, station_id string, src_px double, px double, src_py double, py double,"
-        " src_alt double, alt double",
-        by, max_block,
-    )
-    ddl = f"{by} {nodes.schema[by].dataType.simpleString()}, {EDGE_SCHEMA}"
-    arrow = blocks.arrow_schema(ddl)
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = blocks.to_stations(table.drop_columns([by, "q_chunk"]))
-        order = np.argsort(rows["src"], kind="stable")
-        rows = blocks.take(rows, order)
-        starts = np.flatnonzero(np.r_[True, rows["src"][1:] != rows["src"][:-1]])
-        parts = []
-        for lo, hi in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-            candidates = blocks.take(rows, np.arange(lo, hi))
-            query = {"station_id": candidates["src"][:1]}
-            query.update({c: candidates[f"src_{c}"][:1] for c in ("px", "py", "alt")})
-            parts.append(_edges(query, candidates))
-        out = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-        return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
-
-    # the parts of one station meet here: its neighbours in each block, about six a block
-    return (
-        partial.withColumn("_slice", F.pmod(F.xxhash64("src"), F.lit(16)))
-        .groupBy(by, "q_chunk", "_slice")
-        .applyInArrow(lambda t: merge(t.drop_columns(["_slice"])), ddl)
-    )
+    stars = _tiled_stars(flat, by, max_block)
+    return stars.select(
+        by, "src", F.col("alt").alias("_alt"),
+        F.inline(F.arrays_zip("ring", "ring_alt")).alias("dst", "_dst_alt"),
+    ).select(by, "src", "dst", (F.abs(F.col("_alt") - F.col("_dst_alt")) / 1000.0).alias("alt_diff_km"))
 
 
 def delaunay_triangles(
     points: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK, lat0: float = PLANE_LAT0
 ) -> DataFrame:
-    """``ts, a, b, c`` with a the first station by name, once per triangle. From the edges: a
-    triangle is three mutual neighbours, consecutive around each of its corners."""
+    """``ts, a, b, c`` with a the first station by name, once per triangle: consecutive
+    neighbours around a station form a triangle with it."""
 
     def triangles(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         unique = _unique_positions(candidates)
@@ -192,33 +324,14 @@ def delaunay_triangles(
     if blocks.largest_snapshot(flat, by) <= max_block:
         return blocks.per_snapshot(flat, triangles, "a string, b string, c string", by)
 
-    edges = delaunay_edges(points.withColumn("alt", F.lit(0.0)), by, max_block, lat0)
-    at = flat.select(by, F.col("station_id").alias("dst"), "px", "py")
-    origin = flat.select(
-        by, F.col("station_id").alias("src"), F.col("px").alias("ox"), F.col("py").alias("oy")
-    )
-    rings = edges.join(at, [by, "dst"]).join(origin, [by, "src"])
-    # neighbours of one station in angular order; a station has few neighbours on average
-    ring = F.array_sort(
-        F.collect_list(
-            F.struct(F.atan2(F.col("py") - F.col("oy"), F.col("px") - F.col("ox")).alias("angle"),
-                     F.col("dst").alias("id"))
-        )
-    )
-    spokes = rings.groupBy(by, "src").agg(ring.alias("ring"))
+    stars = _tiled_stars(flat.withColumn("alt", F.lit(0.0)), by, max_block)
     n = F.size("ring")
+    wrapped = F.when(F.col("closed"), n).otherwise(n - 1)
     pairs = F.transform(
-        F.col("ring"),
-        lambda e, i: F.struct(e["angle"].alias("t1"), e["id"].alias("b"),
-                              F.col("ring")[(i + 1) % n]["angle"].alias("t2"),
-                              F.col("ring")[(i + 1) % n]["id"].alias("c")),
+        F.slice("ring", F.lit(1), wrapped),
+        lambda b, i: F.struct(b.alias("b"), F.get("ring", (i + 1) % n).alias("c")),
     )
-    turn = F.pmod(F.col("t2") - F.col("t1"), F.lit(2 * np.pi))
     return (
-        spokes.filter(n >= 2)
-        .select(by, F.col("src").alias("a"), F.inline(pairs))
-        .filter((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")) & (turn < np.pi))
-        .join(edges.select(by, F.col("src").alias("b"), F.col("dst").alias("c")),
-              [by, "b", "c"], "left_semi")
-        .select(by, "a", "b", "c")
+        stars.filter(n >= 2).select(by, F.col("src").alias("a"), F.inline(pairs))
+        .filter((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skylattice.constants import EARTH_RADIUS_KM, EDGE_ATTRIBUTES, EDGE_DIFFS, HAVERSINE_EPS
 from skylattice.functions.geodesy import bearing_deg, haversine_km, to_cartesian
-from skylattice.operators import blocks
+from skylattice.operators import blocks, tiles
 from skylattice.operators.delaunay import EDGE_SCHEMA, delaunay_edges
 from skylattice.session import materialize
 
@@ -27,6 +27,40 @@ def positions(nodes: DataFrame, by: str = "ts") -> DataFrame:
     )
 
 
+SEARCH_AXES = ["x", "y", "z"]
+
+
+def _tiled(at: DataFrame, by: str, max_block: int) -> DataFrame:
+    return tiles.assign_tiles(at, by, "lon", "lat", max(1, max_block // 2))
+
+
+def _search_within(
+    at: DataFrame, fn: blocks.BlockFunction, schema: str, by: str, own: bool = True
+) -> DataFrame:
+    """``fn`` on tiled positions, each station also searching the tiles within its ``reach``."""
+    table = tiles.boxes(at, SEARCH_AXES, F.max("reach").alias("reach"), by=by)
+    pairs = tiles.tile_pairs(materialize(table), SEARCH_AXES, "reach", by)
+    visitors = tiles.visits(at, pairs, SEARCH_AXES, F.col("reach"), by)
+    return tiles.search(at, visitors, fn, schema, by, own)
+
+
+def _reach_block(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+    """Pairs within the reach of the query, in strips of queries that bound the matrix."""
+    parts = []
+    step = max(1, STRIP // max(1, len(candidates["x"])))
+    for low in range(0, len(queries["x"]), step):
+        some = blocks.take(queries, np.arange(low, min(low + step, len(queries["x"]))))
+        dist = blocks.distances(some, candidates)
+        parts.append(_pairs_within(some, candidates, dist, some["reach"]))
+    if not parts:
+        return _pairs_within(queries, candidates, np.empty((0, 0)), queries["reach"])
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+STRIP = 1 << 22
+PAIR_SCHEMA = "src string, dst string, alt_diff_km double, km double"
+
+
 def _pairs_within(
     queries: blocks.Stations, candidates: blocks.Stations, dist: np.ndarray, radius: np.ndarray
 ) -> blocks.Stations:
@@ -49,11 +83,6 @@ def _kth(dist: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _range_block(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-    dist = blocks.distances(queries, candidates)
-    return _pairs_within(queries, candidates, dist, queries["radius"])
-
-
 def adaptive_radius_edges(
     nodes: DataFrame, k: int = 4, scale: float = 1.3, by: str = "ts",
     max_block: int = blocks.MAX_BLOCK,
@@ -68,19 +97,35 @@ def adaptive_radius_edges(
     if blocks.largest_snapshot(at, by) <= max_block:
         return blocks.per_snapshot(at, whole, EDGE_SCHEMA, by)
 
-    def nearest(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-        dist = np.sort(blocks.distances(queries, candidates), axis=1)[:, :k]
-        row, col = np.nonzero(np.isfinite(dist))
-        return {"station_id": queries["station_id"][row], "d": dist[row, col]}
-
-    near = blocks.per_block_pair(at, nearest, "station_id string, d double", by, max_block)
-    rank = F.row_number().over(Window.partitionBy(by, "station_id").orderBy("d"))
+    # the k-th nearest of the own tile bounds the search, the real one is among what it finds
+    def bound(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        names = [c for c in queries if c != "home"]
+        step = max(1, STRIP // max(1, len(candidates["x"])))
+        reach = np.empty(len(queries["x"]))
+        for low in range(0, len(reach), step):
+            rows = np.arange(low, min(low + step, len(reach)))
+            dist = blocks.distances(blocks.take(queries, rows), candidates)
+            dist.partition(min(k, dist.shape[1]) - 1, axis=1)
+            reach[rows] = dist[:, k - 1] if dist.shape[1] >= k else np.inf
+        out = {c: queries[c] for c in names}
+        out["tile"] = queries["home"]
+        out["reach"] = reach * max(scale, 1.0) * ROUND_UP
+        return out
+
+    fields = "station_id string, lat double, lon double, alt double, x double, y double, z double"
+    tiled = materialize(_tiled(at, by, max_block))
+    reaching = materialize(
+        tiles.search(tiled, None, bound, fields + ", tile int, reach double", by)
+    )
+    found = materialize(_search_within(reaching, _reach_block, PAIR_SCHEMA, by))
+    rank = F.row_number().over(Window.partitionBy(by, "src").orderBy("km"))
     radius = (
-        near.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-        .groupBy(by, "station_id").agg((F.max("d") * F.lit(scale)).alias("radius"))
+        found.select(by, "src", "km").withColumn("_rank", rank).filter(F.col("_rank") <= k)
+        .groupBy(by, "src").agg((F.max("km") * F.lit(scale)).alias("_radius"))
+    )
+    return found.join(radius, [by, "src"]).filter(F.col("km") <= F.col("_radius")).select(
+        by, "src", "dst", "alt_diff_km"
     )
-    reach = at.join(radius, [by, "station_id"])
-    return blocks.per_block_pair(reach, _range_block, EDGE_SCHEMA, by, max_block).drop("q_chunk")
 
 
 BINS = 65536
@@ -166,18 +211,14 @@ def radius_edges(
             return _pairs_within(queries, candidates, dist, radius)
 
         found = blocks.per_snapshot(
-            positions(nodes, by), whole, EDGE_SCHEMA + ", km double", by
+            positions(nodes, by), whole, PAIR_SCHEMA, by
         )
     else:
-        def within(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-            dist = blocks.distances(queries, candidates)
-            radius = queries["radius"] * ROUND_UP
-            return _pairs_within(queries, candidates, dist, radius)
-
-        reach = positions(nodes, by).join(radius_at_quantile(nodes, quantile, by, max_block), by)
-        found = blocks.per_block_pair(
-            reach, within, EDGE_SCHEMA + ", km double", by, max_block
-        ).drop("q_chunk")
+        radius = radius_at_quantile(nodes, quantile, by, max_block).select(
+            by, (F.col("radius") * F.lit(ROUND_UP)).alias("reach")
+        )
+        at = materialize(_tiled(positions(nodes, by), by, max_block).join(radius, by))
+        found = _search_within(at, _reach_block, PAIR_SCHEMA, by)
     if max_neighbors is None:
         return found.drop("km")
     rank = F.row_number().over(Window.partitionBy(by, "src").orderBy("km", "dst"))
@@ -198,7 +239,7 @@ def rescue_isolated(
     linked = positions(nodes, by).join(
         touched.withColumn("_linked", F.lit(True)), [by, "station_id"], "left"
     )
-    marked = linked.withColumn("isolated", F.col("_linked").isNull()).drop("_linked", "x", "y", "z")
+    marked = linked.withColumn("isolated", F.col("_linked").isNull()).drop("_linked")
 
     def nearest(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         lonely = blocks.take(queries, queries["isolated"].astype(bool))
@@ -218,12 +259,16 @@ def rescue_isolated(
             "km": km[rows, best],
         }
 
-    schema = EDGE_SCHEMA + ", km double"
     if blocks.largest_snapshot(nodes, by) <= max_block:
-        found = blocks.per_snapshot(marked, nearest, schema, by)
+        found = blocks.per_snapshot(marked, nearest, PAIR_SCHEMA, by)
     else:
+        # a straight line is shorter than the arc but for the altitude between its ends
+        straight = F.lit(max_km + max_alt_km + 0.01)
+        searching = _tiled(marked, by, max_block).withColumn(
+            "reach", F.when(F.col("isolated"), straight).otherwise(F.lit(-1.0))
+        )
         found = (
-            blocks.per_block_pair(marked, nearest, schema, by, max_block)
+            _search_within(materialize(searching), nearest, PAIR_SCHEMA, by)
             .groupBy(by, "src")
             .agg(F.min(F.struct("km", "dst", "alt_diff_km")).alias("best"))
             .select(by, "src", "best.dst", "best.alt_diff_km")
