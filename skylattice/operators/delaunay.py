@@ -17,7 +17,8 @@ from skylattice.functions.geodesy import scaled_lon
 from skylattice.operators import blocks, tiles
 from skylattice.session import materialize
 
-NEAR = 24
+_ANGLES = np.arange(24) * (np.pi / 12)
+COMPASS = np.stack([np.cos(_ANGLES), np.sin(_ANGLES)], axis=1)
 
 
 def _hull(xs: list[float], ys: list[float]) -> list[int]:
@@ -47,15 +48,16 @@ def star(dx: np.ndarray, dy: np.ndarray) -> tuple[list[int], bool]:
     squares = dx * dx + dy * dy
     ux, uy = 2.0 * dx / squares, 2.0 * dy / squares
     pool = np.arange(len(dx))
-    if len(pool) > 2 * NEAR:
-        near = np.argpartition(squares, NEAR)[:NEAR]
-        corners = _hull([0.0, *ux[near].tolist()], [0.0, *uy[near].tolist()])
-        px = np.array([0.0 if c == 0 else ux[near[c - 1]] for c in corners])
-        py = np.array([0.0 if c == 0 else uy[near[c - 1]] for c in corners])
-        ex, ey = np.roll(px, -1) - px, np.roll(py, -1) - py
+    if len(pool) > 2 * len(COMPASS):
+        # stations inside the hull of the extremes in a few directions cannot be corners
+        extremes = np.unique((COMPASS @ np.stack([ux, uy])).argmax(axis=1))
+        corners = _hull([0.0, *ux[extremes].tolist()], [0.0, *uy[extremes].tolist()])
+        px = np.array([0.0 if c == 0 else ux[extremes[c - 1]] for c in corners])
+        py = np.array([0.0 if c == 0 else uy[extremes[c - 1]] for c in corners])
+        ex, ey = np.r_[px[1:], px[0]] - px, np.r_[py[1:], py[0]] - py
         side = ex[:, None] * (uy - py[:, None]) - ey[:, None] * (ux - px[:, None])
         outside = (side < 0).any(axis=0)
-        outside[near[[c - 1 for c in corners if c]]] = True
+        outside[extremes] = True
         pool = np.flatnonzero(outside)
     corners = _hull([0.0, *ux[pool].tolist()], [0.0, *uy[pool].tolist()])
     if 0 not in corners:
@@ -105,24 +107,6 @@ def _edges(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stat
     }
 
 
-def _partial_rings(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-    """Neighbours among some candidates, with what it takes to merge them. A query without any
-    is kept by a row that names itself."""
-    src, dst = _spokes(queries, candidates)
-    alone = np.setdiff1d(np.arange(len(queries["px"])), src)
-    rows = np.r_[src, alone]
-    out = {
-        "src": queries["station_id"][rows],
-        "station_id": np.r_[candidates["station_id"][dst], queries["station_id"][alone]],
-        "home": queries["home"][rows],
-        "src_reach": queries["reach"][rows],
-    }
-    for c in ("px", "py", "alt"):
-        out[f"src_{c}"] = queries[c][rows]
-        out[c] = np.r_[candidates[c][dst], queries[c][alone]]
-    return out
-
-
 PARTIAL = (
     "src string, station_id string, src_px double, px double, src_py double, py double,"
     " src_alt double, alt double, home int, src_reach double"
@@ -147,10 +131,10 @@ def _discs(dx: np.ndarray, dy: np.ndarray, closed: bool) -> tuple[np.ndarray, ..
     return x, y, np.hypot(x, y)
 
 
-def _merged_star(rows: blocks.Stations) -> dict:
-    """One star out of all partial rows of a station."""
-    x, y = rows["src_px"][0], rows["src_py"][0]
-    dx, dy = rows["px"] - x, rows["py"] - y
+def _star_row(
+    station: str, x: float, y: float, alt: float, home: int, reach: float, around: blocks.Stations
+) -> dict:
+    dx, dy = around["px"] - x, around["py"] - y
     others = np.flatnonzero((dx != 0) | (dy != 0))
     ring, closed = np.array([], dtype=int), False
     if len(others):
@@ -158,15 +142,46 @@ def _merged_star(rows: blocks.Stations) -> dict:
         ring = others[found]
     cx, cy, radius = _discs(dx[ring], dy[ring], closed)
     return {
-        "src": rows["src"][0], "px": x, "py": y, "alt": rows["src_alt"][0],
-        "home": rows["home"][0], "reach": rows["src_reach"][0], "closed": closed,
-        "ring": rows["station_id"][ring], "ring_x": rows["px"][ring], "ring_y": rows["py"][ring],
-        "ring_alt": rows["alt"][ring], "disc_x": cx + x, "disc_y": cy + y, "disc_r": radius,
+        "src": station, "px": x, "py": y, "alt": alt, "home": home, "reach": reach,
+        "closed": closed, "ring": around["station_id"][ring], "ring_x": around["px"][ring],
+        "ring_y": around["py"][ring], "ring_alt": around["alt"][ring], "disc_x": cx + x,
+        "disc_y": cy + y, "disc_r": radius,
+    }
+
+
+STATION = ("station_id", "px", "py", "alt", "home", "reach")
+
+
+def _own_stars(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+    stars = [
+        _star_row(*values, candidates)
+        for values in zip(*(queries[c] for c in STATION), strict=True)
+    ]
+    return {c: [star[c] for star in stars] for c in stars[0]}
+
+
+def _new_neighbours(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+    """Candidates that become neighbours of a visiting station next to those it already has."""
+    src, dst = [], []
+    rings = zip(queries["px"], queries["py"], queries["ring_x"], queries["ring_y"], strict=True)
+    for i, (x, y, ring_x, ring_y) in enumerate(rings):
+        dx, dy = candidates["px"] - x, candidates["py"] - y
+        found, _ = star(np.r_[dx, ring_x - x], np.r_[dy, ring_y - y])
+        new = [j for j in found if j < len(dx)]
+        src += [i] * len(new)
+        dst += new
+    src, dst = np.array(src, dtype=int), np.array(dst, dtype=int)
+    out = {
+        "src": queries["station_id"][src], "station_id": candidates["station_id"][dst],
+        "home": queries["home"][src], "src_reach": queries["reach"][src],
     }
+    for c in ("px", "py", "alt"):
+        out[f"src_{c}"], out[c] = queries[c][src], candidates[c][dst]
+    return out
 
 
 def _merge_stars(partial: DataFrame, by: str) -> DataFrame:
-    """The partial rows of one station meet here: some six neighbours for each tile it visited."""
+    """Stars from all neighbours each station found: a few for every tile it visited."""
     ddl = f"{by} {partial.schema[by].dataType.simpleString()}, {STAR}"
     arrow = blocks.arrow_schema(ddl)
 
@@ -174,11 +189,15 @@ def _merge_stars(partial: DataFrame, by: str) -> DataFrame:
         rows = blocks.to_stations(table.drop_columns([by, "_slice"]))
         rows = blocks.take(rows, np.argsort(rows["src"], kind="stable"))
         starts = np.flatnonzero(np.r_[True, rows["src"][1:] != rows["src"][:-1]])
-        ends = np.r_[starts[1:], len(rows["src"])]
-        stars = [
-            _merged_star(blocks.take(rows, np.arange(lo, hi)))
-            for lo, hi in zip(starts, ends, strict=True)
-        ]
+        stars = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(rows["src"])], strict=True):
+            some = blocks.take(rows, np.arange(lo, hi))
+            stars.append(
+                _star_row(
+                    *(some[c][0] for c in ("src", "src_px", "src_py", "src_alt", "home", "src_reach")),
+                    some,
+                )
+            )
         out = {c: [star[c] for star in stars] for c in stars[0]}
         return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
 
@@ -189,6 +208,28 @@ def _merge_stars(partial: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _visit(points: DataFrame, stars: DataFrame, visitors: DataFrame, by: str) -> DataFrame:
+    """The stars after some of them (``visitors``: star columns and ``tile``) saw another tile."""
+    rings = [F.col(c) for c in ("ring_x", "ring_y")]
+    searching = materialize(
+        visitors.select(by, F.col("src").alias("station_id"), *STATION[1:], *rings, "tile")
+    )
+    visited = points.join(searching.select(by, "tile").distinct(), [by, "tile"], "left_semi")
+    bare = {c: F.lit(None).cast("array<double>") for c in ("ring_x", "ring_y")}
+    added = materialize(
+        tiles.search(visited.withColumns(bare), searching, _new_neighbours, PARTIAL, by, own=False)
+    )
+    changed = added.select(by, "src").distinct()
+    known = stars.join(changed, [by, "src"], "left_semi").select(
+        by, "src", F.col("px").alias("src_px"), F.col("py").alias("src_py"),
+        F.col("alt").alias("src_alt"), "home", F.col("reach").alias("src_reach"),
+        F.inline(F.arrays_zip("ring", "ring_x", "ring_y", "ring_alt"))
+        .alias("station_id", "px", "py", "alt"),
+    )
+    merged = _merge_stars(known.unionByName(added), by)
+    return materialize(stars.join(changed, [by, "src"], "left_anti").unionByName(merged))
+
+
 def _may_change(star: DataFrame) -> Column:
     """Whether a station inside the box could become a neighbour: the box meets a circle of the
     star or, for an open star, lies partly outside one of the two lines at its gap."""
@@ -215,62 +256,53 @@ def _may_change(star: DataFrame) -> Column:
 
 
 PLANE_AXES = ["px", "py"]
+MARGIN_SPACINGS = 3.0
 
 
 def _tiled_stars(flat: DataFrame, by: str, max_block: int) -> DataFrame:
-    """Exact stars of snapshots cut into tiles. First every station sees its own tile and those
-    nearby; then each is sent to the tiles it has not seen that could still change its star."""
+    """Exact stars of snapshots cut into tiles. A station starts from its own tile. It is then
+    sent to the tiles near by that could still change its star, which settles all but a few, and
+    last to any other tile that could."""
     # stations at one place would be split between candidates and queries
     flat = flat.groupBy(by, "px", "py").agg(
         F.min("station_id").alias("station_id"), F.min_by("alt", "station_id").alias("alt")
     )
     tiled = materialize(tiles.assign_tiles(flat, by, size=max(1, max_block // 2)))
-    margin = F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")) / 2.0
+    area = (F.max("px") - F.min("px")) * (F.max("py") - F.min("py"))
+    margin = F.lit(MARGIN_SPACINGS) * F.sqrt(area / F.count(F.lit(1)))
     table = materialize(tiles.boxes(tiled, PLANE_AXES, margin.alias("reach"), by=by))
     points = tiled.join(table.select(by, "tile", "reach"), [by, "tile"])
-    near = tiles.visits(
-        points, tiles.tile_pairs(table, PLANE_AXES, "reach", by), PLANE_AXES, F.col("reach"), by
+    stars = materialize(tiles.search(points, None, _own_stars, STAR, by))
+
+    gap = tiles.gap_to_box({a: F.col(a) for a in PLANE_AXES})
+    near = tiles.tile_pairs(table, PLANE_AXES, "reach", by)
+    stars = _visit(
+        points, stars,
+        stars.join(near, [by, "home"]).filter((gap <= F.col("reach")) & _may_change(stars)), by,
     )
-    stars = materialize(_merge_stars(tiles.search(points, near, _partial_rings, PARTIAL, by), by))
 
-    box = [f"{p}_{a}" for a in PLANE_AXES for p in ("lo", "hi")]
-    boxes = table.select(by, "tile", *box)
+    boxes = table.select(by, "tile", *[f"{p}_{a}" for a in PLANE_AXES for p in ("lo", "hi")])
+    elsewhere = (F.col("home") != F.col("tile")) & (gap > F.col("reach"))
     extent = {
         "_x0": F.array_min(F.zip_with("disc_x", "disc_r", lambda c, r: c - r)),
         "_x1": F.array_max(F.zip_with("disc_x", "disc_r", lambda c, r: c + r)),
         "_y0": F.array_min(F.zip_with("disc_y", "disc_r", lambda c, r: c - r)),
         "_y1": F.array_max(F.zip_with("disc_y", "disc_r", lambda c, r: c + r)),
     }
+    overlap = F.expr("lo_px <= _x1 AND hi_px >= _x0 AND lo_py <= _y1 AND hi_py >= _y0")
     closed = stars.filter("closed").withColumns(extent)
     reached = closed.groupBy(by, "home").agg(
         F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
         F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
     )
-    overlap = "lo_px <= _x1 AND hi_px >= _x0 AND lo_py <= _y1 AND hi_py >= _y0"
-    pairs = (
-        reached.join(boxes, by).filter(F.expr(overlap) & (F.col("home") != F.col("tile")))
-        .select(by, "home", "tile", *box)
-    )
-    unseen = tiles.gap_to_box({a: F.col(a) for a in PLANE_AXES}) > F.col("reach")
-    cols = [by, "src", "px", "py", "alt", "reach", "home", "tile"]
-    inner = closed.join(pairs, [by, "home"]).filter(F.expr(overlap) & unseen & _may_change(closed))
-    # open stars belong to the few stations at the rim of the snapshot or of a void
-    rim = stars.filter("NOT closed").join(boxes, by).filter(
-        (F.col("home") != F.col("tile")) & unseen & _may_change(stars)
-    )
-    more = materialize(inner.select(*cols).unionByName(rim.select(*cols)))
-    visitors = more.withColumnRenamed("src", "station_id")
-    visited = points.join(more.select(by, "tile").distinct(), [by, "tile"], "left_semi")
-    added = tiles.search(visited, visitors, _partial_rings, PARTIAL, by, own=False)
-    changing = more.select(by, "src").distinct()
-    known = stars.join(changing, [by, "src"], "left_semi").select(
-        by, "src", F.col("px").alias("src_px"), F.col("py").alias("src_py"),
-        F.col("alt").alias("src_alt"), "home", F.col("reach").alias("src_reach"),
-        F.inline(F.arrays_zip("ring", "ring_x", "ring_y", "ring_alt"))
-        .alias("station_id", "px", "py", "alt"),
+    pairs = reached.join(boxes, by).filter(overlap & (F.col("home") != F.col("tile"))).select(
+        by, "home", *boxes.columns[1:]
     )
-    final = _merge_stars(known.unionByName(added), by)
-    return stars.join(changing, [by, "src"], "left_anti").unionByName(final)
+    inner = closed.join(pairs, [by, "home"]).filter(overlap & elsewhere & _may_change(closed))
+    # open stars belong to the few stations at the rim of the snapshot
+    rim = stars.filter("NOT closed").join(boxes, by).filter(elsewhere & _may_change(stars))
+    cols = [*stars.columns, "tile"]
+    return _visit(points, stars, inner.select(*cols).unionByName(rim.select(*cols)), by)
 
 
 def plane(
