@@ -267,7 +267,7 @@ def _(s, d):
 
 
 @query("neighbors",
-       sql("features", f"SELECT ts, src, degree, rank, dst, {r('km')} FROM (SELECT *, count(*) OVER"
+       sql("features", f"SELECT ts, src, degree, CAST(rank AS INTEGER) AS rank, dst, {r('km')} FROM (SELECT *, count(*) OVER"
                        " (PARTITION BY ts, src) AS degree, row_number() OVER"
                        " (PARTITION BY ts, src ORDER BY dst) AS rank FROM described) WHERE rank <= 3",
            *_DESCRIBED))

@@ -347,7 +347,7 @@ _feature_query("wind_speed_from_uv", {"speed": "abs(wind_speed)"},
 
 @query(
     "build_features",
-    sql("features", f"SELECT station_id, ts, {rr(*FEATURE_COLUMNS)}, year(ts) AS year FROM features"),
+    sql("features", f"SELECT station_id, ts, {rr(*FEATURE_COLUMNS)}, CAST(year(ts) AS INTEGER) AS year FROM features"),
 )
 def _(s, d):
     built = ft.build_features(ev.nodes(s, d), year=True)

@@ -104,3 +104,14 @@ def stream_hourly_rain(stream: DataFrame) -> DataFrame:
     return rows.groupBy("station_id", "day").applyInPandasWithState(
         _rain_steps, RAIN_OUT, RAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def write_available(stream: DataFrame, path: str) -> DataFrame:
+    """Process everything that has arrived into a parquet table and read it back. Run again later
+    with the same path, it continues where it stopped."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{path}/_progress").option("path", f"{path}/rows").start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
