@@ -242,8 +242,11 @@ def _trained(s, d):
     features = materialize(ev.features(s, d))
     params = st.fit_norm_params(features, FEATURE_COLUMNS, ev.training_rows())
     scaled = materialize(st.normalize(features, params))
-    windows = wn.chronological_split(_named(scaled), **LIMITS)
-    seq = materialize(wn.sequence_rows(windows, scaled))
+    # the model reads the last three input steps and the targets only
+    windows = wn.chronological_split(_named(scaled), **LIMITS).filter("step >= 45")
+    seq = materialize(
+        wn.sequence_rows(windows, scaled.select("ts", "station_id", *TARGET_COLUMNS))
+    )
     edges = gr.edge_attributes(delaunay_edges(features).drop("alt_diff_km"), features)
     mix = gr.propagate(scaled, materialize(edges.select("ts", "src", "dst", "dist_scaled")), TARGET_COLUMNS)
     design = materialize(fc.design_rows(seq, mix))
