@@ -219,15 +219,14 @@ def _(s, d):
 
 
 @query("drop_self_loops",
-       sql("points", "SELECT a.ts, a.station_id AS src, b.station_id AS dst FROM points a JOIN points b"
-                     " ON a.ts = b.ts AND a.source = b.source AND a.lat <= b.lat"
-                     " AND a.station_id <> b.station_id"))
+       sql("points", "SELECT ts, src, dst FROM (SELECT * FROM delaunay UNION ALL"
+                     " SELECT ts, station_id, station_id FROM points) WHERE src <> dst",
+           cart("points"), DELAUNAY))
 def _(s, d):
-    p = ev.points(s, d).select("ts", "source", "station_id", "lat")
-    a = p.select("ts", "source", F.col("station_id").alias("src"), F.col("lat").alias("lat_a"))
-    b = p.select("ts", "source", F.col("station_id").alias("dst"), F.col("lat").alias("lat_b"))
-    near = a.join(b, ["ts", "source"]).filter("lat_a <= lat_b")
-    return gr.drop_self_loops(near).select("ts", "src", "dst")
+    points = materialize(ev.points(s, d))
+    loops = points.select("ts", F.col("station_id").alias("src"), F.col("station_id").alias("dst"))
+    edges = delaunay_edges(points).select("ts", "src", "dst").unionByName(loops)
+    return gr.drop_self_loops(edges)
 
 
 @query("coalesce_edges_first",
