@@ -33,13 +33,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0]: ends[-1]], ends - ends[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray,
-           limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows; a longer text is a run of its own."""
+def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES,
+           most: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most ``most`` rows and ``limit`` bytes;
+    a longer text is a run of its own."""
     rows, start = len(offsets) - 1, 0
     while start < rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), rows)
+        end = min(max(end, start + 1), start + most, rows)
         yield (start, end, data[offsets[start]: offsets[end]],
                offsets[start: end + 1] - offsets[start])
         start = end

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylattice.llm import mixing, ring, tokens, urls
+from skylattice.llm import decontaminate, language, mixing, ring, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,14 +85,69 @@ SELECT doc_id, size, source_size, target,
   epochs * size + greatest(0, least(size, rest - ahead)) AS taken
 FROM placed"""
 
+
+def id_crc(id_col: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_crc() % 4 == 2
+    model = language.fit_languages(docs, training=~held_out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred",
+                        F.col("lang_score").alias("score"),
+                        F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
+                         "component_id")
+
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.drop("text_key")
+
+
+OP10_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ items AS (SELECT item_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS k,
+    array_to_string(list_slice(w, i, i + 9), ' ') AS phrase
+   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+ sizes AS (SELECT DISTINCT k FROM windows),
+ runs AS (SELECT row, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+   FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k)),
+ found AS (SELECT row, i, runs.k, item_id FROM runs JOIN windows USING (k, phrase)),
+ hits AS (SELECT row, count(*) AS n_hit FROM (
+   SELECT DISTINCT row, unnest(range(i, i + k)) AS p FROM found) GROUP BY row),
+ listed AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (
+   SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN listed USING (row)"""
+
 QUERIES = {
     "op2_tokens": op2_tokens,
     "op3_shards": op3_shards,
     "op4_urls": op4_urls,
     "op5_mix": op5_mix,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
     "op4_urls": OP4_SQL,
     "op5_mix": OP5_SQL,
+    "op10_decontaminate": OP10_SQL,
 }

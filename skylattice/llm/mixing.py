@@ -91,3 +91,30 @@ def mix_sources(docs: DataFrame, *, weights: list[int], max_epochs: int = 3,
                 (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
                 (F.col("epochs") + F.when(part > 0, 1).otherwise(0)).cast("int").alias("copies"))
     )
+
+
+def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                  source_col: str = "source", **options) -> DataFrame:
+    """The documents in their own columns, each as many times as the mix begins it.
+
+    Rows meet their copies by (id, source, size); rows equal in all three are dealt their copies
+    in any order, by number. Texts are shuffled once, by id."""
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = materialize(mixed.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
+                                      F.col("size").alias("_size"), F.col("copies").alias("_copies")))
+    same = ["_id", "_source", "_size"]
+    if not copies.groupBy(*same).count().where("count > 1").limit(1).count():
+        rows = docs.withColumn("_n", F.lit(1))
+        copies = copies.withColumn("_m", F.lit(1))
+    else:
+        size = word_count(F.col(text_col))
+        rows = docs.withColumn("_n", F.row_number().over(
+            Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col))))
+        copies = copies.withColumn("_m", F.row_number().over(
+            Window.partitionBy(*same).orderBy(F.desc("_copies"))))
+    copies = copies.where("_copies > 0")
+    match = (docs[id_col].eqNullSafe(copies["_id"]) & docs[source_col].eqNullSafe(copies["_source"])
+             & (word_count(docs[text_col]) == copies["_size"]) & (rows["_n"] == copies["_m"]))
+    taken = rows.join(copies, match)
+    return (taken.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
