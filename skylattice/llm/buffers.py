@@ -73,11 +73,19 @@ def spans(data: np.ndarray, offsets: np.ndarray,
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """Powers of an odd number modulo 2^64; those of a chunk are kept, a longer text's are not."""
+    known = _POWERS.get(base, np.zeros(0, np.uint64))
+    if n > len(known):
+        known = np.full(max(n, CHUNK_BYTES), np.uint64(base), dtype=np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= CHUNK_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skylattice.llm import decontaminate, language, mixing, ring, simhash, tokens, urls
+from skylattice.llm import decontaminate, language, mixing, quality, ring, simhash, tokens, urls
+from skylattice.llm import vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_crc(id_col: str = "doc_id") -> Column:
+    """CRC-32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_crc() % 5 == 0
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"), training=~held_out)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,8 +101,8 @@ SELECT doc_id, size, source_size, target,
 FROM placed"""
 
 
-def id_crc(id_col: str = "doc_id"):
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,16 +152,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN listed USING (row)"""
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_tokens": op2_tokens,
     "op3_shards": op3_shards,
     "op4_urls": op4_urls,
     "op5_mix": op5_mix,
+    "op6_vectors": op6_vectors,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+   AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+   AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9e0),
+ reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM v JOIN roots ON roots.a = vec_id"""
+
 ORACLES = {
+    "op6_vectors": OP6_SQL,
     "op4_urls": OP4_SQL,
     "op5_mix": OP5_SQL,
     "op10_decontaminate": OP10_SQL,
