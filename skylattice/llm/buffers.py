@@ -17,11 +17,11 @@ _LOWER[ord("A"): ord("Z") + 1] += 32
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string array; a null is an empty row."""
+    """UTF-8 bytes and row offsets of a string or binary array; a null is an empty row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
     if len(texts) == 0 or offsets is None:

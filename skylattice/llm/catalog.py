@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skylattice.llm import decontaminate, language, mixing, quality, ring, simhash, tokens, urls
+from skylattice.llm import decontaminate, language, maxent, mixing, quality, ring, simhash, tokens, urls
 from skylattice.llm import vectors
 
 
@@ -122,6 +122,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 7 == 2
+    scored = maxent.score_texts(_table(spark, sf_dir, "documents"), training=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -160,6 +167,7 @@ QUERIES = {
     "op6_vectors": op6_vectors,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_maxent": op9_maxent,
     "op10_decontaminate": op10_decontaminate,
 }
 
