@@ -10,9 +10,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skylattice.llm.buffers import chunks, flat
+from skylattice.llm.frames import quoted
 
 DIMS = 4096
 #: Rows the classifiers are fitted on, shared evenly among the languages.
@@ -151,8 +152,9 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     as is everything when no language was learned. The model is a few hundred kilobytes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["lang_pred", "lang_score", "lang_ambiguous"]
-    kept = [c for c in docs.columns if c not in added]
-    plain = docs.select(*kept)
+    kept = [c for c in docs.columns if c.lower() not in added]
+    plain = docs.select(*[quoted(c) for c in kept])
+    numbered = plain.toDF(*[f"c{i}" for i in range(len(kept))])  # any name may come in
     at = kept.index(text_col)
 
     def predicted(batches):
@@ -177,6 +179,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
                  pa.array((lead < LEAD) & (best < len(names) - 1))],
                 names=[*kept, *added])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(
-        predicted, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    schema = T.StructType([
+        *plain.schema.fields, T.StructField("lang_pred", T.StringType()),
+        T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
+    return numbered.mapInArrow(predicted, schema)

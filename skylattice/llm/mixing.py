@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skylattice.llm.frames import fresh, own, quoted
 from skylattice.session import materialize
 
 #: Slices of the hash range; a source of 10^10 documents has about 2.4 million in each.
@@ -98,23 +99,25 @@ def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The documents in their own columns, each as many times as the mix begins it.
 
     Rows meet their copies by (id, source, size); rows equal in all three are dealt their copies
-    in any order, by number. Texts are shuffled once, by id."""
+    in any order, by number. Texts are shuffled once, by id; rows repeated under one id meet in one
+    task."""
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     copies = materialize(mixed.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
                                       F.col("size").alias("_size"), F.col("copies").alias("_copies")))
     same = ["_id", "_source", "_size"]
+    turn = fresh(docs, "turn")
     if not copies.groupBy(*same).count().where("count > 1").limit(1).count():
-        rows = docs.withColumn("_n", F.lit(1))
-        copies = copies.withColumn("_m", F.lit(1))
+        rows, copies = docs.withColumn(turn, F.lit(1)), copies.withColumn("_turn", F.lit(1))
     else:
         size = word_count(F.col(text_col))
-        rows = docs.withColumn("_n", F.row_number().over(
+        rows = docs.withColumn(turn, F.row_number().over(
             Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col))))
-        copies = copies.withColumn("_m", F.row_number().over(
+        copies = copies.withColumn("_turn", F.row_number().over(
             Window.partitionBy(*same).orderBy(F.desc("_copies"))))
     copies = copies.where("_copies > 0")
-    match = (docs[id_col].eqNullSafe(copies["_id"]) & docs[source_col].eqNullSafe(copies["_source"])
-             & (word_count(docs[text_col]) == copies["_size"]) & (rows["_n"] == copies["_m"]))
-    taken = rows.join(copies, match)
-    return (taken.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    match = (rows[id_col].eqNullSafe(copies["_id"]) & rows[source_col].eqNullSafe(copies["_source"])
+             & (word_count(rows[text_col]) == copies["_size"]) & (rows[turn] == copies["_turn"]))
+    again = F.array_repeat(F.lit(1), copies["_copies"])
+    taken = rows.join(copies, match).select(
+        *[rows[quoted(c)] for c in docs.columns], again.alias(turn))
+    return taken.withColumn(turn, F.explode(turn)).select(*own(docs))

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylattice.llm.components import components
+from skylattice.llm.frames import fresh, own
 from skylattice.session import materialize
 
 BITS = 64
@@ -129,9 +130,9 @@ def keep_first(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id",
         F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     kept = materialize(firsts.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
                        .agg(F.count("*").alias("n")))
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    found = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_key"]),
-                      "left_semi")
+    key = F.xxhash64(docs[text_col])
+    found = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (key == kept["_key"]), "left_semi")
     if kept.where("n > 1").limit(1).count():
-        found = found.dropDuplicates([id_col, "_key"])
-    return found.select(*docs.columns)
+        name = fresh(docs, "text_key")
+        found = found.withColumn(name, F.xxhash64(text_col)).dropDuplicates([id_col, name])
+    return found.select(*own(docs))
