@@ -1,13 +1,17 @@
 """Delaunay neighbours of each station, found independently per station.
 
 Move a station to the origin and map every other station at offset d to 2d / |d|^2. The stations
-whose images are corners of the convex hull of the images and the origin are exactly its Delaunay
-neighbours, and consecutive corners are its triangles. Hulls merge: the hull of a union is the hull
-of both hulls' corners, so partial results of blocks combine without loss.
+whose images are corners of the convex hull of the images and the origin are its Delaunay
+neighbours, and consecutive ones make its triangles. Stations on one circle with it have images on
+one side of the hull; such a polygon is cut by the fan from its first station by name, a rule that
+each of its stations applies alone with the same result. Hulls merge: the hull of a union follows
+from both hulls' corners and first names, so partial results of blocks combine without loss.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,17 +25,22 @@ _ANGLES = np.arange(24) * (np.pi / 12)
 COMPASS = np.stack([np.cos(_ANGLES), np.sin(_ANGLES)], axis=1)
 
 
+#: Relative height below which images count as lying on one line, some centimetres on the ground.
+FLAT = 1e-11
+
+
 def _hull(xs: list[float], ys: list[float]) -> list[int]:
     """Corners of the convex hull, counter-clockwise, points on an edge left out."""
     order = sorted(range(len(xs)), key=lambda i: (xs[i], ys[i]))
+    size = [math.hypot(x, y) for x, y in zip(xs, ys, strict=True)]
 
     def chain(indices) -> list[int]:
         kept: list[int] = []
         for i in indices:
             while len(kept) > 1:
                 a, b = kept[-2], kept[-1]
-                turn = (xs[b] - xs[a]) * (ys[i] - ys[a]) - (ys[b] - ys[a]) * (xs[i] - xs[a])
-                if turn > 0:
+                ex, ey, fx, fy = xs[b] - xs[a], ys[b] - ys[a], xs[i] - xs[a], ys[i] - ys[a]
+                if ex * fy - ey * fx > FLAT * math.hypot(ex, ey) * max(size[a], size[b], size[i]):
                     break
                 kept.pop()
             kept.append(i)
@@ -41,30 +50,60 @@ def _hull(xs: list[float], ys: list[float]) -> list[int]:
     return lower[:-1] + upper[:-1]
 
 
-def star(dx: np.ndarray, dy: np.ndarray) -> tuple[list[int], bool]:
+def _candidates(ux: np.ndarray, uy: np.ndarray) -> np.ndarray:
+    """Images that are not well inside the hull of the extremes in a few directions."""
+    extremes = np.unique((COMPASS @ np.stack([ux, uy])).argmax(axis=1))
+    corners = _hull([0.0, *ux[extremes].tolist()], [0.0, *uy[extremes].tolist()])
+    px = np.array([0.0 if c == 0 else ux[extremes[c - 1]] for c in corners])
+    py = np.array([0.0 if c == 0 else uy[extremes[c - 1]] for c in corners])
+    ex, ey = np.r_[px[1:], px[0]] - px, np.r_[py[1:], py[0]] - py
+    side = ex[:, None] * (uy - py[:, None]) - ey[:, None] * (ux - px[:, None])
+    reach = np.hypot(ex, ey)[:, None] * (np.hypot(ux, uy) + np.hypot(px, py)[:, None])
+    outside = (side <= FLAT * reach).any(axis=0)
+    outside[extremes] = True
+    return np.flatnonzero(outside)
+
+
+def star(dx: np.ndarray, dy: np.ndarray, names: np.ndarray, own: str) -> tuple[list[int], bool]:
     """Indices of the neighbours around a station, counter-clockwise, from the offsets to the
-    other stations; the flag tells whether the ring of triangles closes. An open ring starts
-    after the gap."""
+    other stations and all names; the flag tells whether the ring of triangles closes. An open
+    ring starts after the gap."""
     squares = dx * dx + dy * dy
     ux, uy = 2.0 * dx / squares, 2.0 * dy / squares
-    pool = np.arange(len(dx))
-    if len(pool) > 2 * len(COMPASS):
-        # stations inside the hull of the extremes in a few directions cannot be corners
-        extremes = np.unique((COMPASS @ np.stack([ux, uy])).argmax(axis=1))
-        corners = _hull([0.0, *ux[extremes].tolist()], [0.0, *uy[extremes].tolist()])
-        px = np.array([0.0 if c == 0 else ux[extremes[c - 1]] for c in corners])
-        py = np.array([0.0 if c == 0 else uy[extremes[c - 1]] for c in corners])
-        ex, ey = np.r_[px[1:], px[0]] - px, np.r_[py[1:], py[0]] - py
-        side = ex[:, None] * (uy - py[:, None]) - ey[:, None] * (ux - px[:, None])
-        outside = (side < 0).any(axis=0)
-        outside[extremes] = True
-        pool = np.flatnonzero(outside)
-    corners = _hull([0.0, *ux[pool].tolist()], [0.0, *uy[pool].tolist()])
-    if 0 not in corners:
-        return [int(pool[c - 1]) for c in corners], True
-    at = corners.index(0)
-    ring = corners[at + 1:] + corners[:at]
-    return [int(pool[c - 1]) for c in ring], False
+    pool = np.arange(len(dx)) if len(dx) <= 2 * len(COMPASS) else _candidates(ux, uy)
+    x, y = np.r_[0.0, ux[pool]], np.r_[0.0, uy[pool]]
+    corners, size = _hull(x.tolist(), y.tolist()), np.hypot(x, y)
+
+    def inner(a: int, b: int) -> np.ndarray:
+        """Points on the edge from a to b between its ends, in order."""
+        ex, ey = x[b] - x[a], y[b] - y[a]
+        off = ex * (y - y[a]) - ey * (x - x[a])
+        along = ex * (x - x[a]) + ey * (y - y[a])
+        on = np.abs(off) <= FLAT * math.hypot(ex, ey) * max(size[a], size[b])
+        found = np.flatnonzero(on & (along > 0) & (along < ex * ex + ey * ey))
+        found = found[(found != a) & (found != b)]
+        return found[np.argsort(along[found], kind="stable")]
+
+    edges = [(a, b, inner(a, b)) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)]
+    # the origin on the hull leaves a gap: no station lies on that side
+    gaps = [k for k, (a, b, on) in enumerate(edges) if 0 in (a, b) or 0 in on]
+    if gaps:
+        start = corners.index(0) if 0 in corners else gaps[0] + 1
+        edges = edges[start:] + edges[:start]
+    ring: list[int] = []
+    for a, b, on in edges:
+        if a != 0:
+            ring.append(a)
+        if 0 in (a, b) or 0 in on or not len(on):
+            continue
+        circle = np.array([a, b, *on])
+        called = names[pool[circle - 1]].tolist()
+        least = min(range(len(called)), key=called.__getitem__)
+        if own < called[least]:
+            ring.extend(on.tolist())
+        elif least > 1:
+            ring.append(int(circle[least]))
+    return [int(pool[c - 1]) for c in ring], not gaps
 
 
 def _unique_positions(stations: blocks.Stations) -> blocks.Stations:
@@ -83,7 +122,8 @@ def _stars(
         dx, dy = candidates["px"] - x, candidates["py"] - y
         others = np.flatnonzero((dx != 0) | (dy != 0))
         if len(others):
-            ring, closed = star(dx[others], dy[others])
+            names = candidates["station_id"][others]
+            ring, closed = star(dx[others], dy[others], names, queries["station_id"][i])
             out.append((i, others[ring], closed))
     return out
 
@@ -119,6 +159,10 @@ STAR = (
 )
 
 
+#: Sine of the angle below which a station and two neighbours lie on a line and make no triangle.
+THIN = 1e-12
+
+
 def _discs(dx: np.ndarray, dy: np.ndarray, closed: bool) -> tuple[np.ndarray, ...]:
     """Centres (as offsets) and radii of the circles through a station and each two consecutive
     neighbours."""
@@ -127,8 +171,11 @@ def _discs(dx: np.ndarray, dy: np.ndarray, closed: bool) -> tuple[np.ndarray, ..
         dx, dy, ex, ey = dx[:-1], dy[:-1], ex[:-1], ey[:-1]
     det = 2.0 * (dx * ey - dy * ex)
     d2, e2 = dx * dx + dy * dy, ex * ex + ey * ey
-    x, y = (ey * d2 - dy * e2) / det, (dx * e2 - ex * d2) / det
-    return x, y, np.hypot(x, y)
+    level = np.abs(det) <= THIN * np.sqrt(d2 * e2)
+    safe = np.where(level, 1.0, det)
+    x, y = (ey * d2 - dy * e2) / safe, (dx * e2 - ex * d2) / safe
+    # three stations on a line: the circle is a half plane, which any box may meet
+    return np.where(level, 0.0, x), np.where(level, 0.0, y), np.where(level, np.inf, np.hypot(x, y))
 
 
 def _star_row(
@@ -138,7 +185,7 @@ def _star_row(
     others = np.flatnonzero((dx != 0) | (dy != 0))
     ring, closed = np.array([], dtype=int), False
     if len(others):
-        found, closed = star(dx[others], dy[others])
+        found, closed = star(dx[others], dy[others], around["station_id"][others], station)
         ring = others[found]
     cx, cy, radius = _discs(dx[ring], dy[ring], closed)
     return {
@@ -149,6 +196,7 @@ def _star_row(
     }
 
 
+RING = ("ring", "ring_x", "ring_y")
 STATION = ("station_id", "px", "py", "alt", "home", "reach")
 
 
@@ -163,10 +211,11 @@ def _own_stars(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.
 def _new_neighbours(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
     """Candidates that become neighbours of a visiting station next to those it already has."""
     src, dst = [], []
-    rings = zip(queries["px"], queries["py"], queries["ring_x"], queries["ring_y"], strict=True)
-    for i, (x, y, ring_x, ring_y) in enumerate(rings):
+    rings = zip(*(queries[c] for c in ("station_id", "px", "py", *RING)), strict=True)
+    for i, (own, x, y, ring, ring_x, ring_y) in enumerate(rings):
         dx, dy = candidates["px"] - x, candidates["py"] - y
-        found, _ = star(np.r_[dx, ring_x - x], np.r_[dy, ring_y - y])
+        names = np.r_[candidates["station_id"], np.asarray(ring, dtype=object)]
+        found, _ = star(np.r_[dx, ring_x - x], np.r_[dy, ring_y - y], names, own)
         new = [j for j in found if j < len(dx)]
         src += [i] * len(new)
         dst += new
@@ -210,12 +259,11 @@ def _merge_stars(partial: DataFrame, by: str) -> DataFrame:
 
 def _visit(points: DataFrame, stars: DataFrame, visitors: DataFrame, by: str) -> DataFrame:
     """The stars after some of them (``visitors``: star columns and ``tile``) saw another tile."""
-    rings = [F.col(c) for c in ("ring_x", "ring_y")]
     searching = materialize(
-        visitors.select(by, F.col("src").alias("station_id"), *STATION[1:], *rings, "tile")
+        visitors.select(by, F.col("src").alias("station_id"), *STATION[1:], *RING, "tile")
     )
     visited = points.join(searching.select(by, "tile").distinct(), [by, "tile"], "left_semi")
-    bare = {c: F.lit(None).cast("array<double>") for c in ("ring_x", "ring_y")}
+    bare = {c: F.lit(None).cast(visitors.schema[c].dataType) for c in RING}
     added = materialize(
         tiles.search(visited.withColumns(bare), searching, _new_neighbours, PARTIAL, by, own=False)
     )
@@ -322,7 +370,8 @@ def delaunay_edges(
     nodes: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK, lat0: float = PLANE_LAT0
 ) -> DataFrame:
     """``ts, src, dst, alt_diff_km``, both directions of every Delaunay edge of the snapshot.
-    Four stations on one circle get no diagonal; stations at one place are taken once."""
+    A polygon of stations on one circle is cut by the fan from its first station by name; stations
+    at one place are taken once."""
     flat = plane(nodes, by, lat0=lat0)
     if blocks.largest_snapshot(flat, by) <= max_block:
         return blocks.per_snapshot(flat, _edges, EDGE_SCHEMA, by)
@@ -347,7 +396,9 @@ def delaunay_triangles(
             following = np.roll(ring, -1)
             if not closed:
                 ring, following = ring[:-1], following[:-1]
-            keep = (ring > i) & (following > i)
+            ax, ay, bx, by_ = (unique[p][j] - unique[p][i] for j in (ring, following) for p in ("px", "py"))
+            wide = ax * by_ - ay * bx > THIN * np.hypot(ax, ay) * np.hypot(bx, by_)
+            keep = (ring > i) & (following > i) & wide
             rows.extend((i, j, k) for j, k in zip(ring[keep], following[keep], strict=True))
         corners = np.array(rows, dtype=int).reshape(-1, 3)
         return {c: names[corners[:, n]] for n, c in enumerate("abc")}
@@ -361,9 +412,15 @@ def delaunay_triangles(
     wrapped = F.when(F.col("closed"), n).otherwise(n - 1)
     pairs = F.transform(
         F.slice("ring", F.lit(1), wrapped),
-        lambda b, i: F.struct(b.alias("b"), F.get("ring", (i + 1) % n).alias("c")),
+        lambda b, i: F.struct(
+            b.alias("b"), F.get("ring", (i + 1) % n).alias("c"),
+            *[(F.get(f"ring_{p[1]}", k) - F.col(p)).alias(f"{e}{p}")
+              for e, k in (("_b", i), ("_c", (i + 1) % n)) for p in PLANE_AXES]),
     )
+    turn = F.col("_bpx") * F.col("_cpy") - F.col("_bpy") * F.col("_cpx")
+    wide = turn > F.lit(THIN) * F.hypot("_bpx", "_bpy") * F.hypot("_cpx", "_cpy")
     return (
-        stars.filter(n >= 2).select(by, F.col("src").alias("a"), F.inline(pairs))
-        .filter((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")))
+        stars.filter(n >= 2).select(by, F.col("src").alias("a"), "px", "py", F.inline(pairs))
+        .filter((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")) & wide)
+        .select(by, "a", "b", "c")
     )

@@ -34,19 +34,25 @@ def cart(table: str) -> str:
 
 
 # The circle through a and b with its centre t steps along the normal holds no other station for
-# t between the largest bound from the right and the smallest from the left.
-DELAUNAY = """tested AS (
-  SELECT ts, s, d, max(CASE WHEN cr < 0 THEN q / (2 * cr) END) AS lo,
-    min(CASE WHEN cr > 0 THEN q / (2 * cr) END) AS hi, bool_or(cr = 0 AND q < 0) AS blocked
-  FROM (SELECT a.ts, a.station_id AS s, b.station_id AS d,
+# t between the largest bound from the right and the smallest from the left. If both bounds are one,
+# a and b lie on a circle with others, and are joined if one of them is first of it by name.
+DELAUNAY = """bounds_of AS (SELECT ts, s, d, c, CASE WHEN abs(cr) > 1e-12 THEN q / (2 * cr) END AS t,
+     CASE WHEN abs(cr) > 1e-12 THEN sign(cr) ELSE 0 END AS side, q
+   FROM (SELECT a.ts, a.station_id AS s, b.station_id AS d, c.station_id AS c,
       (b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px) AS cr,
       pow(c.px - (a.px + b.px) / 2, 2) + pow(c.py - (a.py + b.py) / 2, 2)
         - (pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) / 4 AS q
     FROM cart a JOIN cart b ON a.ts = b.ts AND a.station_id < b.station_id
     LEFT JOIN cart c ON c.ts = a.ts AND c.station_id <> a.station_id
-      AND c.station_id <> b.station_id) GROUP BY ts, s, d),
- sides AS (SELECT ts, s, d FROM tested WHERE coalesce(lo, -1e300) < coalesce(hi, 1e300)
-   AND NOT coalesce(blocked, FALSE)),
+      AND c.station_id <> b.station_id)),
+ tested AS (SELECT ts, s, d, coalesce(max(t) FILTER (side < 0), -1e300) AS lo,
+     coalesce(min(t) FILTER (side > 0), 1e300) AS hi, coalesce(bool_or(side = 0 AND q < 0), FALSE) AS blocked
+   FROM bounds_of GROUP BY ts, s, d),
+ free AS (SELECT *, hi - lo <= 1e-8 * (1 + abs(lo)) AS tied FROM tested
+   WHERE hi - lo >= -1e-8 * (1 + abs(lo)) AND NOT blocked),
+ sides AS (SELECT ts, s, d FROM free WHERE NOT tied UNION ALL
+   SELECT f.ts, f.s, f.d FROM free f JOIN bounds_of b ON b.ts = f.ts AND b.s = f.s AND b.d = f.d
+   WHERE tied AND abs(b.t - lo) <= 1e-8 * (1 + abs(lo)) GROUP BY f.ts, f.s, f.d HAVING f.s < min(b.c)),
  delaunay AS (SELECT ts, s AS src, d AS dst FROM sides UNION ALL SELECT ts, d, s FROM sides)"""
 
 DIST = """dist AS (SELECT a.ts, a.station_id AS src, b.station_id AS dst,
@@ -142,10 +148,10 @@ _TRIANGLES = """tri AS (SELECT x.ts, x.src AS a, x.dst AS b, y.dst AS c FROM del
    JOIN cart r ON r.ts = tri.ts AND r.station_id = c),
  round AS (SELECT *, (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / (2 * (bx * cy - by_ * cx)) AS ux,
      (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / (2 * (bx * cy - by_ * cx)) AS uy
-   FROM placed WHERE bx * cy - by_ * cx <> 0),
+   FROM placed WHERE abs(bx * cy - by_ * cx) > 1e-12),
  triangles AS (SELECT ts, a, b, c FROM round t WHERE NOT EXISTS (SELECT 1 FROM cart o
    WHERE o.ts = t.ts AND o.station_id NOT IN (t.a, t.b, t.c)
-     AND pow(o.px - t.ax - ux, 2) + pow(o.py - t.ay - uy, 2) < ux * ux + uy * uy))"""
+     AND pow(o.px - t.ax - ux, 2) + pow(o.py - t.ay - uy, 2) < (ux * ux + uy * uy) * (1 - 1e-9)))"""
 
 
 @query("delaunay_triangles",
@@ -156,6 +162,30 @@ def _(s, d):
     return found.select("ts", "a", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c"))
 
 
+# Positions rounded to whole degrees: nearly every station has three others on a circle with it.
+LATTICE = """lattice AS (SELECT * FROM (SELECT * REPLACE (round(lat) AS lat, round(lon) AS lon) FROM points)
+   QUALIFY row_number() OVER (PARTITION BY ts, lat, lon ORDER BY station_id) = 1)"""
+
+
+def lattice_points(spark, sf_dir) -> DataFrame:
+    points = ev.points(spark, sf_dir)
+    return materialize(points.withColumns({c: F.round(c) for c in ("lat", "lon")}))
+
+
+@query("delaunay_edges_lattice",
+       sql("points", "SELECT ts, src, dst FROM delaunay", LATTICE, cart("lattice"), DELAUNAY))
+def _(s, d):
+    return plain_edges(lattice_points(s, d))
+
+
+@query("delaunay_triangles_lattice",
+       sql("points", "SELECT ts, least(a, b, c) AS a, b, c FROM triangles", LATTICE, cart("lattice"),
+           DELAUNAY, _TRIANGLES))
+def _(s, d):
+    found = delaunay_triangles(lattice_points(s, d))
+    return found.select("ts", "a", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c"))
+
+
 @query("adaptive_radius_edges",
        sql("points", "SELECT ts, src, dst FROM adaptive", cart("points"), DIST, ADAPTIVE))
 def _(s, d):

@@ -88,8 +88,34 @@ def test_delaunay_degenerate(spark):
     df = spark.createDataFrame(rows, "station_id string, lat double, lon double").withColumns(
         {"ts": F.lit(HOURS[0]), "alt": F.lit(0.0)})
     sides = {(r.src, r.dst) for r in delaunay_edges(df, lat0=0.0).collect() if r.src < r.dst}
-    # a square has no diagonal, and of two stations at one place the first stands for both
-    assert sides == {("S1", "S2"), ("S1", "S3"), ("S2", "S4"), ("S3", "S4")}
+    # the square is cut from its first corner, and of two stations at one place the first stands for both
+    assert sides == {("S1", "S2"), ("S1", "S3"), ("S2", "S4"), ("S3", "S4"), ("S1", "S4")}
+
+
+def lattice(n, seed):
+    """Stations on crossings of whole degrees, names in random order."""
+    places = [(float(y), float(x)) for y in range(n) for x in range(n)]
+    names = np.random.default_rng(seed).permutation(len(places))
+    return [(f"S{k:03d}", *p, 0.0, p[0] + 2 * p[1]) for k, p in zip(names, places)]
+
+
+@pytest.mark.parametrize("size", [1024, 6])
+@pytest.mark.parametrize("lat0", [0.0, 41.7])
+def test_lattice_is_triangulated_whole(spark, size, lat0):
+    n = 5
+    rows = [(HOURS[0], *s) for s in lattice(n, 4)] + [(HOURS[1], f"L{i}", 1.0, float(i), 0.0, 1.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "ts timestamp, station_id string, lat double, lon double, alt double, v double")
+    edges = edge_set(delaunay_edges(df, max_block=size, lat0=lat0))
+    assert all((ts, b, a) in edges for ts, a, b in edges)
+    hull = 4 * (n - 1)
+    assert sum(ts == HOURS[0] for ts, _, _ in edges) == 2 * (3 * n * n - 3 - hull)
+    assert sum(ts == HOURS[1] for ts, _, _ in edges) == 2 * 6
+    triangles = delaunay_triangles(df, max_block=size, lat0=lat0).collect()
+    assert len(triangles) == 2 * (n - 1) ** 2
+    cells = gd.interp_linear(df.filter(F.col("ts") == HOURS[0]), "v", 9, margin=0.0, max_block=size).collect()
+    assert len(cells) == 81
+    for r in cells:
+        assert r.value == pytest.approx((r.row + 2 * r.col) * (n - 1) / 8)
 
 
 @pytest.mark.parametrize("size", SIZES)
