@@ -1,9 +1,8 @@
 """Geometry inside snapshots without emitting station pairs.
 
 A snapshot is one hour of stations. Distances between its stations are worked out in numpy inside
-a task and only results leave it. A snapshot of at most ``MAX_BLOCK`` stations is one group. When a
-larger one exists (checked by counting first), neighbour searches go through spatial tiles
-(``tiles``). What really needs every distance of a snapshot is computed on ordered pairs of hashed
+a task and only results leave it. A snapshot of at most ``MAX_BLOCK`` stations is one group. Larger
+ones go through spatial tiles (``tiles``), each snapshot by its own size. What really needs every distance of a snapshot is computed on ordered pairs of hashed
 chunks, each its own group, so neither a crowded hour nor a dense area ends up in one task.
 """
 
@@ -15,15 +14,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skylattice.session import materialize
+
 MAX_BLOCK = 1024
 
 Stations = dict[str, np.ndarray]
 BlockFunction = Callable[[Stations, Stations], Stations]
 
 
-def largest_snapshot(points: DataFrame, by: str = "ts") -> int:
-    row = points.groupBy(by).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def by_size(
+    points: DataFrame, by: str, max_block: int,
+    whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``whole`` of the snapshots with at most ``max_block`` rows together with ``cut`` of the
+    others. Both give the same rows; only the crowded snapshots pay for being cut."""
+    sizes = points.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = materialize(sizes.filter(F.col("_n") > max_block).select(by))
+    if crowded.isEmpty():
+        return whole(points)
+    few = whole(points.join(crowded, by, "left_anti"))
+    return few.unionByName(cut(materialize(points.join(crowded, by, "left_semi"))))
 
 
 def to_stations(table: pa.Table) -> Stations:

@@ -372,14 +372,17 @@ def delaunay_edges(
     """``ts, src, dst, alt_diff_km``, both directions of every Delaunay edge of the snapshot.
     A polygon of stations on one circle is cut by the fan from its first station by name; stations
     at one place are taken once."""
-    flat = plane(nodes, by, lat0=lat0)
-    if blocks.largest_snapshot(flat, by) <= max_block:
+    def whole(flat: DataFrame) -> DataFrame:
         return blocks.per_snapshot(flat, _edges, EDGE_SCHEMA, by)
-    stars = _tiled_stars(flat, by, max_block)
-    return stars.select(
-        by, "src", F.col("alt").alias("_alt"),
-        F.inline(F.arrays_zip("ring", "ring_alt")).alias("dst", "_dst_alt"),
-    ).select(by, "src", "dst", (F.abs(F.col("_alt") - F.col("_dst_alt")) / 1000.0).alias("alt_diff_km"))
+
+    def cut(flat: DataFrame) -> DataFrame:
+        km = F.abs(F.col("_alt") - F.col("_dst_alt")) / 1000.0
+        return _tiled_stars(flat, by, max_block).select(
+            by, "src", F.col("alt").alias("_alt"),
+            F.inline(F.arrays_zip("ring", "ring_alt")).alias("dst", "_dst_alt"),
+        ).select(by, "src", "dst", km.alias("alt_diff_km"))
+
+    return blocks.by_size(plane(nodes, by, lat0=lat0), by, max_block, whole, cut)
 
 
 def delaunay_triangles(
@@ -403,11 +406,18 @@ def delaunay_triangles(
         corners = np.array(rows, dtype=int).reshape(-1, 3)
         return {c: names[corners[:, n]] for n, c in enumerate("abc")}
 
-    flat = plane(points, by, (), lat0)
-    if blocks.largest_snapshot(flat, by) <= max_block:
+    def whole(flat: DataFrame) -> DataFrame:
         return blocks.per_snapshot(flat, triangles, "a string, b string, c string", by)
 
-    stars = _tiled_stars(flat.withColumn("alt", F.lit(0.0)), by, max_block)
+    def cut(flat: DataFrame) -> DataFrame:
+        stars = _tiled_stars(flat.withColumn("alt", F.lit(0.0)), by, max_block)
+        return _star_triangles(stars, by)
+
+    return blocks.by_size(plane(points, by, (), lat0), by, max_block, whole, cut)
+
+
+def _star_triangles(stars: DataFrame, by: str) -> DataFrame:
+    """Triangles of each station with two consecutive neighbours, from its first station's star."""
     n = F.size("ring")
     wrapped = F.when(F.col("closed"), n).otherwise(n - 1)
     pairs = F.transform(

@@ -88,14 +88,12 @@ def adaptive_radius_edges(
     max_block: int = blocks.MAX_BLOCK,
 ) -> DataFrame:
     """Directed edges to every station within ``scale`` times the distance to the k-th nearest."""
-    at = positions(nodes, by)
-
-    def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+    def near(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         dist = blocks.distances(queries, candidates)
         return _pairs_within(queries, candidates, dist, _kth(dist, k) * scale)
 
-    if blocks.largest_snapshot(at, by) <= max_block:
-        return blocks.per_snapshot(at, whole, EDGE_SCHEMA, by)
+    def whole(at: DataFrame) -> DataFrame:
+        return blocks.per_snapshot(at, near, EDGE_SCHEMA, by)
 
     # the k-th nearest of the own tile bounds the search, the real one is among what it finds
     def bound(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
@@ -112,20 +110,23 @@ def adaptive_radius_edges(
         out["reach"] = reach * max(scale, 1.0) * ROUND_UP
         return out
 
-    fields = "station_id string, lat double, lon double, alt double, x double, y double, z double"
-    tiled = materialize(_tiled(at, by, max_block))
-    reaching = materialize(
-        tiles.search(tiled, None, bound, fields + ", tile int, reach double", by)
-    )
-    found = materialize(_search_within(reaching, _reach_block, PAIR_SCHEMA, by))
-    rank = F.row_number().over(Window.partitionBy(by, "src").orderBy("km"))
-    radius = (
-        found.select(by, "src", "km").withColumn("_rank", rank).filter(F.col("_rank") <= k)
-        .groupBy(by, "src").agg((F.max("km") * F.lit(scale)).alias("_radius"))
-    )
-    return found.join(radius, [by, "src"]).filter(F.col("km") <= F.col("_radius")).select(
-        by, "src", "dst", "alt_diff_km"
-    )
+    def cut(at: DataFrame) -> DataFrame:
+        fields = "station_id string, lat double, lon double, alt double, x double, y double, z double"
+        tiled = materialize(_tiled(at, by, max_block))
+        reaching = materialize(
+            tiles.search(tiled, None, bound, fields + ", tile int, reach double", by)
+        )
+        found = materialize(_search_within(reaching, _reach_block, PAIR_SCHEMA, by))
+        rank = F.row_number().over(Window.partitionBy(by, "src").orderBy("km"))
+        radius = (
+            found.select(by, "src", "km").withColumn("_rank", rank).filter(F.col("_rank") <= k)
+            .groupBy(by, "src").agg((F.max("km") * F.lit(scale)).alias("_radius"))
+        )
+        return found.join(radius, [by, "src"]).filter(F.col("km") <= F.col("_radius")).select(
+            by, "src", "dst", "alt_diff_km"
+        )
+
+    return blocks.by_size(positions(nodes, by), by, max_block, whole, cut)
 
 
 BINS = 65536
@@ -144,14 +145,17 @@ def radius_at_quantile(
     """``ts, radius``: exact quantile, linearly interpolated, of the full distance matrix of the
     snapshot with its zero diagonal. For cut-up snapshots a histogram of the distances finds the
     bins of the two neighbouring ranks, then only the distances in those bins are ranked."""
-    at = positions(nodes, by)
-    kind = nodes.schema[by].dataType.simpleString()
-    if blocks.largest_snapshot(at, by) <= max_block:
-        def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-            return {"radius": np.array([np.quantile(_with_self(queries, candidates), quantile)])}
+    def quantile_of(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        return {"radius": np.array([np.quantile(_with_self(queries, candidates), quantile)])}
+
+    return blocks.by_size(
+        positions(nodes, by), by, max_block,
+        lambda at: blocks.per_snapshot(at, quantile_of, "radius double", by),
+        lambda at: _cut_quantile(at, quantile, by, max_block),
+    )
 
-        return blocks.per_snapshot(at, whole, "radius double", by)
 
+def _cut_quantile(at: DataFrame, quantile: float, by: str, max_block: int) -> DataFrame:
     width = DIAMETER_KM / BINS
 
     def histogram(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
@@ -199,30 +203,46 @@ def radius_at_quantile(
 
 
 def radius_edges(
-    nodes: DataFrame, quantile: float = 0.65, by: str = "ts", max_neighbors: int | None = None,
-    max_block: int = blocks.MAX_BLOCK,
+    nodes: DataFrame, quantile: float = 0.65, by: str = "ts", max_block: int = blocks.MAX_BLOCK
 ) -> DataFrame:
-    """All pairs within the snapshot's distance quantile; ``max_neighbors`` keeps the nearest."""
-    if blocks.largest_snapshot(nodes, by) <= max_block:
-        def whole(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-            dist = blocks.distances(queries, candidates)
-            matrix = np.where(np.isinf(dist), 0.0, dist)
-            radius = np.full(len(dist), np.quantile(matrix, quantile) * ROUND_UP)
-            return _pairs_within(queries, candidates, dist, radius)
-
-        found = blocks.per_snapshot(
-            positions(nodes, by), whole, PAIR_SCHEMA, by
-        )
-    else:
-        radius = radius_at_quantile(nodes, quantile, by, max_block).select(
+    """All pairs within the snapshot's distance quantile: a fixed share of all pairs, so the result
+    grows with the square of a snapshot. ``radius_km_edges`` is the form for crowded ones."""
+    def near(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        dist = blocks.distances(queries, candidates)
+        matrix = np.where(np.isinf(dist), 0.0, dist)
+        radius = np.full(len(dist), np.quantile(matrix, quantile) * ROUND_UP)
+        return _pairs_within(queries, candidates, dist, radius)
+
+    def cut(at: DataFrame) -> DataFrame:
+        radius = _cut_quantile(at, quantile, by, max_block).select(
             by, (F.col("radius") * F.lit(ROUND_UP)).alias("reach")
         )
-        at = materialize(_tiled(positions(nodes, by), by, max_block).join(radius, by))
-        found = _search_within(at, _reach_block, PAIR_SCHEMA, by)
-    if max_neighbors is None:
-        return found.drop("km")
-    rank = F.row_number().over(Window.partitionBy(by, "src").orderBy("km", "dst"))
-    return found.withColumn("_rank", rank).filter(F.col("_rank") <= max_neighbors).drop("_rank", "km")
+        tiled = materialize(_tiled(at, by, max_block).join(radius, by))
+        return _search_within(tiled, _reach_block, PAIR_SCHEMA, by)
+
+    return blocks.by_size(
+        positions(nodes, by), by, max_block,
+        lambda at: blocks.per_snapshot(at, near, PAIR_SCHEMA, by), cut,
+    ).drop("km")
+
+
+def radius_km_edges(
+    nodes: DataFrame, km: float, by: str = "ts", max_block: int = blocks.MAX_BLOCK
+) -> DataFrame:
+    """Directed edges between stations at most ``km`` apart in a straight line. A station is only
+    compared with its own tile and those within reach."""
+    def near(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        dist = blocks.distances(queries, candidates)
+        return _pairs_within(queries, candidates, dist, np.full(len(dist), float(km)))
+
+    def cut(at: DataFrame) -> DataFrame:
+        tiled = materialize(_tiled(at, by, max_block).withColumn("reach", F.lit(float(km))))
+        return _search_within(tiled, _reach_block, PAIR_SCHEMA, by)
+
+    return blocks.by_size(
+        positions(nodes, by), by, max_block,
+        lambda at: blocks.per_snapshot(at, near, PAIR_SCHEMA, by), cut,
+    ).drop("km")
 
 
 def max_alt_filter(edges: DataFrame, km: float = 0.15) -> DataFrame:
@@ -259,20 +279,22 @@ def rescue_isolated(
             "km": km[rows, best],
         }
 
-    if blocks.largest_snapshot(nodes, by) <= max_block:
-        found = blocks.per_snapshot(marked, nearest, PAIR_SCHEMA, by)
-    else:
+    def cut(some: DataFrame) -> DataFrame:
         # a straight line is shorter than the arc but for the altitude between its ends
         straight = F.lit(max_km + max_alt_km + 0.01)
-        searching = _tiled(marked, by, max_block).withColumn(
+        searching = _tiled(some, by, max_block).withColumn(
             "reach", F.when(F.col("isolated"), straight).otherwise(F.lit(-1.0))
         )
-        found = (
+        return (
             _search_within(materialize(searching), nearest, PAIR_SCHEMA, by)
             .groupBy(by, "src")
             .agg(F.min(F.struct("km", "dst", "alt_diff_km")).alias("best"))
-            .select(by, "src", "best.dst", "best.alt_diff_km")
+            .select(by, "src", "best.dst", "best.alt_diff_km", "best.km")
         )
+
+    found = blocks.by_size(
+        marked, by, max_block, lambda some: blocks.per_snapshot(some, nearest, PAIR_SCHEMA, by), cut
+    )
     there = F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"))
     back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return found.select(by, "alt_diff_km", F.inline(F.array(there, back))).select(
@@ -424,7 +446,6 @@ class GraphOptions:
     scale: float = 1.3
     dist_scale: float = 100.0
     multiscale_quantile: float | None = None
-    max_neighbors: int | None = None
     max_alt_km: float = 0.15
     rescue_km: float = 80.0
     decay: float = 75.0
@@ -450,8 +471,7 @@ def build_graph(features: DataFrame, options: GraphOptions = GraphOptions()) ->
     )
     if o.multiscale_quantile is not None:
         found = found.unionByName(
-            radius_edges(nodes, o.multiscale_quantile, max_neighbors=o.max_neighbors,
-                         max_block=o.max_block)
+            radius_edges(nodes, o.multiscale_quantile, max_block=o.max_block)
         )
     base = materialize(
         max_alt_filter(found, o.max_alt_km).groupBy("ts", "src", "dst")

@@ -2,8 +2,8 @@
 
 A layer is one hour of stations; its grid is ``n`` x ``n`` over the bounds of the stations with a
 margin. Every grid cell needs all stations of its layer, so the arithmetic runs in numpy on one
-layer, or on one chunk of a layer when a layer is larger than ``MAX_BLOCK``, and per-cell partial
-results are merged afterwards. No station and cell pairs are ever emitted.
+layer, or on chunks of a layer that is larger than ``MAX_BLOCK``, and per-cell partial results are
+merged afterwards. No station and cell pairs are ever emitted.
 """
 
 from __future__ import annotations
@@ -104,9 +104,6 @@ def interp_idw(
     by: str = "ts", max_block: int = blocks.MAX_BLOCK,
 ) -> DataFrame:
     """``ts, row, col, value``: mean of all stations weighted by 1 / (degrees^power + 1e-12)."""
-    measured = _measured(points, value, by)
-    chunked = blocks.largest_snapshot(measured, by) > max_block
-
     def sums(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> blocks.Stations:
         total, weight = np.empty(len(lon)), np.empty(len(lon))
         for s in _strips(len(lon), len(stations["lon"])):
@@ -114,23 +111,26 @@ def interp_idw(
             total[s], weight[s] = w @ stations["value"], w.sum(axis=1)
         return {"total": total, "weight": weight}
 
-    cells = _layer_cells(
-        measured, sums, "total double, weight double", n, margin, by, chunked, max_block
-    )
-    if chunked:
-        cells = cells.groupBy(by, "row", "col").agg(
-            F.sum("total").alias("total"), F.sum("weight").alias("weight")
+    def cells(layers: DataFrame, chunked: bool) -> DataFrame:
+        found = _layer_cells(
+            layers, sums, "total double, weight double", n, margin, by, chunked, max_block
         )
-    return cells.select(by, "row", "col", (F.col("total") / F.col("weight")).alias("value"))
+        if chunked:
+            found = found.groupBy(by, "row", "col").agg(
+                F.sum("total").alias("total"), F.sum("weight").alias("weight")
+            )
+        return found.select(by, "row", "col", (F.col("total") / F.col("weight")).alias("value"))
+
+    return blocks.by_size(
+        _measured(points, value, by), by, max_block,
+        lambda layers: cells(layers, False), lambda layers: cells(layers, True),
+    )
 
 
 def _nearest(
     points: DataFrame, value: str, n: int, margin: float, by: str, max_block: int
 ) -> DataFrame:
     """``ts, row, col, station_id, s_lon, s_lat, value`` of the station nearest in degrees."""
-    measured = _measured(points, value, by)
-    chunked = blocks.largest_snapshot(measured, by) > max_block
-
     def closest(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> blocks.Stations:
         best = np.empty(len(lon), dtype=int)
         for s in _strips(len(lon), len(stations["lon"])):
@@ -143,13 +143,20 @@ def _nearest(
         }
 
     schema = "d double, station_id string, s_lon double, s_lat double, value double"
-    cells = _layer_cells(measured, closest, schema, n, margin, by, chunked, max_block)
-    if chunked:
-        packed = F.struct("d", "station_id", "s_lon", "s_lat", "value")
-        cells = cells.groupBy(by, "row", "col").agg(F.min(packed).alias("b")).select(
-            by, "row", "col", "b.*"
-        )
-    return cells.drop("d")
+
+    def cells(layers: DataFrame, chunked: bool) -> DataFrame:
+        found = _layer_cells(layers, closest, schema, n, margin, by, chunked, max_block)
+        if chunked:
+            packed = F.struct("d", "station_id", "s_lon", "s_lat", "value")
+            found = found.groupBy(by, "row", "col").agg(F.min(packed).alias("b")).select(
+                by, "row", "col", "b.*"
+            )
+        return found.drop("d")
+
+    return blocks.by_size(
+        _measured(points, value, by), by, max_block,
+        lambda layers: cells(layers, False), lambda layers: cells(layers, True),
+    )
 
 
 def interp_nearest(

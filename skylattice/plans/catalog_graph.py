@@ -192,6 +192,43 @@ def _(s, d):
     return gr.adaptive_radius_edges(materialize(ev.points(s, d))).select("ts", "src", "dst")
 
 
+#: Cuts every hour of the test tables into several tiles.
+SMALL_BLOCK = 4
+
+
+@query("delaunay_edges_tiled", sql("points", "SELECT ts, src, dst FROM delaunay", cart("points"), DELAUNAY))
+def _(s, d):
+    found = delaunay_edges(materialize(ev.points(s, d)), max_block=SMALL_BLOCK)
+    return found.drop("alt_diff_km")
+
+
+@query("delaunay_edges_lattice_tiled",
+       sql("points", "SELECT ts, src, dst FROM delaunay", LATTICE, cart("lattice"), DELAUNAY))
+def _(s, d):
+    return delaunay_edges(lattice_points(s, d), max_block=SMALL_BLOCK).drop("alt_diff_km")
+
+
+@query("adaptive_radius_edges_tiled",
+       sql("points", "SELECT ts, src, dst FROM adaptive", cart("points"), DIST, ADAPTIVE))
+def _(s, d):
+    found = gr.adaptive_radius_edges(materialize(ev.points(s, d)), max_block=SMALL_BLOCK)
+    return found.select("ts", "src", "dst")
+
+
+_WITHIN = sql("points", "SELECT ts, src, dst FROM dist WHERE d <= 60e0", cart("points"), DIST)
+
+
+@query("radius_km_edges", _WITHIN)
+def _(s, d):
+    return gr.radius_km_edges(materialize(ev.points(s, d)), 60.0).select("ts", "src", "dst")
+
+
+@query("radius_km_edges_tiled", _WITHIN)
+def _(s, d):
+    found = gr.radius_km_edges(materialize(ev.points(s, d)), 60.0, max_block=SMALL_BLOCK)
+    return found.select("ts", "src", "dst")
+
+
 @query("radius_edges", sql("points", "SELECT ts, src, dst FROM radius", cart("points"), DIST, RADIUS))
 def _(s, d):
     return gr.radius_edges(materialize(ev.points(s, d)), 0.55).select("ts", "src", "dst")
@@ -215,14 +252,25 @@ def _(s, d):
 _WIDE = RESCUED.replace("80e0", "300e0").replace("base.ts", "low.ts").replace("FROM base", "FROM low")
 
 
-@query("rescue_isolated",
-       sql("points", "SELECT ts, src, dst FROM rescued", cart("points"), DELAUNAY, DIST,
-           "low AS (SELECT delaunay.* FROM delaunay JOIN dist ON dist.ts = delaunay.ts AND"
-           " dist.src = delaunay.src AND dist.dst = delaunay.dst WHERE gap <= 0.02e0)", _WIDE))
-def _(s, d):
-    points = materialize(ev.points(s, d))
+_RESCUE = sql("points", "SELECT ts, src, dst FROM rescued", cart("points"), DELAUNAY, DIST,
+              "low AS (SELECT delaunay.* FROM delaunay JOIN dist ON dist.ts = delaunay.ts AND"
+              " dist.src = delaunay.src AND dist.dst = delaunay.dst WHERE gap <= 0.02e0)", _WIDE)
+
+
+def _rescue(spark, sf_dir, **options) -> DataFrame:
+    points = materialize(ev.points(spark, sf_dir))
     level = gr.max_alt_filter(delaunay_edges(points), 0.02)
-    return gr.rescue_isolated(points, level, max_km=300.0).select("ts", "src", "dst")
+    return gr.rescue_isolated(points, level, max_km=300.0, **options).select("ts", "src", "dst")
+
+
+@query("rescue_isolated", _RESCUE)
+def _(s, d):
+    return _rescue(s, d)
+
+
+@query("rescue_isolated_tiled", _RESCUE)
+def _(s, d):
+    return _rescue(s, d, max_block=SMALL_BLOCK)
 
 
 # --- attributes --------------------------------------------------------------------------------

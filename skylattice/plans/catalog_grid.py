@@ -87,6 +87,16 @@ def _(s, d):
     return gd.interp_nearest(_points(s, d), "temp", N)
 
 
+@query("interp_nearest_cut", sql("points", f"SELECT ts, row, col, {VALUE} FROM near", *BASE, NEAR))
+def _(s, d):
+    return gd.interp_nearest(_points(s, d), "temp", N, max_block=4)
+
+
+@query("interp_idw_cut", sql("points", f"SELECT ts, row, col, {VALUE} FROM idw", *BASE, IDW))
+def _(s, d):
+    return gd.interp_idw(_points(s, d), "temp", N, max_block=4)
+
+
 @query("interp_linear", sql("points", f"SELECT ts, row, col, {VALUE} FROM linear", MEASURED, BOUNDS, GRID, *TRI))
 def _(s, d):
     return gd.interp_linear(_points(s, d), "temp", N)
