@@ -19,7 +19,7 @@ from skylattice.functions.geodesy import haversine_km
 from skylattice.operators import blocks
 from skylattice.operators.clean import first_row
 from skylattice.operators.delaunay import delaunay_triangles
-from skylattice.operators.windows import text_ordinal
+from skylattice.operators.windows import ordinal
 
 
 def _bounds(points: DataFrame, margin: float, by: str) -> DataFrame:
@@ -350,7 +350,7 @@ def wind_arrows(
     counts = obs.groupBy(by).agg(
         F.greatest(F.floor(F.count(F.lit(1)) / F.lit(max_arrows)), F.lit(1)).alias("_skip")
     )
-    placed = text_ordinal(obs, "station_id", "_i", [by]).join(counts, by)
+    placed = ordinal(obs, "station_id", "_i", [by]).join(counts, by)
     return placed.filter(F.col("_i") % F.col("_skip") == 0).select(
         by, "station_id", "lon", "lat", (u * speed).alias("arrow_u"), (v * speed).alias("arrow_v")
     )

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylattice.constants import FEATURE_COLUMNS
+from skylattice.session import materialize
 
 
 def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -14,33 +15,27 @@ def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row))
 
 
-def ordinal(df: DataFrame, key: str, bucket: Column, name: str, by: Iterable[str] = ()) -> DataFrame:
-    """0-based position of each row in the order of ``key``, within ``by``. ``bucket`` must not
-    decrease along ``key``: rows are numbered inside a bucket and shifted by the sizes of the
-    buckets before it, so only the small table of bucket sizes is ordered as a whole."""
-    by = list(by)
-    marked = df.withColumn("_bucket", bucket)
-    sizes = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *by, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
-    )
-    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key))
-    return (
-        marked.join(shifts, [*by, "_bucket"])
-        .withColumn(name, F.col("_shift") + inside - 1)
-        .drop("_bucket", "_shift")
-    )
-
+def ordinal(df: DataFrame, key: str, name: str, by: Iterable[str] = ()) -> DataFrame:
+    """0-based position of each row in the order of ``key``, within ``by``.
 
-def text_ordinal(
-    df: DataFrame, key: str, name: str, by: Iterable[str] = (), tail: int = 3
-) -> DataFrame:
-    """``ordinal`` for text: a bucket is a common prefix that leaves ``tail`` characters of the
-    longest key free."""
-    longest = df.agg(F.max(F.length(key)).alias("_longest"))
-    prefix = F.substring(F.col(key), F.lit(1), F.greatest(F.col("_longest") - tail, F.lit(0)))
-    return ordinal(one_row(df, longest), key, prefix, name, by).drop("_longest")
+    Rows are range-sorted once and numbered inside their partitions; what is ordered as a whole is
+    one row per partition and group met. No task sees a group, and no key needs a prefix."""
+    by = list(by)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *by, key).sortWithinPartitions(*by, key)
+    placed = materialize(ranged.withColumn("_spot", F.monotonically_increasing_id()))
+    part = F.shiftright("_spot", 33)
+    firsts = placed.groupBy(*by, part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_spot").alias("_first"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = firsts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], "_part", "_first",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    same = part == shifts["_part"]
+    for c in by:
+        same = same & placed[c].eqNullSafe(shifts[f"_by_{c}"])
+    return placed.join(shifts, same).select(
+        *df.columns, (F.col("_shift") + F.col("_spot") - F.col("_first")).alias(name))
 
 
 def node_index(*frames: DataFrame) -> DataFrame:
@@ -48,7 +43,7 @@ def node_index(*frames: DataFrame) -> DataFrame:
     ids = frames[0].select("station_id")
     for frame in frames[1:]:
         ids = ids.unionByName(frame.select("station_id"))
-    return text_ordinal(ids.distinct(), "station_id", "node_idx")
+    return ordinal(ids.distinct(), "station_id", "node_idx")
 
 
 def node_catalog(obs: DataFrame) -> DataFrame:
@@ -61,7 +56,7 @@ def node_catalog(obs: DataFrame) -> DataFrame:
 
 def snapshots(df: DataFrame) -> DataFrame:
     """``ts, i``: the distinct hours in order."""
-    return ordinal(df.select("ts").distinct(), "ts", F.date_format("ts", "yyyyMM"), "i")
+    return ordinal(df.select("ts").distinct(), "ts", "i")
 
 
 def sliding_windows(
@@ -127,22 +122,20 @@ def sequence_rows(windows: DataFrame, features: DataFrame) -> DataFrame:
 def densify(
     windows: DataFrame, features: DataFrame, index: DataFrame, cols: Iterable[str]
 ) -> DataFrame:
-    """Every step of every sequence by every station: absent stations are zero with ``present``
-    false. The index is dense, so stations are a counted range rather than a joined table, and
-    each hour is filled once before the sequences sharing it fan out."""
+    """Every step of a sequence by every station that reports in any of its steps: a station is
+    zero with ``present`` false in the steps it misses. Stations that are absent from the whole
+    sequence have no rows, so the result grows with the readings and not with the index."""
     cols = list(cols)
-    size = index.agg((F.max("node_idx") + 1).alias("_n"))
-    hours = one_row(windows.select("ts").distinct(), size).select(
-        "ts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("node_idx")
-    )
     reported = features.select("ts", "station_id", *cols).join(index, "station_id").select(
         "ts", "node_idx", F.lit(True).alias("_here"), *cols
     )
-    dense = hours.join(reported, ["ts", "node_idx"], "left").select(
-        "ts", "node_idx", F.coalesce("_here", F.lit(False)).alias("present"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols],
+    members = windows.select("start", "ts").join(
+        reported.select("ts", "node_idx"), "ts").select("start", "node_idx").distinct()
+    return (
+        windows.join(members, "start").join(reported, ["ts", "node_idx"], "left")
+        .withColumn("present", F.coalesce("_here", F.lit(False))).drop("_here")
+        .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
     )
-    return windows.join(dense, "ts")
 
 
 def reindex_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -157,7 +150,7 @@ def reindex_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
 def chunk_sequences(seqs: DataFrame, size: int = 50) -> DataFrame:
     """Add the 1-based ``chunk_id`` of each sequence over the sorted ids."""
     ids = seqs.select("seq_id").distinct()
-    placed = ordinal(ids, "seq_id", F.substring("seq_id", 1, 6), "_i")
+    placed = ordinal(ids, "seq_id", "_i")
     chunk = (F.floor(F.col("_i") / F.lit(size)) + 1).cast("int")
     return seqs.join(placed.select("seq_id", chunk.alias("chunk_id")), "seq_id")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("catalog_rows", "catalog_graph", "catalog_series", "catalog_grid", "catalog_stream")
+_PARTS = ("catalog_rows", "catalog_graph", "catalog_series", "catalog_grid", "catalog_stream",
+          "catalog_archive")
 
 
 def _collect(name: str) -> dict:

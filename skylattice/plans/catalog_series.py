@@ -106,12 +106,13 @@ def _(s, d):
 
 
 @query("densify",
-       sql("features", f"SELECT seq_id, step, role, n.node_idx, f.station_id IS NOT NULL AS present,"
+       sql("features", f"SELECT m.seq_id, step, role, m.node_idx, f.station_id IS NOT NULL AS present,"
                        f" {r('coalesce(temp, 0e0)', 'temp')}, {r('coalesce(humidity, 0e0)', 'humidity')}"
-                       " FROM named CROSS JOIN node_index n LEFT JOIN (SELECT f.*, node_idx AS k"
+                       " FROM members m JOIN named USING (seq_id) LEFT JOIN (SELECT f.*, node_idx AS k"
                        " FROM features f JOIN node_index USING (station_id)) f"
-                       " ON f.ts = named.ts AND f.k = n.node_idx",
-           INDEX, *SEQ))
+                       " ON f.ts = named.ts AND f.k = m.node_idx",
+           INDEX, *SEQ, "members AS (SELECT DISTINCT seq_id, node_idx FROM named"
+                        " JOIN features USING (ts) JOIN node_index USING (station_id))"))
 def _(s, d):
     features = materialize(ev.features(s, d))
     cols = ["temp", "humidity"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skylattice.constants import FILE_SUFFIX, RAW_HEADER
 from skylattice.operators.windows import ordinal
+from skylattice.session import materialize
 
 KNOWN_HEADER = ",".join(f'"{c}"' for c in RAW_HEADER)
 
@@ -36,44 +38,58 @@ def archive_files(
 def _file_system(root: str):
     from pyarrow import fs
 
-    if "://" in root or root.startswith("file:"):
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:(//[^/]*)?(?=/)", "", root)
+    if "://" in root:
         return fs.FileSystem.from_uri(root)
     return fs.LocalFileSystem(), root
 
 
-def inventory(spark: SparkSession, root: str, suffix: str = FILE_SUFFIX) -> DataFrame:
-    """``path, length`` of all files including empty ones, which Spark's readers leave out. The
-    driver lists the two top folder levels (years and months); tasks list what is below."""
-    from pyarrow import fs
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each row (``path`` below the root, ``content``) as one file; ``path, length`` of all.
+    Tasks write where Spark's writers would choose the names themselves; a task that runs again
+    writes the same files."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _file_system(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"path": batch["path"], "length": batch["content"].map(len)})
 
-    system, base = _file_system(root)
+    return materialize(files.select("path", "content").mapInPandas(write, "path string, length bigint"))
 
-    def children(folder: str) -> list:
-        return system.get_file_info(fs.FileSelector(folder))
 
-    folders, loose = [base], []
-    for _ in range(2):
-        below = [info for folder in folders for info in children(folder)]
-        loose += [(i.path, i.size) for i in below if i.type == fs.FileType.File]
-        folders = [i.path for i in below if i.type == fs.FileType.Directory]
+def inventory(spark: SparkSession, root: str, suffix: str = FILE_SUFFIX) -> DataFrame:
+    """``path, length`` of all files including empty ones, which Spark's readers leave out. Folders
+    are listed level by level in tasks; the driver only learns whether another level follows."""
+    from pyarrow import fs
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = _file_system(root)
         for batch in batches:
-            for folder in batch["folder"]:
-                found = system.get_file_info(fs.FileSelector(folder, recursive=True))
+            for folder in batch["path"]:
+                found = system.get_file_info(fs.FileSelector(folder))
                 yield pd.DataFrame(
-                    [(i.path, i.size) for i in found if i.type == fs.FileType.File],
-                    columns=["path", "length"],
+                    [(i.path, i.size, i.type == fs.FileType.Directory) for i in found],
+                    columns=["path", "length", "folder"],
                 )
 
-    schema = "path string, length bigint"
-    here = spark.createDataFrame(loose, schema)
-    if folders:
-        rows = spark.createDataFrame([(f,) for f in folders], "folder string")
-        tasks = min(len(folders), spark.sparkContext.defaultParallelism * 4)
-        here = here.unionByName(rows.repartition(tasks).mapInPandas(walk, schema))
-    return here.filter(F.col("path").endswith(suffix))
+    tasks = spark.sparkContext.defaultParallelism * 4
+    folders = spark.createDataFrame([(_file_system(root)[1],)], "path string")
+    levels = []
+    while levels == [] or not folders.isEmpty():
+        level = materialize(
+            folders.repartition(tasks, "path")
+            .mapInPandas(children, "path string, length bigint, folder boolean")
+        )
+        levels.append(level.filter(~F.col("folder")).select("path", "length"))
+        folders = level.filter("folder").select("path")
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.filter(F.col("path").endswith(suffix))
 
 
 def open_quote(text: Column) -> Column:
@@ -98,8 +114,7 @@ def audit_files(files: DataFrame, contents: DataFrame) -> DataFrame:
         .when(F.coalesce("_broken", F.lit(True)), "unreadable").otherwise("ok")
     )
     judged = listed.join(readable, "_p", "left").select("path", status.alias("status"))
-    folder = F.regexp_replace("path", r"/[^/]*$", "/")
-    bad = ordinal(judged.filter("status <> 'ok'"), "path", folder, "number", ["status"])
+    bad = ordinal(judged.filter("status <> 'ok'"), "path", "number", ["status"])
     return bad.withColumn("number", F.col("number") + 1).unionByName(
         judged.filter("status = 'ok'").withColumn("number", F.lit(None).cast("long"))
     )

@@ -15,18 +15,45 @@ SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 def _fields(line: Column) -> Column:
     def unquoted(f: Column) -> Column:
         inner = F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1")
-        return F.regexp_replace(inner, '""', '"')
+        return F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit(BREAK), F.lit("\n"))
 
     return F.transform(F.split(line, SEPARATOR, -1), unquoted)
 
 
+#: Stands for a line break inside quotes while a file is split into lines; a private character.
+BREAK = "\ue000"
+
+
+def _lines(text: Column) -> Column:
+    """Lines of a file. Every second part between quotes is quoted, its line breaks are none."""
+    parts = F.split(text, '"', -1)
+    kept = F.transform(
+        parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, "\r?\n", BREAK)).otherwise(p))
+    return F.split(F.array_join(kept, '"'), "\r?\n")
+
+
+def rejected_files(contents: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that ``parse_observations`` leaves out."""
+    header = F.transform(_fields(F.col("_first")), lambda f: F.trim(f))
+    reason = (
+        F.when(F.col("ts").isNull(), "no_hour").when(open_quote(decoded()), "open_quote")
+        .when(~F.array_contains(header, "Font"), "no_header")
+    )
+    return (
+        contents.withColumn("ts", file_timestamp("path"))
+        .withColumn("_first", _lines(F.regexp_replace(decoded(), "^\ufeff", ""))[0])
+        .select("path", reason.alias("reason")).filter("reason is not null")
+    )
+
+
 def parse_observations(contents: DataFrame) -> DataFrame:
     """One text row per data line of each file: ``path, line_no, ts, has_pressure`` and the
-    canonical columns, found by the file's own header. Lines with more fields than the header
-    are skipped, shorter ones padded with nulls; files with a quote left open, without a source
-    column or with a name that is no hour are rejected. Everything is a column expression on the file's bytes, so files
+    canonical columns, found by the file's own header. A line break inside quotes belongs to its
+    field. Lines with more fields than the header are skipped, shorter ones padded with nulls; files
+    with a quote left open, without a source column or with a name that is no hour are rejected
+    (``rejected_files`` names them). Everything is a column expression on the file's bytes, so files
     of different encodings and headers share one scan."""
-    lines = F.split(F.regexp_replace(decoded(), "^﻿", ""), "\r?\n")
+    lines = _lines(F.regexp_replace(decoded(), "^\ufeff", ""))
     names = F.transform(_fields(F.col("_header")), lambda f: F.trim(f))
     rows = (
         contents.withColumn("ts", file_timestamp("path")).filter("ts is not null")

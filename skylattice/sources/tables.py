@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skylattice.constants import METRICS, UNITS
@@ -69,16 +71,24 @@ def write_prediction_cube(
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small result table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A result table as CSV with headers: one file if it is small, several if it is not."""
+    df.hint("rebalance").write.mode("overwrite").csv(path, header=True)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """``run_id, line_no, epoch, stage`` and the metrics. The first three lines describe the run,
     the fourth names the columns; only train, val and test rows are kept, and a missing epoch is
-    that of the row before. A log is one small file, so it stays one row until it is split."""
-    logs = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("run_id"),
+    that of the row before. A run is named by its path below ``path`` (the file name of a single
+    file). A log is one small file, so it stays one row until it is split."""
+    root = re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", path).rstrip("/")
+    place = F.regexp_replace(
+        F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")),
+        r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    below = F.when(place.startswith(root + "/"), F.substring(place, len(root) + 2, 1 << 20)).otherwise(
+        F.regexp_extract(place, r"([^/]+)$", 1))
+    reader = spark.read.option("recursiveFileLookup", "true")
+    logs = reader.text(path, wholetext=True).select(
+        below.alias("run_id"),
         F.split("value", "\r?\n").alias("_lines"),
     )
     names = F.transform(

@@ -84,6 +84,17 @@ def test_clean_from_files_and_back(spark, archive, tmp_path):
     assert rain[0] == 1.2 and rain[1] == pytest.approx(0.8)
 
 
+def test_quoted_line_breaks_and_rejections(spark):
+    text = "\n".join([fl.KNOWN_HEADER, line(**{**STATION, "Poblacio": "Vic\nNord\r\n, \"\"B\"\""}), line(**{**STATION, "id": "C2"})])
+    files = [("/a/2016010100dadesPC_utc.csv", text), ("/a/2016010101dadesPC_utc.csv", text + '\n"'),
+             ("/a/2016010102dadesPC_utc.csv", line(**STATION)), ("/a/notes.csv", text)]
+    contents = spark.createDataFrame([(p, t.encode()) for p, t in files], "path string, content binary")
+    rows = ob.parse_observations(contents).collect()
+    assert [(r.station_id, r.lat, r.line_no) for r in rows] == [("C1", "41.5", 1), ("C2", "41.5", 2)]
+    assert {(r.path[3:13], r.reason) for r in ob.rejected_files(contents).collect()} == {
+        ("2016010101", "open_quote"), ("2016010102", "no_header"), ("notes.csv", "no_hour")}
+
+
 def test_audits(spark, archive):
     listed = fl.inventory(spark, archive)
     contents = fl.archive_files(spark, archive)
