@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skylattice.constants import KELVIN, PRESSURE_REF, TARGET_COLUMNS, UNITS
 from skylattice.operators.windows import one_row
@@ -37,13 +37,15 @@ def persistence(
     the first horizon error-free."""
     step = {"last_input": window - 1, "first_target": window}[reference]
     variables = list(variables)
-    seen = (
-        seq.filter(F.col("step") == step).select("seq_id", "station_id", *variables)
-        .unpivot(["seq_id", "station_id"], variables, "variable", "y_pred")
-    )
-    return true_cube(seq, window, variables).join(
-        seen, ["seq_id", "station_id", "variable"], "left"
-    ).select(*CUBE_KEYS, "y_true", "y_pred")
+    seen = seq.filter(F.col("step") == step).select(
+        "seq_id", "station_id", *[F.col(v).alias(f"_{v}") for v in variables])
+    targets = seq.filter(F.col("role") == "target").select(
+        "seq_id", (F.col("step") - window + 1).alias("h"), F.col("ts").alias("ts_valid"),
+        "station_id", *variables)
+    both = F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).alias("y_true"), F.col(f"_{v}").alias("y_pred"))
+        for v in variables])
+    return targets.join(seen, ["seq_id", "station_id"], "left").select(*CUBE_KEYS[:4], F.inline(both))
 
 
 def climatology(cube: DataFrame, params: DataFrame) -> DataFrame:
@@ -90,65 +92,89 @@ def to_physical_units(cube: DataFrame, cols: Iterable[str] = ("y_true", "y_pred"
 # --- regression on lags and neighbours -------------------------------------------------------
 
 
+def lag_steps(windows: DataFrame, window: int = 48, lags: int = 3) -> DataFrame:
+    """The steps a regression on ``lags`` inputs reads: those inputs and the targets."""
+    return windows.filter(F.col("step") >= window - lags)
+
+
 def design_rows(
     seq: DataFrame, neighbours: DataFrame, window: int = 48, lags: int = 3,
     variables: Iterable[str] = TARGET_COLUMNS,
 ) -> DataFrame:
     """``seq_id, station_id, variable, x``: intercept, the last ``lags`` inputs (newest first, a
-    missing one replaced by the newest), and the neighbour mix of the last input hour."""
+    missing reading replaced by the newest), and the neighbour mix of the last input hour. Steps
+    come from ``lag_steps`` with the same arguments; a sequence without them fails. Rows are
+    summed and joined wide, and turned into one row per variable at the end."""
     variables = list(variables)
     recent = seq.filter(F.col("step").between(window - lags, window - 1))
-    long = recent.select("seq_id", "station_id", "step", "ts", *variables).unpivot(
-        ["seq_id", "station_id", "step", "ts"], variables, "variable", "v"
-    )
     at = [
-        F.max(F.when(F.col("step") == window - 1 - k, F.col("v"))).alias(f"_l{k}")
-        for k in range(lags)
+        F.max(F.when(F.col("step") == window - 1 - k, F.col(v))).alias(f"_{v}_{k}")
+        for v in variables for k in range(lags)
     ]
     newest = F.max(F.when(F.col("step") == window - 1, F.col("ts"))).alias("ts")
-    wide = long.groupBy("seq_id", "station_id", "variable").agg(*at, newest).filter("_l0 is not null")
-    mix = neighbours.select("ts", "station_id", *[F.col(f"nbr_{v}").alias(v) for v in variables])
-    mix = mix.unpivot(["ts", "station_id"], variables, "variable", "_nbr")
-    filled = [F.coalesce(f"_l{k}", "_l0") for k in range(lags)]
-    x = F.array(F.lit(1.0), *filled, F.coalesce("_nbr", "_l0"))
-    return wide.join(mix, ["ts", "station_id", "variable"], "left").select(
-        "seq_id", "station_id", "variable", x.alias("x")
+    steps = recent.groupBy("seq_id").agg(F.min("step").alias("_oldest"))
+    short = F.when(
+        F.col("_oldest") > window - lags,
+        F.raise_error(F.lit("sequences hold fewer input steps than the lags need")),
+    ).otherwise(F.lit(True))
+    wide = recent.groupBy("seq_id", "station_id").agg(*at, newest).join(
+        steps.filter(short).select("seq_id"), "seq_id")
+    mix = neighbours.select("ts", "station_id", *[f"nbr_{v}" for v in variables])
+
+    def row(v: str) -> Column:
+        lagged = [F.coalesce(f"_{v}_{k}", f"_{v}_0") for k in range(lags)]
+        x = F.array(F.lit(1.0), *lagged, F.coalesce(f"nbr_{v}", f"_{v}_0"))
+        return F.struct(F.lit(v).alias("variable"), F.when(F.col(f"_{v}_0").isNotNull(), x).alias("x"))
+
+    return (
+        wide.join(mix, ["ts", "station_id"], "left")
+        .select("seq_id", "station_id", F.inline(F.array(*[row(v) for v in variables])))
+        .filter("x is not null")
     )
 
 
+def regression_moments(train: DataFrame, width: int) -> DataFrame:
+    """``variable, h, n``, the mean of ``y_true`` and of each column of ``x`` after the constant, and
+    their covariances, over the rows with ``y_true``. Centred while they are summed, so large values
+    such as Kelvin lose no digits; combined map-side."""
+    fits = F.when(F.size("x") == width, F.col("x")).otherwise(
+        F.raise_error(F.concat(F.lit(f"x has not {width} columns but "), F.size("x").cast("string"))))
+    cols = [f"_x{i}" for i in range(1, width)]
+    rows = train.filter("y_true is not null").withColumn("_x", fits).select(
+        "variable", "h", F.col("y_true").alias("_y"),
+        *[F.col("_x")[i].alias(f"_x{i}") for i in range(1, width)])
+    return rows.groupBy("variable", "h").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean_y"),
+        *[F.avg(c).alias(f"mean{c}") for c in cols],
+        *[F.covar_pop(a, b).alias(f"cov{a}{b}") for i, a in enumerate(cols) for b in cols[i:]],
+        *[F.covar_pop(c, "_y").alias(f"cov{c}_y") for c in cols])
+
+
 def fit_forecaster(train: DataFrame, width: int) -> DataFrame:
     """``variable, h, coef, n``: least squares per variable and horizon step over rows with
     ``x`` (``width`` columns, the first constant) and ``y_true``.
 
-    One pass sums the cross products of every model, combined map-side; what reaches a task
-    afterwards is one small matrix per model."""
-    moments = [
-        F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"_a{i}_{j}")
-        for i in range(width) for j in range(i, width)
-    ]
-    moments += [F.sum(F.col("x")[i] * F.col("y_true")).alias(f"_b{i}") for i in range(width)]
-    sums = (
-        train.filter("y_true is not null").groupBy("variable", "h")
-        .agg(*moments, F.count(F.lit(1)).alias("n"))
-    )
+    One pass sums the centred moments of every model; what reaches a task afterwards is one small
+    matrix per model."""
+    cols = [f"_x{i}" for i in range(1, width)]
 
     def solve(batches):
         for pdf in batches:
             coefs = []
             for _, row in pdf.iterrows():
-                a = np.empty((width, width))
-                for i in range(width):
-                    for j in range(i, width):
-                        a[i, j] = a[j, i] = row[f"_a{i}_{j}"]
-                b = np.array([row[f"_b{i}"] for i in range(width)], dtype=float)
+                a = np.array([[row[f"cov{cols[min(i, j)]}{cols[max(i, j)]}"] for j in range(len(cols))]
+                              for i in range(len(cols))], dtype=float).reshape(len(cols), len(cols))
+                b = np.array([row[f"cov{c}_y"] for c in cols], dtype=float)
                 scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-                solution = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-10)[0]
-                coefs.append((solution / scale).tolist())
+                slope = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-10)[0] / scale
+                at = np.array([row[f"mean{c}"] for c in cols], dtype=float)
+                coefs.append([float(row["mean_y"] - slope @ at), *slope.tolist()])
             yield pd.DataFrame(
                 {"variable": pdf["variable"], "h": pdf["h"], "coef": coefs, "n": pdf["n"]}
             )
 
-    return sums.mapInPandas(solve, "variable string, h int, coef array<double>, n bigint")
+    return regression_moments(train, width).mapInPandas(
+        solve, "variable string, h int, coef array<double>, n bigint")
 
 
 def _dot(a: Column, b: Column) -> Column:

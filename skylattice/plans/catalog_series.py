@@ -238,42 +238,141 @@ def _(s, d):
     return fc.to_physical_units(fc.persistence(_sequences(s, d))).drop("ts_valid")
 
 
-def _trained(s, d):
-    """Models on the training sequences, plus what predicting needs."""
+LAGS = 3
+WIDTH = LAGS + 2
+
+
+def _regression(s, d):
+    """Design rows and truth of all sequences, and the training rows."""
     features = materialize(ev.features(s, d))
-    params = st.fit_norm_params(features, FEATURE_COLUMNS, ev.training_rows())
-    scaled = materialize(st.normalize(features, params))
-    # the model reads the last three input steps and the targets only
-    windows = wn.chronological_split(_named(scaled), **LIMITS).filter("step >= 45")
+    params = st.fit_norm_params(features, TARGET_COLUMNS, ev.training_rows())
+    scaled = st.normalize(features, params, TARGET_COLUMNS)
+    windows = fc.lag_steps(wn.chronological_split(_named(features), **LIMITS), lags=LAGS)
     seq = materialize(
         wn.sequence_rows(windows, scaled.select("ts", "station_id", *TARGET_COLUMNS))
     )
     edges = gr.edge_attributes(delaunay_edges(features).drop("alt_diff_km"), features)
-    mix = gr.propagate(scaled, materialize(edges.select("ts", "src", "dst", "dist_scaled")), TARGET_COLUMNS)
-    design = materialize(fc.design_rows(seq, mix))
+    mix = gr.propagate(scaled, edges.select("ts", "src", "dst", "dist_scaled"), TARGET_COLUMNS)
+    design = materialize(fc.design_rows(seq, mix, lags=LAGS))
     truth = fc.true_cube(seq)
     train = seq.filter("split = 'train'").select("seq_id").distinct()
     rows = truth.join(train, "seq_id", "left_semi").join(design, ["seq_id", "station_id", "variable"])
-    models = fc.fit_forecaster(rows, width=5)
-    return models, design, truth
+    return rows, design, truth
+
+
+# the same in SQL: scaled features, neighbour mix, lags, targets
+_SCALED = [
+    f"norm AS ({o.params('features', TARGET_COLUMNS, o.TRAIN)})",
+    "scaled AS (SELECT ts, station_id, "
+    + ", ".join(f"({c} - (SELECT mean FROM norm WHERE feature = '{c}'))"
+                f" / (SELECT std FROM norm WHERE feature = '{c}') AS {c}" for c in TARGET_COLUMNS)
+    + " FROM features)",
+]
+_NEIGHBOURS = [
+    cart("features"), DELAUNAY, described(PLAIN),
+    "rooted AS (SELECT f.*, 1e0 + coalesce(w, 0e0) AS deg FROM scaled f LEFT JOIN"
+    " (SELECT ts AS t, dst, sum(dist_scaled) AS w FROM described GROUP BY ts, dst) i"
+    " ON i.t = f.ts AND i.dst = f.station_id)",
+    "sums AS (SELECT e.ts, e.dst AS station_id, "
+    + ", ".join(f"sum(e.dist_scaled * x.{c} / sqrt(x.deg)) AS s_{c}" for c in TARGET_COLUMNS)
+    + " FROM described e JOIN rooted x ON x.ts = e.ts AND x.station_id = e.src GROUP BY e.ts, e.dst)",
+    "mix AS (SELECT x.ts, x.station_id, "
+    + ", ".join(f"(coalesce(s.s_{c}, 0e0) + x.{c} / sqrt(x.deg)) / sqrt(x.deg) AS {c}" for c in TARGET_COLUMNS)
+    + " FROM rooted x LEFT JOIN sums s ON s.ts = x.ts AND s.station_id = x.station_id)",
+]
+
+
+def _long(table: str, keys: str, value: str) -> str:
+    return (f"SELECT * FROM (SELECT {keys}, {_UNPIVOT} FROM {table}) UNPIVOT ({value} FOR variable IN ({_UNPIVOT}))")
+
+
+_DESIGN = [
+    *SEQ, *_SCALED, *_NEIGHBOURS,
+    "steps_ AS (SELECT seq_id, input_end, step, role, s.* FROM named JOIN scaled s USING (ts))",
+    f"inputs AS ({_long('steps_', 'seq_id, station_id, step, ts', 'v')}),"
+    f" mixed AS ({_long('mix', 'ts, station_id', 'nbr')}),"
+    " lagged AS (SELECT seq_id, station_id, variable, max(v) FILTER (step = 47) AS l0,"
+    " max(v) FILTER (step = 46) AS l1, max(v) FILTER (step = 45) AS l2, max(ts) FILTER (step = 47) AS ts"
+    " FROM inputs WHERE step BETWEEN 45 AND 47 GROUP BY ALL HAVING l0 IS NOT NULL),"
+    " design AS (SELECT seq_id, station_id, variable, l0 AS x1, coalesce(l1, l0) AS x2,"
+    " coalesce(l2, l0) AS x3, coalesce(nbr, l0) AS x4 FROM lagged LEFT JOIN mixed USING (ts, station_id, variable)),"
+    f" truth AS ({_long('(SELECT *, CAST(step - 47 AS INTEGER) AS h, ts AS ts_valid FROM steps_ WHERE step >= 48)', 'seq_id, h, ts_valid, station_id, input_end', 'y_true')})",
+]
+_TRAIN_ROWS = ("train_rows AS (SELECT t.*, x1, x2, x3, x4 FROM truth t JOIN design USING (seq_id, station_id, variable)"
+               " WHERE input_end + INTERVAL 1 HOUR < TIMESTAMP '2024-01-15')")
+_XS = ["x1", "x2", "x3", "x4"]
+
+
+@query("regression_moments",
+       sql("features", "SELECT variable, h, n, " + rr("mean_y", *[f"mean_{x}" for x in _XS],
+                                                     *[f"cov_{a}_{b}" for i, a in enumerate(_XS) for b in _XS[i:]],
+                                                     *[f"cov_{x}_y" for x in _XS])
+           + " FROM (SELECT variable, h, count(*) AS n, avg(y_true) AS mean_y, "
+           + ", ".join([f"avg({x}) AS mean_{x}" for x in _XS]
+                       + [f"covar_pop({a}, {b}) AS cov_{a}_{b}" for i, a in enumerate(_XS) for b in _XS[i:]]
+                       + [f"covar_pop({x}, y_true) AS cov_{x}_y" for x in _XS])
+           + " FROM train_rows GROUP BY variable, h)", *_DESIGN, _TRAIN_ROWS))
+def _(s, d):
+    rows, _, _ = _regression(s, d)
+    return fc.regression_moments(rows, WIDTH)
 
 
-@query("fit_forecaster")
+@query("fit_forecaster",
+       sql("features", "SELECT variable, h, n, CAST(i AS INTEGER) AS i, 0e0 AS gradient FROM (SELECT variable,"
+                       " h, count(*) AS n FROM train_rows GROUP BY variable, h), range(5) t(i)",
+           *_DESIGN, _TRAIN_ROWS))
 def _(s, d):
-    models, _, _ = _trained(s, d)
-    return models.select("variable", "h", "n", F.posexplode("coef").alias("i", "coef"))
+    """The fitted models leave no gradient: the mean of residual times each column is zero."""
+    rows, _, _ = _regression(s, d)
+    models = fc.fit_forecaster(rows, WIDTH)
+    left = rows.filter("y_true is not null").join(models, ["variable", "h"]).withColumn(
+        "e", F.col("y_true") - fc._dot(F.col("coef"), F.col("x")))
+    means = left.groupBy("variable", "h").agg(
+        F.first("n").alias("n"), F.array(*[F.avg(F.col("e") * F.col("x")[i]) for i in range(WIDTH)]).alias("g"))
+    return means.select("variable", "h", "n", F.posexplode("g").alias("i", "gradient"))
+
+
+def _coef(variable: str, h: int) -> list[float]:
+    """Fixed coefficients for checking predictions; any values would do."""
+    k = TARGET_COLUMNS.index(variable)
+    return [0.01 * h - 0.02 * k, 0.6 - 0.03 * h, 0.2 + 0.01 * k, 0.05, 0.1 + 0.005 * h]
+
+
+def _fixed_models(spark) -> DataFrame:
+    rows = [(v, h, _coef(v, h)) for v in TARGET_COLUMNS for h in range(1, 7)]
+    return spark.createDataFrame(rows, "variable string, h int, coef array<double>")
 
 
-@query("predict_forecaster")
+_MODELS = ("models(variable, h, c0, c1, c2, c3, c4) AS (VALUES "
+           + ", ".join(f"('{v}', {h}, " + ", ".join(f"{c!r}::DOUBLE" for c in _coef(v, h)) + ")"
+                       for v in TARGET_COLUMNS for h in range(1, 7)) + ")")
+_PREDICTED = ("predicted AS (SELECT seq_id, station_id, variable, h, c0 + c1 * x1 + c2 * x2 + c3 * x3 + c4 * x4"
+              " AS y_pred FROM design JOIN models USING (variable))")
+_CUBED = ("cube AS (SELECT seq_id, h, ts_valid, station_id, variable, y_true, y_pred FROM truth"
+          " LEFT JOIN predicted USING (seq_id, station_id, variable, h))")
+_ROLL = " UNION ALL ".join(
+    f"SELECT seq_id, station_id, variable, {h} AS h, p{h} AS y_pred FROM rolled" for h in range(1, 7))
+
+
+def _rolled() -> str:
+    """One-hour models applied six times, each result the newest lag of the next."""
+    parts, lags = ["r0 AS (SELECT design.*, c0, c1, c2, c3, c4 FROM design JOIN models USING (variable) WHERE h = 1)"], _XS[:3]
+    for h in range(1, 7):
+        parts.append(f"r{h} AS (SELECT *, c0 + c1 * {lags[0]} + c2 * {lags[1]} + c3 * {lags[2]} + c4 * x4 AS p{h} FROM r{h - 1})")
+        lags = [f"p{h}", *lags[:2]]
+    return ", ".join(parts) + f", rolled AS (SELECT * FROM r6), predicted AS ({_ROLL})"
+
+
+@query("predict_forecaster", sql("features", CUBE_SQL, *_DESIGN, _MODELS, _PREDICTED, _CUBED))
 def _(s, d):
-    models, design, truth = _trained(s, d)
-    return fc.forecast_cube(truth, fc.predict(models, design))
+    _, design, truth = _regression(s, d)
+    return fc.forecast_cube(truth, fc.predict(_fixed_models(s), design))
 
 
-@query("recursive_forecast")
+@query("recursive_forecast", sql("features", CUBE_SQL, *_DESIGN, _MODELS, _rolled(), _CUBED))
 def _(s, d):
-    models, design, truth = _trained(s, d)
-    return fc.forecast_cube(truth, fc.recursive_forecast(models, design))
+    _, design, truth = _regression(s, d)
+    return fc.forecast_cube(truth, fc.recursive_forecast(_fixed_models(s), design))
 
 
 # --- scores --------------------------------------------------------------------------------------------
@@ -340,6 +439,48 @@ def _against(name: str, pred: str) -> str:
             f" FROM (SELECT variable, {_SCORE} FROM ({pred}) GROUP BY GROUPING SETS ((variable), ())))")
 
 
+_LAST = ("last_ AS (SELECT t.*, l0 AS y_pred FROM truth t LEFT JOIN lagged USING (seq_id, station_id, variable))")
+_ZERO = ("mean_ AS (SELECT t.*, mean AS y_pred FROM truth t JOIN (" + o.params("scaled", TARGET_COLUMNS, o.TRAIN)
+         + ") ON feature = variable)")
+_SCORED = "(SELECT * FROM {} WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)"
+
+
+@query("compare_forecasts",
+       sql("features", "SELECT m.variable, m.n, " + ", ".join(
+           r(f"{a}.{x}", f"{x}_{n}") for a, n in (("m", "model"), ("p", "persistence"), ("c", "climatology"))
+           for x in ("rmse", "mae", "r2", "smape"))
+           + " FROM m JOIN p ON p.variable = m.variable JOIN c ON c.variable = m.variable",
+           *_DESIGN, _MODELS, _PREDICTED, _CUBED, _LAST, _ZERO,
+           _against("m", _SCORED.format("cube")), _against("p", _SCORED.format("last_")),
+           _against("c", _SCORED.format("mean_"))))
+def _(s, d):
+    features = materialize(ev.features(s, d))
+    params = st.fit_norm_params(features, TARGET_COLUMNS, ev.training_rows())
+    scaled = materialize(st.normalize(features, params, TARGET_COLUMNS))
+    seq = materialize(wn.sequence_rows(_named(features), scaled.select("ts", "station_id", *TARGET_COLUMNS)))
+    edges = gr.edge_attributes(delaunay_edges(features).drop("alt_diff_km"), features)
+    mix = gr.propagate(scaled, edges.select("ts", "src", "dst", "dist_scaled"), TARGET_COLUMNS)
+    design = fc.design_rows(fc.lag_steps(seq, lags=LAGS), mix, lags=LAGS)
+    truth = fc.true_cube(seq)
+    means = st.fit_norm_params(scaled, TARGET_COLUMNS, ev.training_rows())
+    return evl.compare_baselines(
+        fc.forecast_cube(truth, fc.predict(_fixed_models(s), design)),
+        {"persistence": fc.persistence(seq), "climatology": fc.climatology(truth, means)},
+    )
+
+
+@query("evaluate_persistence",
+       sql("features", f"SELECT variable, h, n, {_FOUR} FROM (SELECT variable, h, n, rmse, mae, smape,"
+                       " CASE WHEN variable IS NULL THEN avg(r2) FILTER (WHERE variable IS NOT NULL AND h IS NULL)"
+                       " OVER () ELSE r2 END AS r2 FROM (SELECT variable, h, "
+                       f"{_SCORE} FROM {_SCORED.format('cube')} GROUP BY GROUPING SETS ((variable, h), (variable), ())))",
+           *SEQ, ROWS, TRUTH, _seen(47), _JOINED))
+def _(s, d):
+    cube = fc.persistence(_sequences(s, d))
+    present = cube.filter("y_true is not null").select("seq_id", "h", "station_id")
+    return evl.evaluate(evl.mask_invalid(cube, present))
+
+
 @query("compare_baselines",
        sql("obs", "SELECT m.variable, m.n, " + ", ".join(
            r(f"{a}.{x}", f"{x}_{n}") for a, n in (("m", "model"), ("p", "persistence"), ("c", "climatology"))
