@@ -1,5 +1,5 @@
 """Queries that stream the station readings, with their check SQL. The readings are written once as
-the arriving files; the streams process all of them and give out what the watermark has passed."""
+the arriving files and closed; the streams process all of them and give out every hour."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ from skylattice.streaming import hourly as hs
 
 QUERIES = {}
 ORACLES = {}
-COLUMNS = [part.split()[0] for part in hs.OBS_SCHEMA.split(",")]
 
 
 def query(name: str, oracle: str, places: int = 6):
@@ -33,9 +32,14 @@ def _folder(spark, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _arriving(spark, rows: DataFrame) -> str:
+ORDERED = hs.OBS_SCHEMA + ", event_id bigint"
+
+
+def _arriving(spark, rows: DataFrame, schema: str = hs.OBS_SCHEMA) -> str:
+    """The readings as files that have arrived, and the file that closes the stream."""
     path = _folder(spark, "arriving")
-    rows.select(*COLUMNS).write.parquet(path)
+    rows.select(*[part.split()[0] for part in schema.split(",")]).write.parquet(path)
+    hs.close_arrivals(spark, path, schema)
     return path
 
 
@@ -49,6 +53,18 @@ def _(s, d):
     return hs.write_available(stream.select("station_id", "ts"), _folder(s, "stream"))
 
 
+_VALUES = ["lat", "lon", "alt", "temp", "humidity", "rain", "wind_dir", "wind_speed", "pressure"]
+
+
+@query("stream_observations_first",
+       sql("obs", f"SELECT station_id, ts, source, event_id, {', '.join(r(c) for c in _VALUES)} FROM obs"))
+def _(s, d):
+    path = _arriving(s, _typed(s, d), ORDERED)
+    stream = hs.stream_observations(s, path, schema=ORDERED, order="event_id")
+    return hs.write_available(stream.select("station_id", "ts", "source", "event_id", *_VALUES),
+                              _folder(s, "stream"))
+
+
 _PARTS = " UNION ALL ".join(
     f"SELECT ts AS window_start, source, '{c}' AS feature, count({c}) AS n, avg({c}) AS mean,"
     f" var_pop({c}) * count({c}) AS m2 FROM obs GROUP BY ts, source"
@@ -57,18 +73,18 @@ _PARTS = " UNION ALL ".join(
 
 
 @query("stream_hourly_stats",
-       sql("obs", f"SELECT window_start, source, feature, n, {r('mean', None, 9)}, {r('m2', None, 9)} FROM parts"
-                  " WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM obs)",
+       sql("obs", f"SELECT window_start, source, feature, n, {r('mean', None, 9)}, {r('m2', None, 9)} FROM parts",
            f"parts AS ({_PARTS})"), places=9)
 def _(s, d):
-    stream = hs.stream_observations(s, _arriving(s, ev.obs(s, d)))
+    stream = hs.stream_observations(
+        s, _arriving(s, _typed(s, d), ORDERED), schema=ORDERED, order="event_id")
     stats = hs.stream_hourly_stats(stream, ["temp", "humidity"])
     return hs.write_available(stats, _folder(s, "stream"))
 
 
 @query("stream_hourly_rain",
        sql("epoched", f"SELECT station_id, ts, {r('rain')} FROM (SELECT station_id, ts, {o.RAIN} AS rain"
-                      " FROM epoched) WHERE ts < (SELECT max(ts) - INTERVAL 2 HOUR FROM obs)"))
+                      " FROM epoched)"))
 def _(s, d):
     stream = hs.stream_observations(s, _arriving(s, ev.obs(s, d)))
     return hs.write_available(hs.stream_hourly_rain(stream), _folder(s, "stream"))

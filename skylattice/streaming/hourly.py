@@ -15,19 +15,42 @@ OBS_SCHEMA = (
 )
 
 
+#: Event time of the row that closes a stream; readings are older.
+CLOSED = "9999-01-01 00:00:00"
+
+
+def close_arrivals(spark: SparkSession, path: str, schema: str = OBS_SCHEMA) -> None:
+    """Put a last file into the arriving folder whose one row moves the watermark past every reading.
+    The next run then gives out the hours still open; nothing is accepted after it."""
+    kinds = spark.createDataFrame([], schema).schema
+    row = [F.lit(CLOSED).cast(f.dataType).alias(f.name) if f.name == "ts"
+           else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds]
+    spark.range(1).select(*row).write.mode("append").parquet(path)
+
+
 def stream_observations(
     spark: SparkSession, path: str, watermark: str = "2 hours", schema: str = OBS_SCHEMA,
-    fmt: str = "parquet", max_files: int | None = None,
+    fmt: str = "parquet", max_files: int | None = None, order: str | None = None,
 ) -> DataFrame:
     """New rows below ``path``, one per station and hour. State older than the watermark is
-    dropped, so it is bounded by the stations times the watermark; later rows are dropped too."""
+    dropped, so it is bounded by the stations times the watermark; later rows are dropped too.
+
+    Without ``order`` a row comes out as soon as it arrives, and of several for one station and hour
+    the one that arrived first. With it, an hour comes out when the watermark has passed it, and
+    then the row that is smallest by that column, as in the batch operator."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
-        reader.load(path).withWatermark("ts", watermark)
-        .dropDuplicatesWithinWatermark(["station_id", "ts"])
-    )
+    arrived = reader.load(path).withWatermark("ts", watermark)
+    keys = ["station_id", "ts"]
+    if order is None:
+        rows = arrived.dropDuplicatesWithinWatermark(keys)
+    else:
+        rest = [c for c in arrived.columns if c not in keys]
+        first = F.min_by(F.struct(*rest), order).alias("_first")
+        rows = arrived.groupBy(*keys).agg(first).select(*keys, "_first.*")
+    # on the event time, so that it is applied after the watermark has seen the closing row
+    return rows.filter(F.col("ts") < F.lit(CLOSED).cast("timestamp"))
 
 
 def stream_hourly_stats(
