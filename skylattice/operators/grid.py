@@ -2,8 +2,8 @@
 
 A layer is one hour of stations; its grid is ``n`` x ``n`` over the bounds of the stations with a
 margin. Every grid cell needs all stations of its layer, so the arithmetic runs in numpy on one
-layer, or on chunks of a layer that is larger than ``MAX_BLOCK``, and per-cell partial results are
-merged afterwards. No station and cell pairs are ever emitted.
+layer. A layer larger than ``MAX_BLOCK`` is cut into chunks of stations and bands of grid rows, and
+per-cell partial results are merged afterwards. No station and cell pairs are ever emitted.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skylattice.constants import CONTOUR_LEVELS, DISPLAY_LIMITS, UNITS
-from skylattice.functions.geodesy import haversine_km
+from skylattice.constants import CONTOUR_LEVELS, DISPLAY_LIMITS, EARTH_RADIUS_KM, UNITS
 from skylattice.operators import blocks
 from skylattice.operators.clean import first_row
 from skylattice.operators.delaunay import delaunay_triangles
@@ -46,35 +45,47 @@ def make_grid(points: DataFrame, n: int = 200, margin: float = 0.1, by: str = "t
     )
 
 
+BAND = 25
+
+
 def _layer_cells(
     points: DataFrame, fn, schema: str, n: int, margin: float, by: str, chunked: bool, size: int
 ) -> DataFrame:
-    """``fn(stations, lon, lat)`` on each layer, or on each hashed chunk of it, giving one array
-    per output column over the flattened grid."""
-    keys = [by, "_chunk"] if chunked else [by]
-    bounds = _bounds(points, margin, by)
+    """``fn(stations, lon, lat)`` on each layer, or on each hashed chunk and band of rows of it,
+    giving one array per output column over the flattened cells."""
+    rows = points.join(_bounds(points, margin, by), by)
+    keys, bands = [by], [(0, n)]
     if chunked:
+        keys, bands = [by, "_chunk", "_band"], [(r, min(r + BAND, n)) for r in range(0, n, BAND)]
         counts = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(size / 2)).alias("_n"))
-        bounds = bounds.join(counts, by)
-    rows = points.join(bounds, by)
-    if chunked:
-        rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("station_id"), F.col("_n"))).drop("_n")
+        rows = (
+            rows.join(counts, by)
+            .withColumn("_chunk", F.pmod(F.xxhash64("station_id"), F.col("_n"))).drop("_n")
+            .withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))))
+        )
     ddl = f"{by} {points.schema[by].dataType.simpleString()}, row int, col int, {schema}"
     arrow = blocks.arrow_schema(ddl)
-    index = np.arange(n)
 
     def run(table: pa.Table) -> pa.Table:
+        low, high = bands[table.column("_band")[0].as_py() if chunked else 0]
         stations = blocks.to_stations(table.drop_columns(keys))
-        lon = stations["lon0"][0] + (stations["lon1"][0] - stations["lon0"][0]) * index / (n - 1.0)
-        lat = stations["lat0"][0] + (stations["lat1"][0] - stations["lat0"][0]) * index / (n - 1.0)
-        out = fn(stations, np.tile(lon, n), np.repeat(lat, n))
-        out["row"] = np.repeat(index, n).astype(np.int32)
-        out["col"] = np.tile(index, n).astype(np.int32)
+        row, col = np.arange(low, high), np.arange(n)
+        lon = _line(stations, "lon", col, n)
+        lat = _line(stations, "lat", row, n)
+        out = fn(stations, np.tile(lon, len(row)), np.repeat(lat, n))
+        out["row"] = np.repeat(row, n).astype(np.int32)
+        out["col"] = np.tile(col, len(row)).astype(np.int32)
         return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
 
     return blocks.spread_evenly(rows, *keys).groupBy(*keys).applyInArrow(run, ddl)
 
 
+def _line(rows: blocks.Stations, axis: str, index: np.ndarray, n: int) -> np.ndarray:
+    """Positions of grid lines from the bounds that every row of a layer carries."""
+    low, high = rows[f"{axis}0"][0], rows[f"{axis}1"][0]
+    return low + (high - low) * index / (n - 1.0)
+
+
 STRIP = 1 << 22
 
 
@@ -130,28 +141,30 @@ def interp_idw(
 def _nearest(
     points: DataFrame, value: str, n: int, margin: float, by: str, max_block: int
 ) -> DataFrame:
-    """``ts, row, col, station_id, s_lon, s_lat, value`` of the station nearest in degrees."""
+    """``ts, row, col, value, km`` of the station nearest in degrees and how far it is."""
     def closest(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> blocks.Stations:
         best = np.empty(len(lon), dtype=int)
         for s in _strips(len(lon), len(stations["lon"])):
             best[s] = _degrees(stations, lon[s], lat[s]).argmin(axis=1)
         dx, dy = lon - stations["lon"][best], lat - stations["lat"][best]
+        lat1, lat2 = np.radians(lat), np.radians(stations["lat"][best])
+        a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(np.radians(-dx) / 2) ** 2
         return {
             "d": np.sqrt(dx * dx + dy * dy), "station_id": stations["station_id"][best],
-            "s_lon": stations["lon"][best], "s_lat": stations["lat"][best],
             "value": stations["value"][best],
+            "km": 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))),
         }
 
-    schema = "d double, station_id string, s_lon double, s_lat double, value double"
+    schema = "d double, station_id string, value double, km double"
 
     def cells(layers: DataFrame, chunked: bool) -> DataFrame:
         found = _layer_cells(layers, closest, schema, n, margin, by, chunked, max_block)
         if chunked:
-            packed = F.struct("d", "station_id", "s_lon", "s_lat", "value")
+            packed = F.struct("d", "station_id", "value", "km")
             found = found.groupBy(by, "row", "col").agg(F.min(packed).alias("b")).select(
                 by, "row", "col", "b.*"
             )
-        return found.drop("d")
+        return found.select(by, "row", "col", "value", "km")
 
     return blocks.by_size(
         _measured(points, value, by), by, max_block,
@@ -172,7 +185,7 @@ def interp_linear(
     max_block: int = blocks.MAX_BLOCK,
 ) -> DataFrame:
     """Barycentric value inside the Delaunay triangles (in degrees), null outside their hull.
-    A triangle visits only the cells of its own bounding box."""
+    The triangles of a layer, or of a band of it, are drawn in numpy."""
     measured = _measured(points, value, by)
     triangles = delaunay_triangles(measured, by, max_block, lat0=0.0)
     for corner in "abc":
@@ -183,38 +196,99 @@ def interp_linear(
             ),
             [by, corner],
         )
-    bounds = _bounds(measured, margin, by)
-
-    def span(axis: str, low: str, high: str) -> Column:
-        step = (F.col(high) - F.col(low)) / F.lit(float(n - 1))
-        corners = [F.col(f"{c}_{axis}") for c in "abc"]
-        first = F.floor((F.least(*corners) - F.col(low)) / step)
-        last = F.ceil((F.greatest(*corners) - F.col(low)) / step)
-        return F.sequence(
-            F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(n - 1)).cast("int")
-        )
+    # a layer with many triangles is cut into bands of grid rows
+    counts = measured.groupBy(by).agg(
+        F.least(F.ceil(F.count(F.lit(1)) / F.lit(float(max_block))), F.lit(n)).cast("int").alias("_bands"))
+    layers = _bounds(measured, margin, by).join(counts, by)
+    step = (F.col("lat1") - F.col("lat0")) / F.lit(float(n - 1))
+    tall = F.ceil(F.lit(float(n)) / F.col("_bands"))
+
+    def band(latitude: Column, shift: int) -> Column:
+        row = F.floor((latitude - F.col("lat0")) / step) + shift
+        return F.least(F.greatest(F.floor(row / tall), F.lit(0)), F.col("_bands") - 1).cast("int")
+
+    lats = [F.col(f"{c}_lat") for c in "abc"]
+    names = [f"{c}_{p}" for c in "abc" for p in ("lon", "lat", "v")]
+    frame = ["lon0", "lon1", "lat0", "lat1", "_bands"]
+    drawn = triangles.join(layers, by).select(
+        by, *frame, *names,
+        F.explode(F.sequence(band(F.least(*lats), -1), band(F.greatest(*lats), 1))).alias("_band"))
+    # one row without a triangle per band, so that every cell comes out
+    empty = layers.select(
+        by, *frame, *[F.lit(None).cast("double").alias(c) for c in names],
+        F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)).alias("_band"))
+    ddl = f"{by} {points.schema[by].dataType.simpleString()}, row int, col int, value double"
+    arrow = blocks.arrow_schema(ddl)
 
-    cells = (
-        triangles.join(bounds, by)
-        .withColumn("row", F.explode(span("lat", "lat0", "lat1")))
-        .withColumn("col", F.explode(span("lon", "lon0", "lon1")))
-        .withColumn("_x", _at("lon0", "lon1", "col", n) - F.col("c_lon"))
-        .withColumn("_y", _at("lat0", "lat1", "row", n) - F.col("c_lat"))
+    def run(table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_numpy() for c in table.column_names if c != by}
+        height = -(-n // int(rows["_bands"][0]))
+        first = int(rows["_band"][0]) * height
+        row, col = np.arange(first, min(first + height, n)), np.arange(n)
+        lon, lat = _line(rows, "lon", col, n), _line(rows, "lat", row, n)
+        values = np.full((len(row), n), np.nan)
+        some = {c: rows[c][~np.isnan(rows["a_lon"])] for c in names}
+        for i in range(len(some["a_lon"])):
+            _draw({c: some[c][i] for c in names}, lon, lat, values)
+        flat = values.ravel()
+        out = {
+            "row": np.repeat(row, n).astype(np.int32), "col": np.tile(col, len(row)).astype(np.int32),
+            "value": pa.array(flat, mask=np.isnan(flat)),
+        }
+        return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
+
+    keys = [by, "_band"]
+    return blocks.spread_evenly(drawn.unionByName(empty), *keys).groupBy(*keys).applyInArrow(run, ddl)
+
+
+def _draw(t: dict[str, float], lon: np.ndarray, lat: np.ndarray, values: np.ndarray) -> None:
+    """Set the cells inside one triangle; each grid row visits only the columns between its sides.
+    Where triangles share a border the smaller value stays."""
+    x = np.array([t["a_lon"], t["b_lon"], t["c_lon"]])
+    y = np.array([t["a_lat"], t["b_lat"], t["c_lat"]])
+    up, right = lat[1] - lat[0] if len(lat) > 1 else np.inf, lon[1] - lon[0]
+    low = max(int(np.floor((y.min() - lat[0]) / up)) if np.isfinite(up) else 0, 0)
+    high = min(int(np.ceil((y.max() - lat[0]) / up)) if np.isfinite(up) else 0, len(lat) - 1)
+    if high < low:
+        return
+    rows = np.arange(low, high + 1)
+    # a row that only touches the triangle between grid lines takes the nearest height inside it
+    at = np.clip(lat[rows], y.min(), y.max())[:, None]
+    y1, y2, x1, x2 = y, np.roll(y, -1), x, np.roll(x, -1)
+    tall = np.where(y2 == y1, 1.0, y2 - y1)
+    share = (at - y1) / tall
+    met = (at >= np.minimum(y1, y2)) & (at <= np.maximum(y1, y2))
+    cross = np.where(y2 == y1, x1, x1 + share * (x2 - x1))
+    ends = np.stack([np.where(met, cross, np.nan), np.where(met & (y1 == y2), x2, np.nan)], axis=2)
+    left, past = np.nanmin(ends, axis=(1, 2)), np.nanmax(ends, axis=(1, 2))
+    first = np.clip(np.floor((left - lon[0]) / right).astype(int), 0, len(lon))
+    last = np.clip(np.ceil((past - lon[0]) / right).astype(int), -1, len(lon) - 1)
+    width = np.maximum(last - first + 1, 0)
+    i = np.repeat(rows, width)
+    j = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
+    ax, ay, bx, by = x[0] - x[2], y[0] - y[2], x[1] - x[2], y[1] - y[2]
+    det = ax * by - bx * ay
+    px, py = lon[j] - x[2], lat[i] - y[2]
+    wa, wb = (px * by - bx * py) / det, (ax * py - px * ay) / det
+    wc = 1.0 - wa - wb
+    inside = np.minimum(np.minimum(wa, wb), wc) >= -1e-12
+    i, j = i[inside], j[inside]
+    mixed = (wa * t["a_v"] + wb * t["b_v"] + wc * t["c_v"])[inside]
+    values[i, j] = np.fmin(values[i, j], mixed)
+
+
+def _fill(linear: DataFrame, near: DataFrame, by: str) -> DataFrame:
+    near = near.select(by, "row", "col", F.col("value").alias("_near"))
+    return linear.join(near, [by, "row", "col"]).select(
+        by, "row", "col", F.coalesce("value", "_near").alias("value")
     )
-    ax, ay = F.col("a_lon") - F.col("c_lon"), F.col("a_lat") - F.col("c_lat")
-    bx, by_ = F.col("b_lon") - F.col("c_lon"), F.col("b_lat") - F.col("c_lat")
-    det = ax * by_ - bx * ay
-    wa = (F.col("_x") * by_ - bx * F.col("_y")) / det
-    wb = (ax * F.col("_y") - F.col("_x") * ay) / det
-    inside = (
-        cells.withColumn("_wa", wa).withColumn("_wb", wb)
-        .withColumn("_wc", F.lit(1.0) - F.col("_wa") - F.col("_wb"))
-        .filter(F.least("_wa", "_wb", "_wc") >= -1e-12)
+
+
+def _mask(cells: DataFrame, near: DataFrame, max_km: float, by: str) -> DataFrame:
+    keys = [by, "row", "col"]
+    return cells.join(near.select(*keys, "km"), keys).select(
+        *keys, F.when(F.col("km") <= max_km, F.col("value")).alias("value")
     )
-    mixed = sum((F.col(f"_w{c}") * F.col(f"{c}_v") for c in "abc"), F.lit(0.0))
-    filled = inside.groupBy(by, "row", "col").agg(F.min(mixed).alias("value"))
-    frame = make_grid(measured, n, margin, by).select(by, "row", "col")
-    return frame.join(filled, [by, "row", "col"], "left")
 
 
 def interp_hybrid(
@@ -223,10 +297,7 @@ def interp_hybrid(
 ) -> DataFrame:
     """Linear inside the hull, nearest outside."""
     linear = interp_linear(points, value, n, margin, by, max_block)
-    near = interp_nearest(points, value, n, margin, by, max_block).withColumnRenamed("value", "_near")
-    return linear.join(near, [by, "row", "col"]).select(
-        by, "row", "col", F.coalesce("value", "_near").alias("value")
-    )
+    return _fill(linear, _nearest(points, value, n, margin, by, max_block), by)
 
 
 def distance_mask(
@@ -234,46 +305,68 @@ def distance_mask(
     margin: float = 0.1, by: str = "ts", max_block: int = blocks.MAX_BLOCK,
 ) -> DataFrame:
     """Cell values set to null where the station nearest in degrees is farther than ``max_km``."""
-    measured = points.filter(F.col(value).isNotNull())
-    near = _nearest(points, value, n, margin, by, max_block).drop("value")
-    place = make_grid(measured, n, margin, by)
-    keys = [by, "row", "col"]
-    km = haversine_km("lat", "lon", "s_lat", "s_lon")
-    return (
-        cells.join(near.join(place, keys).select(*keys, km.alias("_km")), keys)
-        .select(*keys, F.when(F.col("_km") <= max_km, F.col("value")).alias("value"))
-    )
+    return _mask(cells, _nearest(points, value, n, margin, by, max_block), max_km, by)
 
 
-def smooth_gaussian(
-    cells: DataFrame, n: int, sigma: float = 0.8, truncate: float = 4.0, by: str = "ts"
+def interpolated_layer(
+    points: DataFrame, value: str, n: int = 200, method: str = "hybrid", sigma: float = 0.8,
+    max_km: float | None = 50.0, margin: float = 0.1, by: str = "ts",
+    max_block: int = blocks.MAX_BLOCK,
 ) -> DataFrame:
-    """Gaussian smoothing of a full grid, edges mirrored, one pass along each axis. A row or
-    column of the grid is one array of ``n`` values."""
-    radius = int(truncate * sigma + 0.5)
-    raw = [np.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = [float(w / sum(raw)) for w in raw]
+    """The usual map of one variable: interpolate, smooth (``sigma`` 0 leaves it out), mask far
+    cells (``max_km`` None leaves it out), clip to the range observed. The nearest station is
+    searched once for filling and masking."""
+    if method not in ("idw", "nearest", "linear", "hybrid"):
+        raise ValueError(f"unknown method {method!r}")
+    keys, km = [by, "row", "col"], () if max_km is None else ("km",)
+    if method == "nearest":
+        cells = _nearest(points, value, n, margin, by, max_block)
+    elif method == "idw":
+        cells = interp_idw(points, value, n, margin=margin, by=by, max_block=max_block)
+    else:
+        cells = interp_linear(points, value, n, margin, by, max_block)
+    if method == "hybrid" or (max_km is not None and method != "nearest"):
+        near = _nearest(points, value, n, margin, by, max_block).withColumnRenamed("value", "_near")
+        filled = F.coalesce("value", "_near") if method == "hybrid" else F.col("value")
+        cells = cells.join(near, keys).select(*keys, filled.alias("value"), *km)
+    if sigma:
+        cells = smooth_gaussian(cells, n, sigma, by=by, keep=km)
+    if max_km is not None:
+        cells = cells.withColumn("value", F.when(F.col("km") <= max_km, F.col("value"))).drop("km")
+    return clip_to_observed(cells, points, value, by)
 
-    def mirrored(i: Column) -> Column:
-        m = F.pmod(i, F.lit(2 * n))
-        return F.when(m < n, m).otherwise(F.lit(2 * n - 1) - m)
-
-    def along(frame: DataFrame, fixed: str, moving: str) -> DataFrame:
-        line = F.array_sort(F.collect_list(F.struct(moving, "value")))
-        lines = frame.groupBy(by, fixed).agg(line.alias("_cells")).select(
-            by, fixed, F.transform("_cells", lambda c: c["value"]).alias("_line")
-        )
 
-        def smoothed(i: Column) -> Column:
-            total = F.lit(0.0)
-            for k, w in zip(range(-radius, radius + 1), weights, strict=True):
-                total = total + F.get("_line", mirrored(i + F.lit(k))) * F.lit(w)
-            return total
+def smooth_gaussian(
+    cells: DataFrame, n: int, sigma: float = 0.8, truncate: float = 4.0, by: str = "ts",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Gaussian smoothing of a full grid, edges mirrored, one pass along each axis; a null spreads
+    to the cells that would use it. A layer of ``n`` x ``n`` values is one group; the double columns
+    in ``keep`` pass through."""
+    radius = int(truncate * sigma + 0.5)
+    reach = np.arange(-radius, radius + 1)
+    weights = np.exp(-0.5 * (reach / sigma) ** 2)
+    weights /= weights.sum()
+    mirror = (np.arange(n)[:, None] + reach[None, :]) % (2 * n)
+    mirror = np.where(mirror < n, mirror, 2 * n - 1 - mirror)
+    columns = [by, "row", "col", "value", *keep]
+    ddl = ", ".join([f"{by} {cells.schema[by].dataType.simpleString()}, row int, col int, value double",
+                     *[f"{c} double" for c in keep]])
+    arrow = blocks.arrow_schema(ddl)
 
-        out = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), smoothed)
-        return lines.select(by, fixed, F.posexplode(out).alias(moving, "value"))
+    def run(table: pa.Table) -> pa.Table:
+        row, col = table.column("row").to_numpy(), table.column("col").to_numpy()
+        grid = np.full((n, n), np.nan)
+        grid[row, col] = table.column("value").to_numpy(zero_copy_only=False).astype(float)
+        for _ in range(2):
+            grid = (grid[mirror] * weights[None, :, None]).sum(axis=1).T
+        flat = grid[row, col]
+        out = {"row": row, "col": col, "value": pa.array(flat, mask=np.isnan(flat)),
+               **{c: table.column(c) for c in keep}}
+        return pa.table([table.column(by), *[out[c] for c in columns[1:]]], names=columns).cast(arrow)
 
-    return along(along(cells, "row", "col"), "col", "row").select(by, "row", "col", "value")
+    rows = cells.select(by, F.col("row").cast("int"), F.col("col").cast("int"), "value", *keep)
+    return blocks.spread_evenly(rows, by).groupBy(by).applyInArrow(run, ddl)
 
 
 def clip_to_observed(cells: DataFrame, points: DataFrame, value: str, by: str = "ts") -> DataFrame:
@@ -290,15 +383,11 @@ def dedupe_coordinates(points: DataFrame, *order_cols: Column | str, by: str = "
     return first_row(points, [by, "lat", "lon"], order_cols)
 
 
-def _two_places(c: str) -> Column:
-    return F.format_string("%.2f", F.round(F.col(c).cast("decimal(18,6)"), 2).cast("double"))
-
-
 def map_layer(
     rows: DataFrame, variable: str | None = None, t=None, by: str = "ts"
 ) -> DataFrame:
     """Rows of one variable and time (all of them when not given) with the unit, display limits,
-    a flag for exact zeros and a label with the range of the layer."""
+    a flag for exact zeros and the range of the layer (``low``, ``high``)."""
     if variable is not None:
         rows = rows.filter(F.col("variable") == variable)
     if t is not None:
@@ -311,20 +400,14 @@ def map_layer(
         )
 
     limits = rows.groupBy(by, "variable").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    unit = lookup(UNITS)
-    label = F.concat(
-        F.lit("Min: "), _two_places("low"), F.lit(" "), unit,
-        F.lit(" · Max: "), _two_places("high"), F.lit(" "), unit,
-    )
     return rows.join(limits, [by, "variable"]).withColumns(
         {
-            "unit": unit,
+            "unit": lookup(UNITS),
             "display_low": lookup({k: v[0] for k, v in DISPLAY_LIMITS.items()}),
             "display_high": lookup({k: v[1] for k, v in DISPLAY_LIMITS.items()}),
             "is_zero": F.col("value") == 0,
-            "label": label,
         }
-    ).drop("low", "high")
+    )
 
 
 def contour_bands(

@@ -13,7 +13,8 @@ from skylattice.session import materialize
 
 QUERIES = {}
 ORACLES = {}
-N = 8
+N = 200
+BLOCK = 20
 
 
 def query(name: str, oracle: str | None = None):
@@ -32,14 +33,23 @@ BOUNDS = ("bounds AS (SELECT ts, min(lon) - 0.1e0 AS lon0, max(lon) + 0.1e0 AS l
 GRID = (f"grid AS (SELECT ts, CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col,"
         f" lon0 + (lon1 - lon0) * b.range / {N - 1}e0 AS lon, lat0 + (lat1 - lat0) * a.range / {N - 1}e0 AS lat"
         f" FROM bounds, range({N}) a, range({N}) b)")
-PAIRS = ("pairs AS (SELECT g.ts, row, col, g.lon AS glon, g.lat AS glat, m.station_id, m.value,"
-         " m.lon, m.lat, sqrt((g.lon - m.lon) * (g.lon - m.lon) + (g.lat - m.lat) * (g.lat - m.lat)) AS d"
-         " FROM grid g JOIN measured m ON m.ts = g.ts)")
-IDW = ("idw AS (SELECT ts, row, col, sum(value / (d + 1e-12)) / sum(1e0 / (d + 1e-12)) AS value"
-       " FROM pairs GROUP BY ts, row, col)")
-NEAR = ("near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts, row, col"
-        " ORDER BY d, station_id) AS k FROM pairs) WHERE k = 1)")
-BASE = [MEASURED, BOUNDS, GRID, PAIRS]
+# the stations of a layer as one list, so that no row per station and cell is formed
+LISTS = ("lists AS (SELECT ts, list({'id': station_id, 'lon': lon, 'lat': lat, 'v': value}) AS ms"
+         " FROM measured GROUP BY ts)")
+_D = "sqrt((g.lon - m.lon) * (g.lon - m.lon) + (g.lat - m.lat) * (g.lat - m.lat))"
+
+
+def _weighted(weight: str) -> str:
+    return (f"idw AS (SELECT g.ts, row, col, list_sum(list_transform(ms, lambda m: m.v / ({weight})))"
+            f" / list_sum(list_transform(ms, lambda m: 1e0 / ({weight}))) AS value"
+            " FROM grid g JOIN lists l ON l.ts = g.ts)")
+
+
+IDW = _weighted(f"{_D} + 1e-12")
+NEAR = ("near AS (SELECT ts, row, col, lat AS glat, lon AS glon, best.v AS value, best.lat AS lat, best.lon AS lon"
+        f" FROM (SELECT g.*, list_min(list_transform(ms, lambda m: {{'d': {_D}, 'id': m.id, 'v': m.v,"
+        " 'lat': m.lat, 'lon': m.lon})) AS best FROM grid g JOIN lists l ON l.ts = g.ts))")
+BASE = [MEASURED, BOUNDS, GRID, LISTS]
 FLAT = ("cart AS (SELECT ts, station_id, lon AS px, lat AS py, value FROM measured)")
 LINEAR = """corners AS (SELECT t.ts, p.px AS ax, p.py AS ay, p.value AS av, q.px AS bx, q.py AS by_, q.value AS bv,
      s.px AS cx, s.py AS cy, s.value AS cv FROM triangles t
@@ -57,6 +67,21 @@ TRI = [FLAT, DELAUNAY, _TRIANGLES, LINEAR]
 VALUE = r("value")
 
 
+def _digest_sql(table: str) -> str:
+    """What a whole layer comes to in each block of cells: the result stays small."""
+    return (f"SELECT ts, CAST(row // {BLOCK} AS INTEGER) AS block_row, CAST(col // {BLOCK} AS INTEGER) AS block_col,"
+            f" count(*) AS cells, count(value) AS filled, {r('sum(value)', 'total', 4)}, {r('min(value)', 'low')},"
+            f" {r('max(value)', 'high')} FROM {table} GROUP BY ALL")
+
+
+def _digest(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(
+        "ts", F.floor(F.col("row") / BLOCK).cast("int").alias("block_row"),
+        F.floor(F.col("col") / BLOCK).cast("int").alias("block_col"),
+    ).agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"),
+          F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def _points(s, d) -> DataFrame:
     return materialize(ev.points(s, d))
 
@@ -65,91 +90,108 @@ def _measured(s, d) -> DataFrame:
     return ev.points(s, d).filter("temp is not null")
 
 
-@query("make_grid", sql("points", f"SELECT ts, row, col, {rr('lon', 'lat')} FROM grid", MEASURED, BOUNDS, GRID))
+@query("make_grid", sql("points", _digest_sql("(SELECT ts, row, col, lon * lat AS value FROM grid)"),
+                        MEASURED, BOUNDS, GRID))
 def _(s, d):
-    return gd.make_grid(_measured(s, d), N)
+    return _digest(gd.make_grid(_measured(s, d), N).withColumn("value", F.col("lon") * F.col("lat")))
 
 
-@query("interp_idw", sql("points", f"SELECT ts, row, col, {VALUE} FROM idw", *BASE, IDW))
+@query("interp_idw", sql("points", _digest_sql("idw"), *BASE, IDW))
 def _(s, d):
-    return gd.interp_idw(_points(s, d), "temp", N)
+    return _digest(gd.interp_idw(_points(s, d), "temp", N))
 
 
-@query("interp_idw_squared",
-       sql("points", f"SELECT ts, row, col, {r('sum(value / (d * d + 1e-12)) / sum(1e0 / (d * d + 1e-12))', 'value')}"
-                     " FROM pairs GROUP BY ts, row, col", *BASE))
+@query("interp_idw_squared", sql("points", _digest_sql("idw"), *BASE, _weighted(f"{_D} * {_D} + 1e-12")))
 def _(s, d):
-    return gd.interp_idw(_points(s, d), "temp", N, power=2.0)
+    return _digest(gd.interp_idw(_points(s, d), "temp", N, power=2.0))
 
 
-@query("interp_nearest", sql("points", f"SELECT ts, row, col, {VALUE} FROM near", *BASE, NEAR))
+@query("interp_idw_cut", sql("points", _digest_sql("idw"), *BASE, IDW))
 def _(s, d):
-    return gd.interp_nearest(_points(s, d), "temp", N)
+    return _digest(gd.interp_idw(_points(s, d), "temp", N, max_block=12))
 
 
-@query("interp_nearest_cut", sql("points", f"SELECT ts, row, col, {VALUE} FROM near", *BASE, NEAR))
+@query("interp_nearest", sql("points", _digest_sql("near"), *BASE, NEAR))
 def _(s, d):
-    return gd.interp_nearest(_points(s, d), "temp", N, max_block=4)
+    return _digest(gd.interp_nearest(_points(s, d), "temp", N))
 
 
-@query("interp_idw_cut", sql("points", f"SELECT ts, row, col, {VALUE} FROM idw", *BASE, IDW))
+@query("interp_nearest_cut", sql("points", _digest_sql("near"), *BASE, NEAR))
 def _(s, d):
-    return gd.interp_idw(_points(s, d), "temp", N, max_block=4)
+    return _digest(gd.interp_nearest(_points(s, d), "temp", N, max_block=12))
 
 
-@query("interp_linear", sql("points", f"SELECT ts, row, col, {VALUE} FROM linear", MEASURED, BOUNDS, GRID, *TRI))
+@query("interp_linear", sql("points", _digest_sql("linear"), MEASURED, BOUNDS, GRID, *TRI))
 def _(s, d):
-    return gd.interp_linear(_points(s, d), "temp", N)
+    return _digest(gd.interp_linear(_points(s, d), "temp", N))
+
+
+_FILLED = ("hybrid AS (SELECT l.ts, l.row, l.col, coalesce(l.value, n.value) AS value FROM linear l"
+           " JOIN near n ON n.ts = l.ts AND n.row = l.row AND n.col = l.col)")
 
 
-@query("interp_hybrid",
-       sql("points", f"SELECT l.ts, l.row, l.col, {r('coalesce(l.value, n.value)', 'value')} FROM linear l"
-                     " JOIN near n ON n.ts = l.ts AND n.row = l.row AND n.col = l.col", *BASE, NEAR, *TRI))
+@query("interp_hybrid", sql("points", _digest_sql("hybrid"), *BASE, NEAR, *TRI, _FILLED))
 def _(s, d):
-    return gd.interp_hybrid(_points(s, d), "temp", N)
+    return _digest(gd.interp_hybrid(_points(s, d), "temp", N))
 
 
 _KM = haversine_sql("g", "m")
 
 
-@query("distance_mask",
-       sql("points", f"SELECT i.ts, i.row, i.col, {r('CASE WHEN km <= 50e0 THEN i.value END', 'value')}"
-                     f" FROM idw i JOIN (SELECT n.ts, n.row, n.col, {_KM} AS km FROM near n,"
-                     " LATERAL (SELECT n.glat AS lat, n.glon AS lon) g, LATERAL (SELECT n.lat AS lat,"
-                     " n.lon AS lon) m) k ON k.ts = i.ts AND k.row = i.row AND k.col = i.col",
-           *BASE, IDW, NEAR))
+def _masked(table: str) -> str:
+    return (f"masked AS (SELECT i.ts, i.row, i.col, CASE WHEN km <= 50e0 THEN i.value END AS value FROM {table} i"
+            f" JOIN (SELECT n.ts, n.row, n.col, {_KM} AS km FROM near n,"
+            " LATERAL (SELECT n.glat AS lat, n.glon AS lon) g, LATERAL (SELECT n.lat AS lat,"
+            " n.lon AS lon) m) k ON k.ts = i.ts AND k.row = i.row AND k.col = i.col)")
+
+
+@query("distance_mask", sql("points", _digest_sql("masked"), *BASE, IDW, NEAR, _masked("idw")))
 def _(s, d):
     points = _points(s, d)
-    return gd.distance_mask(gd.interp_idw(points, "temp", N), points, "temp", N)
+    return _digest(gd.distance_mask(gd.interp_idw(points, "temp", N), points, "temp", N))
 
 
-def _blur(table: str, fixed: str, moving: str, out: str) -> str:
-    m = f"((c.{moving} + k.k) % {2 * N} + {2 * N}) % {2 * N}"
-    return (f"{out} AS (SELECT c.ts, c.row, c.col, sum(v.value * k.w) AS value FROM {table} c, kernel k"
-            f" JOIN {table} v ON TRUE WHERE v.ts = c.ts AND v.{fixed} = c.{fixed}"
-            f" AND v.{moving} = CASE WHEN {m} < {N} THEN {m} ELSE {2 * N - 1} - {m} END"
-            " GROUP BY c.ts, c.row, c.col)")
+_WEIGHTS = [f"exp(-0.5e0 * ({k} / 0.8e0) * ({k} / 0.8e0))" for k in range(-3, 4)]
+_TOTAL = "(" + " + ".join(_WEIGHTS) + ")"
 
 
-KERNEL = ("kernel AS (SELECT range AS k, exp(-0.5e0 * (range / 0.8e0) * (range / 0.8e0)) / (SELECT"
-          " sum(exp(-0.5e0 * (range / 0.8e0) * (range / 0.8e0))) FROM range(-3, 4)) AS w FROM range(-3, 4))")
+def _blur(table: str, fixed: str, moving: str, out: str) -> str:
+    """One pass along each line, held as a list; positions beyond its ends are mirrored."""
+    terms = []
+    for k, w in zip(range(-3, 4), _WEIGHTS):
+        m = f"((j + {k}) % {2 * N} + {2 * N}) % {2 * N}"
+        terms.append(f"line[CAST(CASE WHEN {m} < {N} THEN {m} ELSE {2 * N - 1} - {m} END AS BIGINT) + 1] * ({w} / {_TOTAL})")
+    return (f"{out} AS (SELECT ts, {fixed}, j AS {moving}, " + " + ".join(terms) + " AS value FROM"
+            f" (SELECT ts, {fixed}, list(value ORDER BY {moving}) AS line FROM {table} GROUP BY ts, {fixed}),"
+            f" (SELECT CAST(range AS INTEGER) AS j FROM range({N})))")
 
 
 @query("smooth_gaussian",
-       sql("points", f"SELECT ts, row, col, {VALUE} FROM smooth", *BASE, IDW, KERNEL,
+       sql("points", _digest_sql("smooth"), *BASE, IDW,
            _blur("idw", "row", "col", "half"), _blur("half", "col", "row", "smooth")))
 def _(s, d):
-    return gd.smooth_gaussian(gd.interp_idw(_points(s, d), "temp", N), N)
+    return _digest(gd.smooth_gaussian(gd.interp_idw(_points(s, d), "temp", N), N))
+
 
+def _clipped(table: str, factor: str) -> str:
+    return (f"clipped AS (SELECT i.ts, i.row, i.col, CASE WHEN value IS NOT NULL THEN"
+            f" least(greatest(i.value * {factor}, lo), hi) END AS value FROM {table} i"
+            " JOIN (SELECT ts, min(temp) AS lo, max(temp) AS hi FROM points GROUP BY ts) l ON l.ts = i.ts)")
 
-@query("clip_to_observed",
-       sql("points", "SELECT i.ts, i.row, i.col, " + r("least(greatest(i.value * 1.5e0, lo), hi)", "value")
-           + " FROM idw i JOIN (SELECT ts, min(temp) AS lo, max(temp) AS hi FROM points GROUP BY ts) l"
-           " ON l.ts = i.ts", *BASE, IDW))
+
+@query("clip_to_observed", sql("points", _digest_sql("clipped"), *BASE, IDW, _clipped("idw", "1.5e0")))
 def _(s, d):
     points = _points(s, d)
     cells = gd.interp_idw(points, "temp", N).withColumn("value", F.col("value") * 1.5)
-    return gd.clip_to_observed(cells, points, "temp")
+    return _digest(gd.clip_to_observed(cells, points, "temp"))
+
+
+@query("interpolated_layer",
+       sql("points", _digest_sql("clipped"), *BASE, NEAR, *TRI, _FILLED,
+           _blur("hybrid", "row", "col", "half"), _blur("half", "col", "row", "smooth"),
+           _masked("smooth"), _clipped("masked", "1e0")))
+def _(s, d):
+    return _digest(gd.interpolated_layer(_points(s, d), "temp", N))
 
 
 @query("dedupe_coordinates",
@@ -168,8 +210,8 @@ def _case(items: dict[str, str]) -> str:
 
 @query("map_layer",
        sql("points", f"SELECT ts, station_id, variable, {VALUE}, unit, {rr('display_low', 'display_high')},"
-                     " value = 0 AS is_zero, 'Min: ' || printf('%.2f', CAST(round(CAST(min(value) OVER w AS DECIMAL(18, 6)), 2) AS DOUBLE)) || ' ' || unit ||"
-                     " ' · Max: ' || printf('%.2f', CAST(round(CAST(max(value) OVER w AS DECIMAL(18, 6)), 2) AS DOUBLE)) || ' ' || unit AS label FROM (SELECT *, "
+                     f" value = 0 AS is_zero, {r('min(value) OVER w', 'low')}, {r('max(value) OVER w', 'high')}"
+                     " FROM (SELECT *, "
            + _case({"temp": "'°C'", "humidity": "'%'", "rain": "'mm'", "wind_speed": "'km/h'",
                     "pressure": "'hPa'"}) + " AS unit, "
            + _case({"temp": "-20e0", "humidity": "0e0", "rain": "0e0", "wind_speed": "0e0",
