@@ -303,32 +303,42 @@ def rescue_isolated(
 
 
 def edge_attributes(
-    edges: DataFrame, nodes: DataFrame, dist_scale: float = 100.0, by: str = "ts"
+    edges: DataFrame, nodes: DataFrame, dist_scale: float = 100.0, by: str = "ts",
+    cartesian: bool = False,
 ) -> DataFrame:
     """The fourteen attributes of each edge from the feature rows of its two ends. Slope relates
-    the difference in normalised altitude to the distance in km."""
-    cols = ["lat", "lon", "alt_norm", *dict.fromkeys(EDGE_DIFFS.values())]
+    the difference in normalised altitude to the distance in km. ``cartesian`` measures the straight
+    line between positions with altitude, where a bearing has no meaning and is zero."""
+    place = ["lat", "lon", *(["alt"] if cartesian else [])]
+    cols = [*place, "alt_norm", *dict.fromkeys(EDGE_DIFFS.values())]
 
     def end(prefix: str, key: str) -> DataFrame:
         return nodes.select(
             by, F.col("station_id").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in cols]
         )
 
+    if cartesian:
+        a, b = (to_cartesian(*[f"{p}{c}" for c in place]) for p in ("_a_", "_b_"))
+        distance = F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+        bearing_sin = bearing_cos = F.lit(0.0)
+    else:
+        distance = haversine_km("_a_lat", "_a_lon", "_b_lat", "_b_lon", HAVERSINE_EPS)
+        bearing = F.radians(bearing_deg("_a_lat", "_a_lon", "_b_lat", "_b_lon"))
+        bearing_sin, bearing_cos = F.sin(bearing), F.cos(bearing)
     km = F.col("_km")
-    bearing = F.radians(bearing_deg("_a_lat", "_a_lon", "_b_lat", "_b_lon"))
     abs_alt = F.abs(F.col("_a_alt_norm") - F.col("_b_alt_norm"))
     attributes = {
         "dist_scaled": km / F.lit(float(dist_scale)),
         "abs_alt": abs_alt,
         "slope": F.when(km > 0, abs_alt / km).otherwise(F.lit(0.0)),
-        "bearing_sin": F.sin(bearing),
-        "bearing_cos": F.cos(bearing),
+        "bearing_sin": bearing_sin,
+        "bearing_cos": bearing_cos,
         **{name: F.col(f"_a_{c}") - F.col(f"_b_{c}") for name, c in EDGE_DIFFS.items()},
     }
     joined = (
         edges.join(end("_a_", "src"), [by, "src"])
         .join(end("_b_", "dst"), [by, "dst"])
-        .withColumn("_km", haversine_km("_a_lat", "_a_lon", "_b_lat", "_b_lon", HAVERSINE_EPS))
+        .withColumn("_km", distance)
     )
     carried = [c for c in edges.columns if c not in (by, "src", "dst")]
     return joined.select(
@@ -451,6 +461,7 @@ class GraphOptions:
     decay: float = 75.0
     scaled_weight: bool = False
     coalesce: str = "first"
+    cartesian: bool = False
     max_block: int = blocks.MAX_BLOCK
 
 
@@ -483,7 +494,7 @@ def build_graph(features: DataFrame, options: GraphOptions = GraphOptions()) ->
     plain = base.withColumn("rescued", F.lit(False)).unionByName(
         rescued.withColumn("rescued", F.lit(True))
     )
-    described = edge_attributes(plain, nodes, o.dist_scale)
+    described = edge_attributes(plain, nodes, o.dist_scale, cartesian=o.cartesian)
     # a rescue already comes in both directions
     both = reverse_edges(described).filter(~(F.col("flipped") & F.col("rescued")))
     edges = coalesce_edges(drop_self_loops(both), o.coalesce)

@@ -147,6 +147,13 @@ def reindex_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     return edges.join(ends[0], "src").join(ends[1], "dst").drop("src", "dst")
 
 
+def sequence_edges(windows: DataFrame, edges: DataFrame, index: DataFrame) -> DataFrame:
+    """``seq_id, step, src_idx, dst_idx`` and the attributes: the edges of the hour of every step,
+    ends as positions in the index. Edges are re-indexed once, before the sequences fan out."""
+    steps = windows.select("seq_id", "step", "ts")
+    return steps.join(reindex_edges(edges, index), "ts").drop("ts")
+
+
 def chunk_sequences(seqs: DataFrame, size: int = 50) -> DataFrame:
     """Add the 1-based ``chunk_id`` of each sequence over the sorted ids."""
     ids = seqs.select("seq_id").distinct()

@@ -43,12 +43,15 @@ def _folder(spark: SparkSession, kind: str) -> str:
 # --- the archive ----------------------------------------------------------------------------------
 
 # What is wrong with the file of an hour; the same cases in SQL below.
-_H, _D = F.hour("ts"), F.dayofmonth("ts")
-_KIND = (
-    F.when((_H == 5) & (_D % 5 == 2), "empty").when((_H == 6) & (_D % 5 == 1), "bare")
-    .when((_H == 9) & (_D % 7 == 3), "open").when((_H == 10) & (_D % 9 == 4), "blank")
-    .when(_H == 11, "nopressure").when(_H == 3, "latin").otherwise("plain")
-)
+def _kind():
+    h, d = F.hour("ts"), F.dayofmonth("ts")
+    return (
+        F.when((h == 5) & (d % 5 == 2), "empty").when((h == 6) & (d % 5 == 1), "bare")
+        .when((h == 9) & (d % 7 == 3), "open").when((h == 10) & (d % 9 == 4), "blank")
+        .when(h == 11, "nopressure").when(h == 3, "latin").otherwise("plain")
+    )
+
+
 _KIND_SQL = """CASE WHEN hour(ts) = 5 AND day(ts) % 5 = 2 THEN 'empty' WHEN hour(ts) = 6 AND day(ts) % 5 = 1
    THEN 'bare' WHEN hour(ts) = 9 AND day(ts) % 7 = 3 THEN 'open' WHEN hour(ts) = 10 AND day(ts) % 9 = 4
    THEN 'blank' WHEN hour(ts) = 11 THEN 'nopressure' WHEN hour(ts) = 3 THEN 'latin' ELSE 'plain' END"""
@@ -77,7 +80,7 @@ def _line(columns: list[str]):
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: one file per hour. A file holds the readings of one hour, as the archive's."""
     short = [c for c in RAW_HEADER if c != "Patm"]
-    lines = ev.raw(spark, sf_dir).withColumn("kind", _KIND).withColumn(
+    lines = ev.raw(spark, sf_dir).withColumn("kind", _kind()).withColumn(
         "line", F.when(F.col("kind") == "nopressure", _line(short)).otherwise(_line(RAW_HEADER)))
     body = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
@@ -89,7 +92,7 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind") == "open", F.concat(head, F.lit("\n"), "body", F.lit('"')))
         .otherwise(F.concat(head, F.lit("\n"), "body", F.lit("\n")))
     )
-    hour = F.when((_H == 13) & (_D % 4 == 0), "HTML").otherwise(F.date_format("ts", "HH"))
+    hour = F.when((F.hour("ts") == 13) & (F.dayofmonth("ts") % 4 == 0), "HTML").otherwise(F.date_format("ts", "HH"))
     path = F.concat(F.date_format("ts", "yyyy/MM/dd/"), hour, F.lit("/"),
                     F.date_format("ts", "yyyyMMddHH"), F.lit("dadesPC_utc.csv"))
     code = F.when(F.col("kind") == "latin", F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))

@@ -289,6 +289,21 @@ def _(s, d):
     return _described(s, d)[1]
 
 
+_STRAIGHT = """straight AS (SELECT e.ts, e.src, e.dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS line
+   FROM delaunay e JOIN cart a ON a.ts = e.ts AND a.station_id = e.src JOIN cart b ON b.ts = e.ts AND b.station_id = e.dst)"""
+
+
+@query("edge_attributes_cartesian",
+       sql("features", "SELECT d.ts, d.src, d.dst, "
+           + rr(*[c for c in EDGE_ATTRIBUTES if c not in ("dist_scaled", "slope", "bearing_sin", "bearing_cos")])
+           + f", {r('line / 100e0', 'dist_scaled')}, {r('CASE WHEN line > 0 THEN abs_alt / line ELSE 0e0 END', 'slope')},"
+           " 0e0 AS bearing_sin, 0e0 AS bearing_cos FROM described d JOIN straight USING (ts, src, dst)",
+           *_DESCRIBED, _STRAIGHT))
+def _(s, d):
+    nodes = materialize(ev.features(s, d))
+    return gr.edge_attributes(plain_edges(nodes), nodes, cartesian=True)
+
+
 @query("reverse_edges",
        sql("features", f"SELECT ts, src, dst, {ATTRS}, flipped = 1 AS flipped FROM both_ways",
            *_DESCRIBED, BOTH))

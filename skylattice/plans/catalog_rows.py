@@ -12,6 +12,7 @@ from skylattice.operators import impute as im
 from skylattice.operators import quality as qa
 from skylattice.operators import stats as st
 from skylattice.plans import oracle as o
+from skylattice.plans import standard
 from skylattice.plans import station_events as ev
 from skylattice.plans.oracle import r, rr, sql
 
@@ -286,6 +287,19 @@ def _coverage_sql(label: str) -> str:
     )
 
 
+@query("graph_row_report",
+       sql("clean", "SELECT CAST(ts AS DATE) AS day, count(*) AS rows_before,"
+                    " count(*) FILTER (pos IS NULL) AS dropped_position,"
+                    " count(*) FILTER (pos AND NOT inside) AS dropped_bbox,"
+                    " count(*) FILTER (pos AND inside AND humidity = 0) AS dropped_zero_humidity,"
+                    " count(*) FILTER (pos AND inside AND coalesce(humidity, 1) <> 0) AS rows_after"
+                    " FROM (SELECT *, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND alt IS NOT NULL THEN TRUE END"
+                    " AS pos, lat BETWEEN 37.843e0 AND 42.85e0 AND lon BETWEEN -1.533e0 AND 4.324e0 AS inside"
+                    " FROM clean) GROUP BY 1"))
+def _(s, d):
+    return standard.graph_row_report(ev.clean(s, d))
+
+
 @query("station_coverage", _coverage_sql("'all'"))
 def _(s, d):
     return qa.station_coverage(ev.obs(s, d))

@@ -134,6 +134,18 @@ _CHUNKS = ("chunks AS (SELECT seq_id, CAST((row_number() OVER (ORDER BY seq_id)
            " AS chunk_id FROM seqs)")
 
 
+@query("sequence_edges",
+       sql("features", f"SELECT seq_id, step, a.node_idx AS src_idx, b.node_idx AS dst_idx, {rr('dist_scaled', 'slope')}"
+                       " FROM named JOIN described e USING (ts) JOIN node_index a ON a.station_id = e.src"
+                       " JOIN node_index b ON b.station_id = e.dst",
+           cart("features"), DELAUNAY, described(PLAIN), INDEX, *SEQ))
+def _(s, d):
+    nodes = materialize(ev.features(s, d))
+    edges = gr.edge_attributes(delaunay_edges(nodes).drop("alt_diff_km"), nodes)
+    found = wn.sequence_edges(_named(nodes), edges, wn.node_index(nodes))
+    return found.select("seq_id", "step", "src_idx", "dst_idx", "dist_scaled", "slope")
+
+
 @query("chunk_sequences",
        sql("features", "SELECT named.seq_id, step, chunk_id FROM named JOIN chunks"
                        " ON chunks.seq_id = named.seq_id", *SEQ, _CHUNKS))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from skylattice.constants import FEATURE_COLUMNS, OFFICIAL_SOURCES, TEMPORAL_FEATURES
-from skylattice.operators import clean as cl, impute as im, stats as st
+from skylattice.constants import BBOX, FEATURE_COLUMNS, OFFICIAL_SOURCES, TEMPORAL_FEATURES
+from skylattice.operators import clean as cl, impute as im, stats as st, windows as wn
 from skylattice.operators.features import build_features
 from skylattice.operators.graph import Graph, GraphOptions, build_graph
+from skylattice.operators.quality import cleaning_report
 from skylattice.session import materialize
 
 FILE_ORDER = ("path", "line_no")
@@ -30,6 +32,23 @@ def clean_readings(
     return cl.clip_ranges(cl.drop_incomplete(filled))
 
 
+def row_rules() -> dict:
+    """What ``graph_rows`` asks of a row, in its order: columns that are true for rows to keep."""
+    inside = F.lit(True)
+    for name, (low, high) in BBOX.items():
+        inside = inside & F.col(name).between(low, high)
+    return {
+        "position": F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("alt").isNotNull(),
+        "bbox": inside,
+        "zero_humidity": F.col("humidity").isNull() | (F.col("humidity") != 0),
+    }
+
+
+def graph_row_report(cleaned: DataFrame, keys: Iterable[str] = ("day",)) -> DataFrame:
+    """How many cleaned readings of each day each rule of ``graph_rows`` drops."""
+    return cleaning_report(cleaned.withColumn("day", F.to_date("ts")), row_rules(), list(keys))
+
+
 def graph_rows(cleaned: DataFrame, order: Iterable[str] = FILE_ORDER) -> DataFrame:
     """Cleaned readings that can be nodes: one per station and hour, inside the study area, with
     humidity, at least two an hour. The first row of a station counts even if a later filter
@@ -59,3 +78,24 @@ def hourly_graphs(
     else:
         scaled = st.normalize(rows, params, FEATURE_COLUMNS, exclude)
     return build_graph(scaled, options)
+
+
+class Sequences(NamedTuple):
+    index: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def hourly_sequences(
+    graph: Graph, cols: Iterable[str] = FEATURE_COLUMNS, window: int = 48, stride: int = 12,
+    horizon: int = 6, chunk_size: int = 50,
+) -> Sequences:
+    """From hourly graphs to chunked sequences: the station index, the station rows of every step
+    with absent stations marked, and the edges of every step by index."""
+    index = materialize(wn.node_index(graph.nodes))
+    runs = wn.sequence_id(wn.sliding_windows(graph.nodes, window, stride, horizon))
+    chunked = materialize(wn.chunk_sequences(runs, chunk_size))
+    return Sequences(
+        index, wn.densify(chunked, graph.nodes, index, cols),
+        wn.sequence_edges(chunked, graph.edges, index),
+    )

@@ -69,3 +69,23 @@ def test_per_hour_normalisation(cleaned):
     for r in graph.nodes.collect():
         by_hour.setdefault(r.ts, []).append(r.temp)
     assert all(sum(v) == pytest.approx(0.0, abs=1e-9) for v in by_hour.values())
+
+
+def test_sequences_from_graphs(spark, cleaned):
+    graph = standard.hourly_graphs(cleaned)
+    found = standard.hourly_sequences(graph, ["temp"], window=2, stride=1, horizon=1, chunk_size=2)
+    names = {r.node_idx: r.station_id for r in found.index.collect()}
+    assert list(names) and sorted(names) == list(range(len(names)))
+    nodes = found.nodes.collect()
+    steps = {(r.seq_id, r.step) for r in nodes}
+    assert {step for _, step in steps} == {0, 1, 2} and all(r.chunk_id >= 1 for r in nodes)
+    edges = found.edges.collect()
+    assert {(r.seq_id, r.step) for r in edges} <= steps
+    assert {r.src_idx for r in edges} | {r.dst_idx for r in edges} <= set(names)
+
+
+def test_report_counts_every_reading_once(spark, cleaned):
+    report = standard.graph_row_report(cleaned).collect()
+    assert sum(r.rows_before for r in report) == cleaned.count()
+    assert all(r.rows_before == r.rows_after + r.dropped_position + r.dropped_bbox + r.dropped_zero_humidity
+               for r in report)
