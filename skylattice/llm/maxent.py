@@ -26,8 +26,8 @@ ROW_BITS = (12, 13, 14)
 FEATURES = 3
 #: Bytes at the end of a word that decide its bucket.
 ENDING = 3
-BATCH = 8192
-RATE = 0.3
+BATCH = 32768
+RATE = 0.2
 #: Weight rows that travel together when the tasks' updates are added up.
 SLICE = 1024
 #: Updates added up in one group.
@@ -118,24 +118,27 @@ class Model:
             out[a:a + BATCH] = np.log10(np.maximum(one, 1e-30))
         return out
 
-    def learn(self, context: list[np.ndarray], bucket: np.ndarray, seen: list[np.ndarray]) -> None:
-        """Gradient steps over the tokens in batches; `seen` counts the uses of each weight row,
-        and a row's step falls with their square root."""
+    def learn(self, context: list[np.ndarray], bucket: np.ndarray, seen: list[np.ndarray],
+              squares: list[np.ndarray]) -> None:
+        """Gradient steps over the tokens in batches, each weight's step scaled by the root of its
+        summed squared gradients; `seen` counts the uses of each weight row."""
         for a in range(0, len(bucket), BATCH):
             part = [c[a:a + BATCH] for c in context]
             for level, rows, bias, truth in self._levels(part, bucket[a:a + BATCH]):
-                table, uses = self.weights[level], seen[level]
+                table, uses, past = self.weights[level], seen[level], squares[level]
                 pull = self._softmax(level, rows, bias)
                 pull[np.arange(len(truth)), truth] -= 1
-                for r in rows:
-                    order = np.argsort(r.astype(np.uint16), kind="stable")
-                    in_order = np.take(r, order)
-                    first = np.flatnonzero(np.diff(in_order, prepend=-1))
-                    met = in_order[first]
-                    sums = np.add.reduceat(np.take(pull, order, axis=0), first, axis=0)
-                    uses[met] += np.diff(first, append=len(r))
-                    sums *= (RATE / np.sqrt(uses[met] + 1.0)).astype(np.float32)[:, None]
-                    table[met] = np.clip(table[met] - sums, -8, 8)
+                across = np.ascontiguousarray(pull.T)
+                size = 1 << ROW_BITS[level]
+                for f, r in enumerate(rows):
+                    own, r = slice(f * size, (f + 1) * size), r - f * size
+                    sums = np.empty((size, WIDTH), np.float32)
+                    for k in range(WIDTH):
+                        sums[:, k] = np.bincount(r, weights=across[k], minlength=size)
+                    uses[own] += np.bincount(r, minlength=size)
+                    past[own] += sums * sums
+                    table[own] -= RATE * sums / np.sqrt(past[own] + 1e-6)
+                np.clip(table, -8, 8, out=table)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -188,11 +191,12 @@ def _updates(shared, text_batches):
     model.inside, model.bias = start.inside, start.bias
     model.weights = [w.copy() for w in start.weights]
     seen = [np.zeros(len(w), np.float32) for w in model.weights]
+    squares = [np.zeros_like(w) for w in model.weights]
     for batch in text_batches:
         data, offsets = flat(batch.column(0))
         for _, _, part, ends in chunks(data, offsets):
             row, hashes, bucket = sequence(lower(part), ends)
-            model.learn(contexts(row, hashes), bucket, seen)
+            model.learn(contexts(row, hashes), bucket, seen, squares)
     slices, blobs = [], []
     for level, (new, old, uses) in enumerate(zip(model.weights, start.weights, seen)):
         for a in range(0, len(new), SLICE):
