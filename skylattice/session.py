@@ -44,10 +44,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read as a table in the checkpoint folder and read it
     back: its lineage ends there, a lost executor costs no recomputation, and its columns and
-    size are known to the planner. Whoever runs the job clears the folder afterwards."""
+    size are known to the planner. ``drop_materialized`` removes the tables when their frames have
+    been used."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Remove the tables this process has written with ``materialize`` and return their number.
+    Frames that were built on them can no longer be read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

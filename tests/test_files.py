@@ -188,3 +188,12 @@ def test_window_resume_skips_finished(spark):
     done = named.select("seq_id").distinct().orderBy("seq_id").limit(1)
     assert wn.sequence_id(windows, done).select("seq_id").distinct().count() == 2
     assert "1970010100_1970010102" in {r.seq_id for r in named.collect()}
+
+
+def test_materialized_tables_can_be_dropped(spark):
+    from skylattice import session
+
+    session._TABLES.clear()
+    kept = session.materialize(spark.range(3))
+    assert kept.count() == 3 and session.drop_materialized(spark) == 1
+    assert not session._TABLES and session.drop_materialized(spark) == 0
