@@ -72,8 +72,9 @@ def build_index(docs: DataFrame, vocab: DataFrame, *, id_col: str = "doc_id",
 def ranked_terms(windows: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:
     """(window, k, off, term, place): the terms of each window that can occur, rarest first."""
     counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+    known = materialize(vocab.join(counts, "term"))
     terms = (windows.select("window", "k", F.posexplode("words").alias("off", "word"))
-             .join(vocab, "word").join(counts, "term"))
+             .join(_sized(known), "word"))
     by = Window.partitionBy("window")
     return materialize(
         terms.withColumn("met", F.count("*").over(by)).where("met = k")
