@@ -34,7 +34,7 @@ GRID = (f"grid AS (SELECT ts, CAST(a.range AS INTEGER) AS row, CAST(b.range AS I
         f" lon0 + (lon1 - lon0) * b.range / {N - 1}e0 AS lon, lat0 + (lat1 - lat0) * a.range / {N - 1}e0 AS lat"
         f" FROM bounds, range({N}) a, range({N}) b)")
 # the stations of a layer as one list, so that no row per station and cell is formed
-LISTS = ("lists AS (SELECT ts, list({'id': station_id, 'lon': lon, 'lat': lat, 'v': value}) AS ms"
+LISTS = ("lists AS (SELECT ts, list({'lon': lon, 'lat': lat, 'v': value} ORDER BY station_id) AS ms"
          " FROM measured GROUP BY ts)")
 _D = "sqrt((g.lon - m.lon) * (g.lon - m.lon) + (g.lat - m.lat) * (g.lat - m.lat))"
 
@@ -46,9 +46,10 @@ def _weighted(weight: str) -> str:
 
 
 IDW = _weighted(f"{_D} + 1e-12")
+# of stations equally near the first by name, which is the first of the list
 NEAR = ("near AS (SELECT ts, row, col, lat AS glat, lon AS glon, best.v AS value, best.lat AS lat, best.lon AS lon"
-        f" FROM (SELECT g.*, list_min(list_transform(ms, lambda m: {{'d': {_D}, 'id': m.id, 'v': m.v,"
-        " 'lat': m.lat, 'lon': m.lon})) AS best FROM grid g JOIN lists l ON l.ts = g.ts))")
+        " FROM (SELECT ts, row, col, lat, lon, ms[list_position(ds, list_min(ds))] AS best FROM"
+        f" (SELECT g.*, ms, list_transform(ms, lambda m: {_D}) AS ds FROM grid g JOIN lists l ON l.ts = g.ts)))")
 BASE = [MEASURED, BOUNDS, GRID, LISTS]
 FLAT = ("cart AS (SELECT ts, station_id, lon AS px, lat AS py, value FROM measured)")
 LINEAR = """corners AS (SELECT t.ts, p.px AS ax, p.py AS ay, p.value AS av, q.px AS bx, q.py AS by_, q.value AS bv,

@@ -485,7 +485,8 @@ def _(s, d):
        sql("features", f"SELECT variable, h, n, {_FOUR} FROM (SELECT variable, h, n, rmse, mae, smape,"
                        " CASE WHEN variable IS NULL THEN avg(r2) FILTER (WHERE variable IS NOT NULL AND h IS NULL)"
                        " OVER () ELSE r2 END AS r2 FROM (SELECT variable, h, "
-                       f"{_SCORE} FROM {_SCORED.format('cube')} GROUP BY GROUPING SETS ((variable, h), (variable), ())))",
+                       f"{_SCORE} FROM (SELECT * REPLACE (CASE WHEN y_pred IS NOT NULL THEN y_true END AS y_true)"
+                       " FROM cube WHERE y_true IS NOT NULL) GROUP BY GROUPING SETS ((variable, h), (variable), ())))",
            *SEQ, ROWS, TRUTH, _seen(47), _JOINED))
 def _(s, d):
     cube = fc.persistence(_sequences(s, d))
