@@ -101,8 +101,10 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per row: an ASCII letter, else any character that Unicode calls a letter."""
-    kind = np.concatenate([[0], np.cumsum((_LETTER[data] != 32) & (data < 0x80))])
-    found = kind[offsets[1:]] > kind[offsets[:-1]]
+    found = np.zeros(len(offsets) - 1, bool)
+    for a, b, part, ends in chunks(data, offsets):
+        letters = np.flatnonzero((_LETTER[part] != 32) & (part < 0x80))
+        found[a:b] = np.diff(np.searchsorted(letters, ends)) > 0
     for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
         found[i] = any(c.isalpha() for c in texts[int(i)].as_py())
     return found

@@ -309,6 +309,27 @@ def test_vector_recall_with_few_probes(spark):
     assert 0.9 * true <= found <= true
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_any_rows(spark, tmp_path, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    messy = [(1, None, None, None, None), (None, "the cat", "en", None, 7), (2, "", "de", "", 0),
+             (3, "w " * 20_000, "en", "s", 1), (4, "the cat", "en", "s", 7), (4, "the cat", "en", "s", 7),
+             (5, "été 12", None, "s", None)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (messy, []):
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert len(got) <= 3 * len(rows)
+        if name != "shards":
+            assert out.columns == docs.columns
+        if name in ("decontaminate", "shards"):
+            assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+        if name == "simhash" and rows:
+            # both null and empty texts have fingerprint zero; the repeated row is one document
+            assert Counter(r["doc_id"] for r in got) == Counter([1, 3, 4, 5])
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rng = random.Random(12)
     words = {"en": ["the", "and", "of", "with", "house", "said", "not", "all"],
