@@ -106,11 +106,11 @@ def shard_documents(docs: DataFrame, shards: int, *, nodes: int = 64, slack: flo
     part = F.shiftright("spot", 33)
     counts = table.groupBy(part.alias("part"), "arc").count().collect()
     loads = np.zeros(len(owners) + 1, np.int64)
-    sizes = np.zeros(parts + 1, np.int64)
+    sizes = np.zeros(max((row["part"] for row in counts), default=0) + 1, np.int64)
     for row in counts:
         loads[row["arc"]] += row["count"]
-        sizes[row["part"] + 1] += row["count"]
-    offsets = np.cumsum(sizes)
+        sizes[row["part"]] += row["count"]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
     pieces = settle(loads, owners, capacities(int(loads.sum()), shards, slack))
     starts = np.array([p[0] for p in pieces], np.int64)
     shard_of = np.array([p[2] for p in pieces], np.int64)
