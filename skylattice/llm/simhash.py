@@ -105,7 +105,12 @@ def simhash_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id",
                         F.xxhash64(text_col).alias("text_key"))
     rows = materialize(fingerprints(keyed, shingle=shingle, text_col="text",
                                     keep=["id", "text_key"]))
-    rooted = components(links(rows))
+    return named_groups(rows, links(rows), id_col)
+
+
+def named_groups(rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows (id, text_key, fp) with component_id and first_key; the links (a, b) connect fps."""
+    rooted = components(found)
     least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key"))
     firsts = rows.groupBy("fp").agg(least.alias("first"))
     groups = firsts.join(rooted, F.col("fp") == F.col("node"), "left").select(
@@ -126,6 +131,11 @@ def keep_first(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id",
     """The documents with one row of each group left, the one with the smallest id. Rows repeated
     with the same id and text are one document; only if there are any is the text shuffled for it."""
     groups = simhash_groups(docs, shingle=shingle, id_col=id_col, text_col=text_col)
+    return leave_first(docs, groups, id_col=id_col, text_col=text_col)
+
+
+def leave_first(docs: DataFrame, groups: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The documents that are the first row of their group."""
     firsts = groups.where(
         F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     kept = materialize(firsts.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))

@@ -358,3 +358,55 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(left["mix"]) <= set(left["decontaminate"])
     assert left["shards"] == left["mix"]
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == left["shards"]
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def without_copies(texts):
+    """Ids left, from {id: text}: the smallest of each group connected by Jaccard of 0.8 or more."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return {i for i, root in rooted(ids, pairs).items() if i == root}
+
+
+def edited(rng, words, most):
+    """The words with some single words replaced."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), rng.randint(0, most)):
+        out[i] = f"new{rng.randint(0, 10**6)}"
+    return out
+
+
+def near_copy_texts(rng):
+    line = " a line that very many of the texts have in common with the others"
+    texts = {}
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([6, 9, 60, 120, 300]))]
+        for _ in range(rng.randint(1, 8)):
+            most = max(1, len(words) // 80)
+            texts[len(texts)] = " ".join(edited(rng, words, most)) + (line if rng.random() < 0.5 else "")
+            if rng.random() < 0.3:
+                words = edited(rng, words, most)  # chains, whose ends are not alike
+    texts |= {len(texts) + k: t for k, t in enumerate(
+        ["", None, "one", "One", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g", " ".join(["w"] * 50)])}
+    return texts
+
+
+def test_near_copies_of_five_words_against_brute_force(spark):
+    for seed in (3, 4):
+        texts = near_copy_texts(random.Random(seed))
+        sets = {i: shingle_set(t) for i, t in texts.items()}
+        near = sum(0.8 <= jaccard(sets[a], sets[b]) <= 0.95 for a in sets for b in sets if a < b)
+        assert near >= 20  # the two bits of operator 8 link hardly any of these
+        docs = docs_of(spark, [(i, t, "en", "s") for i, t in texts.items()])
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(without_copies(texts))
