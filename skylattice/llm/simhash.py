@@ -1,7 +1,7 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by the Hamming ball of whole fingerprints.
 
-A fingerprint is cut into segments, and in each the Hamming ball of radius one is enumerated: every
-member, put back between the other segments, is a key of the index. Two fingerprints meet under a
+There are no tables by segment: the fingerprint and its 64 neighbours with one bit turned are the keys
+of the index, whatever SEGMENTS is. Two fingerprints meet under a
 common key exactly when they differ in at most two bits, because the ball of one touches the ball
 of the other half way. Under one key lie at most as many different fingerprints as a ball has
 members (65), whatever the data holds: no bucket can run hot, nothing is capped.
@@ -85,7 +85,10 @@ def _ball(fp: Column) -> Column:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): from each distinct fingerprint to the smallest one under each of its keys, verified
-    on all bits. Fingerprints two or fewer bits apart are connected through these links."""
+    on all bits. Fingerprints two or fewer bits apart are connected through these links; a larger
+    MAX_DISTANCE is refused, as the keys would miss links."""
+    if MAX_DISTANCE > 2:
+        raise ValueError("balls of radius one meet up to two bits apart only")
     distinct = prints.select("fp").distinct()
     index = distinct.select("fp", F.explode(_ball(F.col("fp"))).alias("key"))
     first = F.min("fp").over(Window.partitionBy("key"))

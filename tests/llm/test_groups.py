@@ -410,3 +410,9 @@ def test_near_copies_of_five_words_against_brute_force(spark):
         out = corpus_pipeline.drop_near_copies(spark, docs, "")
         assert out.columns == docs.columns
         assert Counter(r["doc_id"] for r in out.collect()) == Counter(without_copies(texts))
+
+
+def test_simhash_refuses_distances_its_keys_would_miss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_DISTANCE", 3)
+    with pytest.raises(ValueError, match="two bits"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"))
