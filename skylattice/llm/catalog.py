@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skylattice.llm import decontaminate, language, maxent, mixing, quality, ring, simhash, tokens, urls
-from skylattice.llm import vectors
+from skylattice.llm import align, decontaminate, language, maxent, mixing, quality, ring, simhash, tokens
+from skylattice.llm import urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +158,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN listed USING (row)"""
 
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.alignment(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_tokens": op2_tokens,
@@ -169,6 +178,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_maxent": op9_maxent,
     "op10_decontaminate": op10_decontaminate,
+    "op13_alignment": op13_alignment,
 }
 
 OP6_SQL = """
