@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skylattice.llm import align, decontaminate, language, maxent, mixing, quality, ring, simhash, tokens
-from skylattice.llm import urls, vectors
+from skylattice.llm import align, decontaminate, language, licenses, maxent, mixing, quality, ring, simhash
+from skylattice.llm import tokens, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,6 +159,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN listed USING (row)"""
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def _template_rows() -> str:
+    rows = []
+    for t in (*licenses.PHRASES, *licenses.NOTICES):
+        held = licenses.words(t.text)
+        need = licenses.needed(len(set(held)), 1.0 if t.ordered else licenses.THRESHOLD)
+        rows.append(f"('{t.label}', {t.ordered}, {t.base}, {held}, {need})")
+    return ", ".join(rows)
+
+
+_STEP = max(len(licenses.words(t.text)) for t in (*licenses.PHRASES, *licenses.NOTICES))
+
+OP11_SQL = rf"""
+WITH templates(label, ordered, base, held, need) AS (VALUES {_template_rows()}),
+ docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ blocks AS (SELECT row, list_distinct(list_slice(w, b + 1, b + {2 * _STEP})) AS held
+   FROM (SELECT row, w, unnest(range(0, len(w), {_STEP})) AS b FROM docs)),
+ notices AS (SELECT row, label, max(len(list_intersect(b.held, t.held)) / len(list_distinct(t.held))) AS score
+   FROM blocks b, templates t WHERE NOT ordered AND len(list_intersect(b.held, t.held)) >= need
+   GROUP BY row, label),
+ places AS (SELECT row, label, base, i FROM (SELECT row, label, base, t.held, w,
+     unnest(range(0, len(w) - len(t.held) + 1)) AS i FROM docs, templates t
+     WHERE ordered AND list_has_all(w, t.held))
+   WHERE list_slice(w, i + 1, i + len(held)) = held),
+ found AS (SELECT row, label, score, CAST(NULL AS BIGINT) AS i FROM notices
+   UNION ALL SELECT row, label, 1e0, CASE WHEN base THEN i END FROM places),
+ judged AS (SELECT row, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word,
+   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL) AS base_labels,
+   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score
+FROM docs LEFT JOIN judged USING (row)"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -178,6 +217,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_maxent": op9_maxent,
     "op10_decontaminate": op10_decontaminate,
+    "op11_licenses": op11_licenses,
     "op13_alignment": op13_alignment,
 }
 
@@ -198,4 +238,5 @@ ORACLES = {
     "op4_urls": OP4_SQL,
     "op5_mix": OP5_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_licenses": OP11_SQL,
 }
