@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skylattice.llm import align, decontaminate, language, licenses, maxent, mixing, quality, ring, simhash
-from skylattice.llm import tokens, urls, vectors
+from skylattice.llm import align, collocations, decontaminate, language, licenses, maxent, mixing, quality
+from skylattice.llm import ring, simhash, tokens, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,6 +198,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM docs LEFT JOIN judged USING (row)"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+   FROM documents)),
+ grams AS MATERIALIZED (SELECT lang, d, phrase, count(*) AS f FROM (
+   SELECT lang, d, array_to_string(list_slice(w, i, i + d - 1), ' ') AS phrase FROM (
+     SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i
+     FROM pieces, (VALUES (1), (2), (3), (4)) depths(d) WHERE len(w) >= d)) GROUP BY lang, d, phrase),
+ totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE d = 1 GROUP BY lang),
+ frequent AS MATERIALIZED (SELECT * FROM grams WHERE f >= 30),
+ candidates AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS words, f AS a
+   FROM frequent WHERE d > 1),
+ parts AS (SELECT DISTINCT lang, a, array_to_string(list_slice(words, i, i + d - 1), ' ') AS phrase FROM (
+     SELECT lang, words, a, d, unnest(range(1, len(words) - d + 2)) AS i
+     FROM candidates, (VALUES (2), (3)) depths(d) WHERE d < len(words))),
+ inside AS MATERIALIZED (SELECT DISTINCT c.lang, c.phrase FROM parts
+   JOIN candidates c ON c.lang = parts.lang AND c.phrase = parts.phrase
+   WHERE CAST(parts.a AS HUGEINT) * 100 >= CAST(c.a AS HUGEINT) * 80),
+ split AS (SELECT lang, phrase, a, k, array_to_string(list_slice(words, 1, k), ' ') AS front,
+     array_to_string(list_slice(words, k + 1, len(words)), ' ') AS back
+   FROM (SELECT *, unnest(range(1, len(words))) AS k FROM candidates)
+   ANTI JOIN inside USING (lang, phrase)),
+ cuts AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
+   CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+   FROM split c JOIN frequent x ON x.lang = c.lang AND x.phrase = c.front
+   JOIN frequent y ON y.lang = c.lang AND y.phrase = c.back),
+ least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts),
+ ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (
+     PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+   FROM least WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -218,6 +256,7 @@ QUERIES = {
     "op9_maxent": op9_maxent,
     "op10_decontaminate": op10_decontaminate,
     "op11_licenses": op11_licenses,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
 
@@ -239,4 +278,5 @@ ORACLES = {
     "op5_mix": OP5_SQL,
     "op10_decontaminate": OP10_SQL,
     "op11_licenses": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
