@@ -32,16 +32,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a fresh folder on a local master only."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="skylattice-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(named)
-    return named
+    return context.getCheckpointDir()
 
 
 _TABLES: list[str] = []
@@ -58,12 +57,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> int:
+    """Remove the materialized tables that the given frames read and return their number."""
+    removed = 0
+    for df in frames:
+        folders = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
+        for path in [p for p in _TABLES if p.rsplit("/", 1)[-1] in folders]:
+            _TABLES.remove(path)
+            removed += _delete(df.sparkSession, path)
+    return removed
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Remove the tables this process has written with ``materialize`` and return their number.
     Frames that were built on them can no longer be read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        removed += bool(path.getFileSystem(conf).delete(path, True))
+        removed += _delete(spark, _TABLES.pop())
     return removed
