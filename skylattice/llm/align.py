@@ -13,8 +13,11 @@ one megabyte of shorter ones) at a time.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +32,11 @@ MARK = "▁"
 MAX_FILE = 64 << 20
 #: Tables of id pairs of at most this many rows (16 bytes each) are broadcast, longer ones shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Units, and characters of units, whose tokens a task remembers.
+MEMO_UNITS, MEMO_CHARS = 400_000, 8_000_000
+#: A single blank between two characters that are certainly no white space: both vocabularies begin a
+#: new token there, whatever stands on either side.
+_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?= [!-~\u00c0-\u024f])")
 
 
 class Tokens(NamedTuple):
@@ -82,29 +90,62 @@ class Pair:
             for i, p in enumerate(pieces)]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-
-    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        left = self.left.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [x.ids for x in left], self.right.encode(texts, num_threads=1)
+        split = json.loads(tokenizer).get("pre_tokenizer") or {}
+        self.by_unit = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                        and not split.get("add_prefix_space")
+                        and not any(MARK in p.lstrip(MARK) for p in pieces))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Units met so far: their numbers, the ids of all, one after the other, and whether they join
+        to the unit again."""
+        self.number: dict[str, int] = {}
+        self.held = 0
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.of = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.whole = np.zeros(0, bool)
+
+    def _learn(self, units: list[str]) -> None:
+        """Token ids of new units, as the libraries give them."""
+        left = [x.ids for x in self.left.encode_batch_fast(units, add_special_tokens=False)]
+        right = self.right.encode([u[1:] for u in units], num_threads=1)  # B puts the blank back
+        for side, found in enumerate((left, right)):
+            flat_ids = np.fromiter(chain.from_iterable(found), np.int32)
+            self.ids[side] = np.concatenate([self.ids[side], flat_ids])
+            sizes = np.cumsum([len(x) for x in found])
+            self.of[side] = np.concatenate([self.of[side], self.of[side][-1] + sizes])
+        a_text, b_text = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        whole = [b"".join(map(a_text, a)) == u.encode() == b"".join(map(b_text, b))
+                 for u, a, b in zip(units, left, right)]
+        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+        self.number.update(zip(units, range(len(self.number), len(self.whole))))
+        self.held += sum(map(len, units))
 
     def tokens(self, texts: list[str | None]) -> Tokens:
-        """Tokens of the texts and their groups; texts that have none are left empty."""
-        left, right = [[] for _ in texts], [[] for _ in texts]
-        some = [i for i, t in enumerate(texts) if t]
-        if some:
-            for i, a, b in zip(some, *self._encoded([texts[i] for i in some])):
-                want = b" " + texts[i].encode()
-                if (b"".join(map(self.a_bytes.__getitem__, a)) == want
-                        and b"".join(map(self.b_bytes.__getitem__, b)) == want):
-                    left[i], right[i] = a, b
-
-        def joined(ids, size):
-            of = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            all_ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in ids if x)])
-            return all_ids, of, np.cumsum(size[all_ids])
-
-        a, a_of, a_end = joined(left, self.a_size)
-        b, b_of, b_end = joined(right, self.b_size)
+        """Tokens of the texts and their groups; texts that have none are left empty. Texts are cut into
+        units between single blanks, where both vocabularies begin a token, and only new units are
+        tokenized; other vocabularies take whole texts."""
+        if len(self.number) > MEMO_UNITS or self.held > MEMO_CHARS or not self.by_unit:
+            self._forget()
+        cut = _CUT.split if self.by_unit else (lambda t: [t])
+        units = [cut(" " + t) if t else [] for t in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.number]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(u) for u in units])
+        lost = np.bincount(text[~self.whole[at]], minlength=len(texts)) > 0
+        at, text = at[~lost[text]], text[~lost[text]]
+
+        def joined(side, size):
+            start, count = self.of[side][at], np.diff(self.of[side])[at]
+            ahead = np.cumsum(count) - count
+            ids = self.ids[side][np.arange(count.sum()) + np.repeat(start - ahead, count)].astype(np.int64)
+            each = np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
+            return ids, np.concatenate([[0], np.cumsum(each)]), np.cumsum(size[ids])
+
+        a, a_of, a_end = joined(0, self.a_size)
+        b, b_of, b_end = joined(1, self.b_size)
         group = coalesced(np.concatenate([a_end - self.a_size[a], b_end - self.b_size[b]]),
                           np.concatenate([a_end, b_end]))
         base = np.concatenate([[0], a_end])[a_of[:-1]]

@@ -1,6 +1,7 @@
 """Two tokenizers over the same bytes, against token pairs compared one by one."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -105,3 +106,17 @@ def test_alignment_of_nothing(spark):
     assert align.alignment(only, A_FILE, B_FILE).collect()[0].asDict() == {
         "doc_id": 1, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_best": 0, "count_sum": 0,
         "groups_sha256": ""}
+
+
+def test_units_give_the_tokens_of_whole_texts():
+    pair = align.Pair(align._read(A_FILE), align._read(B_FILE))
+    assert pair.by_unit
+    rng, signs = random.Random(1), " " * 8 + "abé'sllA1.,\n\t日\x85 \xa0<|>"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(5000)]
+    texts += ["x" * 200 + " y" * 3000, "", None]
+    for part in (texts, texts[:50]):
+        t = pair.tokens(part)
+        for i, text in enumerate(part):
+            a, b = t.a[t.a_of[i]:t.a_of[i + 1]].tolist(), t.b[t.b_of[i]:t.b_of[i + 1]].tolist()
+            want = pair.left.encode(" " + text, add_special_tokens=False).ids if text else []
+            assert (a, b) == (want, pair.right.encode(text) if text else [])
