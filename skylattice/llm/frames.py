@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Rows of whole texts that travel to Python at once.
+TEXT_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this block send texts to Python in small batches, so that long texts do not
+    add up in memory."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def own(df: DataFrame) -> list[Column]:

@@ -123,12 +123,14 @@ def collocations_by_hand(rows, least, top):
             for r, (score, a, phrase, l, right) in enumerate(sorted(found)[:top], 1)}
 
 
-@pytest.mark.parametrize("words, top", [(60, 2000), (100_000, 5)])
-def test_collocations_summed_over_shards(spark, words, top):
+@pytest.mark.parametrize("words, top, limit", [
+    (60, 2000, 0), (60, 2000, 70), (60, 2000, collocations.BROADCAST_ROWS), (100_000, 5, 10 ** 6)])
+def test_collocations_summed_over_shards(spark, words, top, limit):
     rows = phrase_rows(random.Random(8))
     docs = spark.createDataFrame([(*r, "clash", 7) for r in rows],
                                  "doc_id long, text string, lang string, word string, n int").repartition(4)
-    got = collocations.collocations(docs, least=8, top=top, shard_words=words).collect()
+    got = collocations.collocations(docs, least=8, top=top, shard_words=words,
+                                     broadcast_rows=limit).collect()
     want = collocations_by_hand(rows, 8, top)
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
     assert "city hall" in {r["phrase"] for r in got} or top < 10
