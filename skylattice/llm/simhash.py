@@ -24,7 +24,7 @@ MAX_DISTANCE = 2
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bits set in over half of the 64-bit hashes, as an unsigned integer."""
     counts = np.zeros((8, 8), np.int64)  # bit in the byte, byte
     blocks = np.arange(0, len(hashes), 255)  # a byte lane holds a sum of 255 bits
@@ -51,7 +51,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         (digest(joined[a:b], 42) for a, b in
          zip(starts.tolist(), ends[shingle - 1:].tolist())),
         np.uint64, len(words) - shingle + 1)
-    return _majority(hashes)
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, text_col: str = "text",
