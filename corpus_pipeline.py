@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the document with the smallest id of each group of near copies: five-word shingles,
-    Jaccard similarity of 0.8 or more. Operator 8 has its own contract of two bits."""
+    Jaccard similarity of 0.8 or more. Operator 8 gives the first candidates, an index the others."""
     return copies.keep_first(docs)
 
 
