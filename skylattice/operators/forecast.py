@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skylattice.constants import KELVIN, PRESSURE_REF, TARGET_COLUMNS, UNITS
+from skylattice.operators.graph import propagate
 from skylattice.operators.windows import one_row
+from skylattice.session import materialize
 
 CUBE_KEYS = ["seq_id", "h", "ts_valid", "station_id", "variable"]
 
@@ -210,6 +212,40 @@ def recursive_forecast(models: DataFrame, design: DataFrame, steps: int = 6) ->
     ).select("seq_id", "station_id", "variable", (F.col("_p") + 1).alias("h"), "y_pred")
 
 
+def moving_forecast(
+    models: DataFrame, design: DataFrame, edges: DataFrame, steps: int = 6,
+    variables: Iterable[str] = TARGET_COLUMNS, weight: str = "dist_scaled",
+) -> DataFrame:
+    """Like ``recursive_forecast``, but neighbours move on, too: after every step the predictions of
+    all stations of a sequence are mixed over its graph, and the next step reads that mix.
+
+    ``edges`` are ``seq_id, src, dst`` and the weight, the graph of each sequence's last input hour.
+    Where a station has no mix, its own prediction stands in. Every step is written as a table, so the
+    plan of a step does not grow with their number; it shuffles one row per sequence and station."""
+    variables, keys = list(variables), ["seq_id", "station_id"]
+    one_hour = models.filter(F.col("h") == 1).agg(
+        *[F.first(F.when(F.col("variable") == v, F.col("coef")), ignorenulls=True).alias(f"_c_{v}")
+          for v in variables])
+    state = one_row(design.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("variable") == v, F.col("x")), ignorenulls=True).alias(f"_x_{v}")
+          for v in variables]), one_hour)
+    links = materialize(edges.select("seq_id", "src", "dst", weight))
+    path = None
+    for h in range(1, steps + 1):
+        said = materialize(state.select(
+            "*", *[_dot(F.col(f"_c_{v}"), F.col(f"_x_{v}")).alias(v) for v in variables]))
+        step = said.select(*keys, F.lit(h).alias("h"), *variables)
+        path = step if path is None else path.union(step)
+        if h < steps:
+            mix = propagate(said, links, variables, weight, by="seq_id")
+            state = said.join(mix, keys).select(*keys, *[f"_c_{v}" for v in variables], *[
+                F.concat(F.slice(f"_x_{v}", 1, 1), F.array(v),
+                         F.slice(F.col(f"_x_{v}"), F.lit(2), F.size(f"_x_{v}") - 3),
+                         F.array(F.coalesce(f"nbr_{v}", v))).alias(f"_x_{v}") for v in variables])
+    long = path.unpivot([*keys, "h"], variables, "variable", "y_pred")
+    return long.filter("y_pred is not null").select(*keys, "variable", "h", "y_pred")
+
+
 def forecast_cube(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     keys = ["seq_id", "station_id", "variable", "h"]
     return truth.join(predictions.select(*keys, "y_pred"), keys, "left").select(

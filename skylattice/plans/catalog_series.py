@@ -255,7 +255,12 @@ WIDTH = LAGS + 2
 
 
 def _regression(s, d):
-    """Design rows and truth of all sequences, and the training rows."""
+    """Training rows, design rows and truth of all sequences."""
+    return _regression_tables(s, d)[:3]
+
+
+def _regression_tables(s, d):
+    """Training rows, design rows, truth, and the graph of each sequence's last input hour."""
     features = materialize(ev.features(s, d))
     params = st.fit_norm_params(features, TARGET_COLUMNS, ev.training_rows())
     scaled = st.normalize(features, params, TARGET_COLUMNS)
@@ -269,7 +274,9 @@ def _regression(s, d):
     truth = fc.true_cube(seq)
     train = seq.filter("split = 'train'").select("seq_id").distinct()
     rows = truth.join(train, "seq_id", "left_semi").join(design, ["seq_id", "station_id", "variable"])
-    return rows, design, truth
+    last = seq.filter("step = 47").select("seq_id", "ts").distinct()
+    graph = edges.select("ts", "src", "dst", "dist_scaled").join(last, "ts").drop("ts")
+    return rows, design, truth, graph
 
 
 # the same in SQL: scaled features, neighbour mix, lags, targets
@@ -387,6 +394,33 @@ def _(s, d):
     return fc.forecast_cube(truth, fc.recursive_forecast(_fixed_models(s), design))
 
 
+def _moved() -> str:
+    """The same with the neighbours' predictions mixed again after every step."""
+    parts = [
+        "graph AS (SELECT n.seq_id, e.src, e.dst, e.dist_scaled AS w FROM described e JOIN"
+        " (SELECT DISTINCT seq_id, ts FROM steps_ WHERE step = 47) n ON n.ts = e.ts)",
+        "q0 AS (SELECT design.*, c0, c1, c2, c3, c4, sqrt(1e0 + coalesce(w, 0e0)) AS root, x4 AS m0"
+        " FROM design JOIN models USING (variable) LEFT JOIN (SELECT seq_id, dst AS station_id, sum(w) AS w"
+        " FROM graph GROUP BY seq_id, dst) USING (seq_id, station_id) WHERE h = 1)"]
+    lags = _XS[:3]
+    for h in range(1, 7):
+        parts.append(f"r{h} AS (SELECT *, c0 + c1 * {lags[0]} + c2 * {lags[1]} + c3 * {lags[2]}"
+                     f" + c4 * m{h - 1} AS p{h} FROM q{h - 1})")
+        parts.append(
+            f"q{h} AS (SELECT r.*, (coalesce(s.v, 0e0) + p{h} / root) / root AS m{h} FROM r{h} r LEFT JOIN"
+            f" (SELECT g.seq_id, g.dst AS station_id, variable, sum(p{h} / root * w) AS v FROM graph g"
+            f" JOIN r{h} x ON x.seq_id = g.seq_id AND x.station_id = g.src GROUP BY ALL) s"
+            " USING (seq_id, station_id, variable))")
+        lags = [f"p{h}", *lags[:2]]
+    return ", ".join(parts) + f", rolled AS (SELECT * FROM r6), predicted AS ({_ROLL})"
+
+
+@query("moving_forecast", sql("features", CUBE_SQL, *_DESIGN, _MODELS, _moved(), _CUBED))
+def _(s, d):
+    _, design, truth, graph = _regression_tables(s, d)
+    return fc.forecast_cube(truth, fc.moving_forecast(_fixed_models(s), design, graph))
+
+
 # --- scores --------------------------------------------------------------------------------------------
 
 _VARS = ["temp", "humidity", "wind_speed", "pressure"]

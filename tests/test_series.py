@@ -116,6 +116,28 @@ def test_recursive_forecast_feeds_back(spark):
     assert got == pytest.approx(want)
 
 
+def test_moving_forecast_mixes_predictions(spark):
+    coef = [1.0, 0.5, 0.25, 2.0]
+    models = spark.createDataFrame([("temp", 1, coef)], "variable string, h int, coef array<double>")
+    design = spark.createDataFrame(
+        [("s", "A", "temp", [1.0, 8.0, 4.0, 3.0]), ("s", "B", "temp", [1.0, 2.0, 1.0, 5.0]),
+         ("t", "A", "temp", [1.0, 1.0, 1.0, 1.0])],
+        "seq_id string, station_id string, variable string, x array<double>")
+    edges = spark.createDataFrame([("s", "A", "B", 0.5), ("s", "B", "A", 2.0), ("s", "C", "A", 1.0)],
+                                  "seq_id string, src string, dst string, dist_scaled double")
+    got = {(r.seq_id, r.station_id, r.h): r.y_pred
+           for r in fc.moving_forecast(models, design, edges, 3, ["temp"]).collect()}
+    degree = {"A": 4.0, "B": 1.5}
+    state = {"A": ([8.0, 4.0], 3.0), "B": ([2.0, 1.0], 5.0)}
+    for h in range(1, 4):
+        y = {k: 1 + 0.5 * lags[0] + 0.25 * lags[1] + 2 * mix for k, (lags, mix) in state.items()}
+        assert {k: got["s", k, h] for k in y} == pytest.approx(y)
+        sent = {k: y[k] / degree[k] ** 0.5 for k in y}
+        mixed = {"A": (2.0 * sent["B"] + sent["A"]) / 2.0, "B": (0.5 * sent["A"] + sent["B"]) / 1.5 ** 0.5}
+        state = {k: ([y[k], lags[0]], mixed[k]) for k, (lags, _) in state.items()}
+    assert got["t", "A", 1] == pytest.approx(1 + 0.5 + 0.25 + 2) and len(got) == 9
+
+
 def test_overall_r2_is_the_mean_of_variables(spark):
     rows = [("a", 1, y, p) for y, p in [(1.0, 1.0), (2.0, 3.0), (3.0, 3.0)]]
     rows += [("b", 1, y, p) for y, p in [(100.0, 110.0), (300.0, 290.0)]]
