@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skylattice.llm.buffers import chunks, flat
 from skylattice.llm.frames import quoted
@@ -115,19 +115,23 @@ def fit_languages(docs: DataFrame, *, training: Column, id_col: str = "doc_id",
                   sample_rows: int = SAMPLE_ROWS) -> dict:
     """Languages, codewords and bit classifiers learned from the training rows with a language.
 
-    The sample takes the first rows of each language by a hash of the id, `sample_rows` in all;
-    counting the languages and choosing ids reads no text."""
-    known = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    names = sorted(r[0] for r in known.select(lang_col).distinct().collect())
-    if not names:
-        return {"names": [], "code": codebook(0), "w": None, "b": None}
-    each = max(1, sample_rows // len(names))
-    ids = None
-    for name in names:
-        first = (known.where(F.col(lang_col) == name).select(F.col(id_col).alias("_id"))
-                 .orderBy(F.xxhash64("_id"), "_id").limit(each))
-        ids = first if ids is None else ids.union(first)
-    picked = known.join(F.broadcast(ids.distinct()), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    The sample takes the first rows of each language by a hash of the id, then by id and text hash,
+    `sample_rows` in all however often an id occurs; rows equal in id and text take up places, but
+    are learned once. One scan counts
+    the languages, one picks rows of all languages at once (every task keeps only its first rows), and
+    one fetches their texts. Null languages and texts teach nothing."""
+    known = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    languages = docs.where(training & F.col(lang_col).isNotNull()).select(lang_col).distinct().count()
+    each = max(1, sample_rows // max(1, languages))
+    keyed = known.withColumn("key", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "key")
+    picks = (keyed.select("lang", "id", "key").withColumn("rank", F.row_number().over(order))
+             .where(F.col("rank") <= each).select(
+                 F.col("lang").alias("_lang"), F.col("id").alias("_id"), F.col("key").alias("_key")).distinct())
+    picked = (keyed.join(F.broadcast(picks), (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id"))
+                         & (F.col("key") == F.col("_key")), "left_semi")
+              .groupBy("lang", "id", "key").agg(F.first("text").alias("text")))
 
     def rows(batches):
         for batch in batches:
@@ -138,8 +142,11 @@ def fit_languages(docs: DataFrame, *, training: Column, id_col: str = "doc_id",
                     [pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a),
                      batch.column(2).slice(a, b - a)], names=["x", "lang", "h"])
 
-    sample = (picked.select(text_col, lang_col, F.xxhash64(text_col).alias("h"))
+    sample = (picked.select("text", "lang", F.col("key").alias("h"))
               .mapInArrow(rows, "x binary, lang string, h long").toPandas())
+    names = sorted(sample["lang"].unique())
+    if not names:
+        return {"names": [], "code": codebook(0), "w": None, "b": None}
     sample = sample.sort_values(["lang", "h"], kind="stable")
     x = np.frombuffer(b"".join(sample["x"]), np.float16).reshape(-1, DIMS).astype(np.float32)
     code = codebook(len(names))

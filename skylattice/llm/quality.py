@@ -168,10 +168,15 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return net
 
 
-def _rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the chosen documents, in the order of their text hashes."""
-    picked = docs.select(id_col, text_col).join(
-        F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+def _rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most: int) -> np.ndarray:
+    """Features of at most `most` rows of the chosen ids, in the order of their text hashes. Rows equal
+    in id and text are one; an id that has more rows than fit gives those with the smallest hashes."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    of = keyed.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    keys = of.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(most).select(
+        F.col("id").alias("_id"), F.col("h").alias("_h"))
+    picked = (keyed.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")),
+                         "left_semi").groupBy("id", "h").agg(F.first("text").alias("text")))
 
     def computed(batches):
         for batch in batches:
@@ -182,7 +187,7 @@ def _rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.nda
                      pa.array([r.tobytes() for r in features(part, ends)], pa.binary())],
                     names=["h", "x"])
 
-    found = picked.select(F.xxhash64(text_col).alias("h"), text_col).mapInArrow(
+    found = picked.select("h", "text").mapInArrow(
         computed, "h long, x binary").toPandas().sort_values("h", kind="stable")
     if not len(found):
         return np.zeros((0, FEATURES), np.float32)
@@ -206,8 +211,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, training: Column, id_col:
     def first(rows: DataFrame, n: int) -> DataFrame:
         return rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(n)
 
-    positive = _rows(docs, first(marked.where("_mark = 1"), positive_rows), id_col, text_col)
-    unlabelled = _rows(docs, first(marked.where("_mark IS NULL"), unlabelled_rows), id_col, text_col)
+    positive = _rows(docs, first(marked.where("_mark = 1"), positive_rows), id_col, text_col, positive_rows)
+    unlabelled = _rows(docs, first(marked.where("_mark IS NULL"), unlabelled_rows), id_col, text_col, unlabelled_rows)
     if not len(positive) or not len(unlabelled):
         return {"prior": 0.5, "net": None}
     prior = estimate_prior(positive, unlabelled)

@@ -218,3 +218,20 @@ def test_language_model_without_training(spark):
     assert len(got) == 10 and {(r["n_known"], r["base_score"], r["train_tokens"]) for r in got} == {(0, 0.0, 0)}
     assert maxent.score_texts(messy(spark, []), training=F.lit(True)).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_samples_are_bounded_by_rows_not_ids(spark, monkeypatch):
+    """One id holds nearly all rows, with different and equal texts; every language is picked at once."""
+    rows = [(7, f"hot words {i % 3000}", "en" if i % 2 else "de", 1) for i in range(20_000)]
+    rows += [(i, f"some text {i}", "fr", None) for i in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, mark int").repartition(6)
+    seen = []
+    fit_bits, fit_network = language.fit_bits, quality.fit_network
+    monkeypatch.setattr(language, "fit_bits", lambda x, bits: seen.append(len(x)) or fit_bits(x, bits, steps=2))
+    model = language.fit_languages(docs, training=F.lit(True), sample_rows=60)
+    assert model["names"] == ["de", "en", "fr"] and 20 < seen[0] <= 60
+    labels = spark.createDataFrame([(7, 1), (7, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_network",
+                        lambda p, u, prior: seen.append((len(p), len(u))) or fit_network(p, u, prior, epochs=1))
+    quality.fit_quality(docs, labels, training=F.lit(True), positive_rows=50, unlabelled_rows=20)
+    assert seen[1] == (50, 20)
