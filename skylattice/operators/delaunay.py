@@ -385,26 +385,30 @@ def delaunay_edges(
     return blocks.by_size(plane(nodes, by, lat0=lat0), by, max_block, whole, cut)
 
 
+def triangle_corners(stations: blocks.Stations) -> dict[str, np.ndarray]:
+    """Numbers of the corners ``a, b, c`` of every triangle of stations ordered by name, ``a`` the
+    first: consecutive neighbours around a station form a triangle with it."""
+    unique = _unique_positions({**stations, "_i": np.arange(len(stations["px"]))})
+    rows = []
+    for i, ring, closed in _stars(unique, unique):
+        following = np.roll(ring, -1)
+        if not closed:
+            ring, following = ring[:-1], following[:-1]
+        ax, ay, bx, by = (unique[p][j] - unique[p][i] for j in (ring, following) for p in ("px", "py"))
+        wide = ax * by - ay * bx > THIN * np.hypot(ax, ay) * np.hypot(bx, by)
+        keep = (ring > i) & (following > i) & wide
+        rows.extend((i, j, k) for j, k in zip(ring[keep], following[keep], strict=True))
+    corners = unique["_i"][np.array(rows, dtype=int).reshape(-1, 3)]
+    return {c: corners[:, n] for n, c in enumerate("abc")}
+
+
 def delaunay_triangles(
     points: DataFrame, by: str = "ts", max_block: int = blocks.MAX_BLOCK, lat0: float = PLANE_LAT0
 ) -> DataFrame:
-    """``ts, a, b, c`` with a the first station by name, once per triangle: consecutive
-    neighbours around a station form a triangle with it."""
+    """``ts, a, b, c`` with a the first station by name, once per triangle."""
 
     def triangles(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-        unique = _unique_positions(candidates)
-        names = unique["station_id"]
-        rows = []
-        for i, ring, closed in _stars(unique, unique):
-            following = np.roll(ring, -1)
-            if not closed:
-                ring, following = ring[:-1], following[:-1]
-            ax, ay, bx, by_ = (unique[p][j] - unique[p][i] for j in (ring, following) for p in ("px", "py"))
-            wide = ax * by_ - ay * bx > THIN * np.hypot(ax, ay) * np.hypot(bx, by_)
-            keep = (ring > i) & (following > i) & wide
-            rows.extend((i, j, k) for j, k in zip(ring[keep], following[keep], strict=True))
-        corners = np.array(rows, dtype=int).reshape(-1, 3)
-        return {c: names[corners[:, n]] for n, c in enumerate("abc")}
+        return {c: candidates["station_id"][n] for c, n in triangle_corners(candidates).items()}
 
     def whole(flat: DataFrame) -> DataFrame:
         return blocks.per_snapshot(flat, triangles, "a string, b string, c string", by)

@@ -1,23 +1,26 @@
 """Map grids interpolated from stations, and the rows behind map layers.
 
 A layer is one hour of stations; its grid is ``n`` x ``n`` over the bounds of the stations with a
-margin. Every grid cell needs all stations of its layer, so the arithmetic runs in numpy on one
-layer. A layer larger than ``MAX_BLOCK`` is cut into chunks of stations and bands of grid rows, and
-per-cell partial results are merged afterwards. No station and cell pairs are ever emitted.
+margin, cut into square tiles of cells. The arithmetic (``surface``) runs in numpy on one tile, and a
+tile that will be smoothed works out its rim too, so a whole map leaves one task and no cells are
+joined. A layer with more than ``MAX_BLOCK`` stations is cut into chunks of stations and bands of grid
+rows, and per-cell partial results are merged afterwards. No station and cell pairs are ever emitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylattice.constants import CONTOUR_LEVELS, DISPLAY_LIMITS, EARTH_RADIUS_KM, UNITS
-from skylattice.operators import blocks
+from skylattice.operators import blocks, surface
 from skylattice.operators.clean import first_row
-from skylattice.operators.delaunay import delaunay_triangles
+from skylattice.operators.delaunay import delaunay_triangles, triangle_corners
 from skylattice.operators.windows import ordinal
 
 
@@ -45,34 +48,155 @@ def make_grid(points: DataFrame, n: int = 200, margin: float = 0.1, by: str = "t
     )
 
 
+@dataclass(frozen=True)
+class MapSpec:
+    """How a layer becomes a map: ``sigma`` 0 does not smooth, ``max_km`` None does not mask."""
+
+    n: int = 200
+    method: str = "hybrid"
+    power: float = 1.0
+    sigma: float = 0.0
+    max_km: float | None = None
+    clip: bool = False
+    margin: float = 0.1
+    tile: int = 256
+
+    @property
+    def tiles(self) -> int:
+        """Tiles along one side."""
+        return -(-self.n // self.tile)
+
+    def lines(self, tile: int) -> tuple[int, int]:
+        """First grid line of a tile and the one past its last."""
+        return tile * self.tile, min(self.n, (tile + 1) * self.tile)
+
+
+PACKED = ["lon", "lat", "value", "a", "b", "c"]
+
+
+def _pack(stations: blocks.Stations, spec: MapSpec) -> dict[str, np.ndarray]:
+    """What a tile needs to know of its layer: positions, values and triangle corners as numbers."""
+    layer = {c: stations[c] for c in ("lon", "lat", "value")}
+    layer.update(dict.fromkeys("abc", np.zeros(0, dtype=np.int64)))
+    if spec.method in ("linear", "hybrid"):
+        layer.update(triangle_corners({**stations, "px": stations["lon"], "py": stations["lat"]}))
+    return layer
+
+
+def _grid_lines(position: np.ndarray, index: np.ndarray, spec: MapSpec) -> tuple[np.ndarray, float]:
+    """Some grid lines of a layer along one axis, and the step between them."""
+    low, high = position.min() - spec.margin, position.max() + spec.margin
+    return low + (high - low) * index / (spec.n - 1.0), (high - low) / (spec.n - 1.0)
+
+
+def _draw_tile(layer: dict[str, np.ndarray], spec: MapSpec, tile: tuple[int, int]) -> np.ndarray:
+    """Interpolated, filled, smoothed, masked and clipped values of one tile, from one search for
+    the nearest stations. A tile to be smoothed works out the cells of its rim as well."""
+    inner = [spec.lines(t) for t in tile]
+    radius = surface.radius_of(spec.sigma)
+    outer = [surface.with_rim(*lines, radius, spec.n) for lines in inner]
+    (lat, up), (lon, right) = (
+        _grid_lines(layer[axis], np.arange(*lines), spec)
+        for axis, lines in zip(("lat", "lon"), outer, strict=True)
+    )
+    value, km = layer["value"], None
+    if spec.method in ("nearest", "hybrid") or spec.max_km is not None:
+        best, km = _closest(layer, lon, lat)
+    if spec.method == "idw":
+        total, weight = surface.weighted_sums(lon, lat, layer["lon"], layer["lat"], value, spec.power)
+        cells = total / weight
+    elif spec.method == "nearest":
+        cells = value[best]
+    else:
+        corners = {
+            f"{c}_{p}": layer[column][layer[c]]
+            for c in "abc" for p, column in (("lon", "lon"), ("lat", "lat"), ("v", "value"))
+        }
+        cells = surface.draw(corners, lon, lat, right, up)
+        if spec.method == "hybrid":
+            cells = np.where(np.isnan(cells), value[best], cells)
+    if spec.sigma:
+        cells = surface.blur(cells, *inner, spec.n, spec.sigma)
+    if spec.max_km is not None:
+        top, left = (i[0] - o[0] for i, o in zip(inner, outer, strict=True))
+        km = km[top:top + cells.shape[0], left:left + cells.shape[1]]
+        cells = np.where(km <= spec.max_km, cells, np.nan)
+    return np.clip(cells, value.min(), value.max()) if spec.clip else cells
+
+
+def _tile_table(cells: np.ndarray, spec: MapSpec, tile: tuple[int, int], arrow: pa.Schema, key: pa.Scalar) -> pa.Table:
+    row, col = (np.arange(*spec.lines(t), dtype=np.int32) for t in tile)
+    flat = cells.ravel()
+    out = {
+        "row": np.repeat(row, len(col)), "col": np.tile(col, len(row)),
+        "value": pa.array(flat, mask=np.isnan(flat)),
+    }
+    return blocks.to_table(out, arrow, **{arrow[0].name: key})
+
+
+def _maps(measured: DataFrame, spec: MapSpec, by: str) -> DataFrame:
+    """``ts, row, col, value`` of layers that fit a task. A grid of one tile is drawn where its
+    stations meet. For a larger one the layer is packed into one row, which every tile receives."""
+    kind = measured.schema[by].dataType.simpleString()
+    ddl = f"{by} {kind}, row int, col int, value double"
+    arrow = blocks.arrow_schema(ddl)
+    layers = blocks.spread_evenly(measured, by).groupBy(by)
+    if spec.tiles == 1:
+        def whole(table: pa.Table) -> pa.Table:
+            layer = _pack(blocks.to_stations(table.drop_columns([by])), spec)
+            cells = _draw_tile(layer, spec, (0, 0))
+            return _tile_table(cells, spec, (0, 0), arrow, table.column(by)[0])
+
+        return layers.applyInArrow(whole, ddl)
+
+    packed = pa.schema([arrow[0], *[
+        pa.field(c, pa.list_(pa.int64() if c in "abc" else pa.float64())) for c in PACKED]])
+
+    def pack(table: pa.Table) -> pa.Table:
+        layer = _pack(blocks.to_stations(table.drop_columns([by])), spec)
+        rows = {by: [table.column(by)[0].as_py()], **{c: [layer[c]] for c in PACKED}}
+        return pa.table([pa.array(rows[f.name], f.type) for f in packed], schema=packed)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                layer = {c: np.asarray(batch.column(c)[i].values) for c in PACKED}
+                tile = batch.column("_tr")[i].as_py(), batch.column("_tc")[i].as_py()
+                cells = _draw_tile(layer, spec, tile)
+                yield from _tile_table(cells, spec, tile, arrow, batch.column(by)[i]).to_batches()
+
+    arrays = ", ".join(f"{c} array<{'bigint' if c in 'abc' else 'double'}>" for c in PACKED)
+    index = F.sequence(F.lit(0), F.lit(spec.tiles - 1))
+    tiles = (
+        layers.applyInArrow(pack, f"{by} {kind}, {arrays}")
+        .withColumn("_tr", F.explode(index)).withColumn("_tc", F.explode(index))
+    )
+    return blocks.spread_evenly(tiles, by, "_tr", "_tc").mapInArrow(draw, ddl)
+
+
 BAND = 25
 
 
-def _layer_cells(
-    points: DataFrame, fn, schema: str, n: int, margin: float, by: str, chunked: bool, size: int
+def _chunk_cells(
+    points: DataFrame, fn, schema: str, n: int, margin: float, by: str, size: int
 ) -> DataFrame:
-    """``fn(stations, lon, lat)`` on each layer, or on each hashed chunk and band of rows of it,
-    giving one array per output column over the flattened cells."""
-    rows = points.join(_bounds(points, margin, by), by)
-    keys, bands = [by], [(0, n)]
-    if chunked:
-        keys, bands = [by, "_chunk", "_band"], [(r, min(r + BAND, n)) for r in range(0, n, BAND)]
-        counts = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(size / 2)).alias("_n"))
-        rows = (
-            rows.join(counts, by)
-            .withColumn("_chunk", F.pmod(F.xxhash64("station_id"), F.col("_n"))).drop("_n")
-            .withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))))
-        )
+    """``fn(stations, lon, lat)`` on the grid lines of each hashed chunk of stations and band of rows
+    of a layer, giving one array per output column over the flattened cells."""
+    keys, bands = [by, "_chunk", "_band"], [(r, min(r + BAND, n)) for r in range(0, n, BAND)]
+    counts = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(size / 2)).alias("_n"))
+    rows = (
+        points.join(_bounds(points, margin, by), by).join(counts, by)
+        .withColumn("_chunk", F.pmod(F.xxhash64("station_id"), F.col("_n"))).drop("_n")
+        .withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))))
+    )
     ddl = f"{by} {points.schema[by].dataType.simpleString()}, row int, col int, {schema}"
     arrow = blocks.arrow_schema(ddl)
 
     def run(table: pa.Table) -> pa.Table:
-        low, high = bands[table.column("_band")[0].as_py() if chunked else 0]
+        low, high = bands[table.column("_band")[0].as_py()]
         stations = blocks.to_stations(table.drop_columns(keys))
         row, col = np.arange(low, high), np.arange(n)
-        lon = _line(stations, "lon", col, n)
-        lat = _line(stations, "lat", row, n)
-        out = fn(stations, np.tile(lon, len(row)), np.repeat(lat, n))
+        out = fn(stations, _line(stations, "lon", col, n), _line(stations, "lat", row, n))
         out["row"] = np.repeat(row, n).astype(np.int32)
         out["col"] = np.tile(col, len(row)).astype(np.int32)
         return blocks.to_table(out, arrow, **{by: table.column(by)[0]})
@@ -86,20 +210,8 @@ def _line(rows: blocks.Stations, axis: str, index: np.ndarray, n: int) -> np.nda
     return low + (high - low) * index / (n - 1.0)
 
 
-STRIP = 1 << 22
-
-
-def _strips(cells: int, stations: int):
-    """Cell ranges that keep a distance matrix within a few ten megabytes."""
-    step = max(1, STRIP // max(1, stations))
-    for low in range(0, cells, step):
-        yield slice(low, min(cells, low + step))
-
-
-def _degrees(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-    dx = lon[:, None] - stations["lon"][None, :]
-    dy = lat[:, None] - stations["lat"][None, :]
-    return np.sqrt(dx * dx + dy * dy)
+def _steps(rows: blocks.Stations, n: int) -> tuple[float, float]:
+    return tuple((rows[f"{axis}1"][0] - rows[f"{axis}0"][0]) / (n - 1.0) for axis in ("lon", "lat"))
 
 
 def _measured(points: DataFrame, value: str, by: str) -> DataFrame:
@@ -110,83 +222,98 @@ def _measured(points: DataFrame, value: str, by: str) -> DataFrame:
     )
 
 
+def _interpolate(
+    points: DataFrame, value: str, spec: MapSpec, by: str, max_block: int, cut
+) -> DataFrame:
+    """Maps of the layers that fit a task, together with ``cut(stations)`` of the crowded ones."""
+    if spec.method not in ("idw", "nearest", "linear", "hybrid"):
+        raise ValueError(f"unknown method {spec.method!r}")
+    return blocks.by_size(
+        _measured(points, value, by), by, max_block, lambda layers: _maps(layers, spec, by), cut)
+
+
 def interp_idw(
     points: DataFrame, value: str, n: int = 200, power: float = 1.0, margin: float = 0.1,
-    by: str = "ts", max_block: int = blocks.MAX_BLOCK,
+    by: str = "ts", max_block: int = blocks.MAX_BLOCK, tile: int = MapSpec.tile,
 ) -> DataFrame:
     """``ts, row, col, value``: mean of all stations weighted by 1 / (degrees^power + 1e-12)."""
+    return _interpolate(
+        points, value, MapSpec(n, "idw", power, margin=margin, tile=tile), by, max_block,
+        lambda layers: _crowded_idw(layers, n, power, margin, by, max_block),
+    )
+
+
+def _crowded_idw(
+    stations: DataFrame, n: int, power: float, margin: float, by: str, max_block: int
+) -> DataFrame:
     def sums(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> blocks.Stations:
-        total, weight = np.empty(len(lon)), np.empty(len(lon))
-        for s in _strips(len(lon), len(stations["lon"])):
-            w = 1.0 / (_degrees(stations, lon[s], lat[s]) ** power + 1e-12)
-            total[s], weight[s] = w @ stations["value"], w.sum(axis=1)
-        return {"total": total, "weight": weight}
-
-    def cells(layers: DataFrame, chunked: bool) -> DataFrame:
-        found = _layer_cells(
-            layers, sums, "total double, weight double", n, margin, by, chunked, max_block
-        )
-        if chunked:
-            found = found.groupBy(by, "row", "col").agg(
-                F.sum("total").alias("total"), F.sum("weight").alias("weight")
-            )
-        return found.select(by, "row", "col", (F.col("total") / F.col("weight")).alias("value"))
+        total, weight = surface.weighted_sums(
+            lon, lat, stations["lon"], stations["lat"], stations["value"], power)
+        return {"total": total.ravel(), "weight": weight.ravel()}
+
+    found = _chunk_cells(stations, sums, "total double, weight double", n, margin, by, max_block)
+    mean = F.sum("total") / F.sum("weight")
+    return found.groupBy(by, "row", "col").agg(mean.alias("value"))
 
-    return blocks.by_size(
-        _measured(points, value, by), by, max_block,
-        lambda layers: cells(layers, False), lambda layers: cells(layers, True),
-    )
 
+def _closest(
+    stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which station is nearest in degrees to each cell, and its distance in km."""
+    best = surface.nearest(lon, lat, stations["lon"], stations["lat"])
+    lat1, lat2 = np.radians(lat)[:, None], np.radians(stations["lat"])
+    across = np.radians(stations["lon"][best] - lon) / 2
+    a = np.sin((lat2[best] - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2)[best] * np.sin(across) ** 2
+    return best, 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
 
-def _nearest(
-    points: DataFrame, value: str, n: int, margin: float, by: str, max_block: int
+
+def _crowded_nearest(
+    stations: DataFrame, n: int, margin: float, by: str, max_block: int
 ) -> DataFrame:
     """``ts, row, col, value, km`` of the station nearest in degrees and how far it is."""
     def closest(stations: blocks.Stations, lon: np.ndarray, lat: np.ndarray) -> blocks.Stations:
-        best = np.empty(len(lon), dtype=int)
-        for s in _strips(len(lon), len(stations["lon"])):
-            best[s] = _degrees(stations, lon[s], lat[s]).argmin(axis=1)
+        best, km = _closest(stations, lon, lat)
+        best, lon, lat = best.ravel(), np.tile(lon, len(lat)), np.repeat(lat, len(lon))
         dx, dy = lon - stations["lon"][best], lat - stations["lat"][best]
-        lat1, lat2 = np.radians(lat), np.radians(stations["lat"][best])
-        a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(np.radians(-dx) / 2) ** 2
         return {
             "d": np.sqrt(dx * dx + dy * dy), "station_id": stations["station_id"][best],
-            "value": stations["value"][best],
-            "km": 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))),
+            "value": stations["value"][best], "km": km.ravel(),
         }
 
     schema = "d double, station_id string, value double, km double"
-
-    def cells(layers: DataFrame, chunked: bool) -> DataFrame:
-        found = _layer_cells(layers, closest, schema, n, margin, by, chunked, max_block)
-        if chunked:
-            packed = F.struct("d", "station_id", "value", "km")
-            found = found.groupBy(by, "row", "col").agg(F.min(packed).alias("b")).select(
-                by, "row", "col", "b.*"
-            )
-        return found.select(by, "row", "col", "value", "km")
-
-    return blocks.by_size(
-        _measured(points, value, by), by, max_block,
-        lambda layers: cells(layers, False), lambda layers: cells(layers, True),
+    found = _chunk_cells(stations, closest, schema, n, margin, by, max_block)
+    packed = F.struct("d", "station_id", "value", "km")
+    return found.groupBy(by, "row", "col").agg(F.min(packed).alias("b")).select(
+        by, "row", "col", "b.value", "b.km"
     )
 
 
 def interp_nearest(
     points: DataFrame, value: str, n: int = 200, margin: float = 0.1, by: str = "ts",
-    max_block: int = blocks.MAX_BLOCK,
+    max_block: int = blocks.MAX_BLOCK, tile: int = MapSpec.tile,
 ) -> DataFrame:
-    found = _nearest(points, value, n, margin, by, max_block)
-    return found.select(by, "row", "col", "value")
+    """Value of the station nearest in degrees, the first by name of those equally near."""
+    return _interpolate(
+        points, value, MapSpec(n, "nearest", margin=margin, tile=tile), by, max_block,
+        lambda layers: _crowded_nearest(layers, n, margin, by, max_block).drop("km"),
+    )
 
 
 def interp_linear(
     points: DataFrame, value: str, n: int = 200, margin: float = 0.1, by: str = "ts",
-    max_block: int = blocks.MAX_BLOCK,
+    max_block: int = blocks.MAX_BLOCK, tile: int = MapSpec.tile,
+) -> DataFrame:
+    """Barycentric value inside the Delaunay triangles (in degrees), null outside their hull."""
+    return _interpolate(
+        points, value, MapSpec(n, "linear", margin=margin, tile=tile), by, max_block,
+        lambda layers: _crowded_linear(layers, n, margin, by, max_block),
+    )
+
+
+def _crowded_linear(
+    measured: DataFrame, n: int, margin: float, by: str, max_block: int
 ) -> DataFrame:
-    """Barycentric value inside the Delaunay triangles (in degrees), null outside their hull.
-    The triangles of a layer, or of a band of it, are drawn in numpy."""
-    measured = _measured(points, value, by)
+    """The triangles of a band of grid rows are drawn in one task."""
     triangles = delaunay_triangles(measured, by, max_block, lat0=0.0)
     for corner in "abc":
         triangles = triangles.join(
@@ -217,7 +344,7 @@ def interp_linear(
     empty = layers.select(
         by, *frame, *[F.lit(None).cast("double").alias(c) for c in names],
         F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)).alias("_band"))
-    ddl = f"{by} {points.schema[by].dataType.simpleString()}, row int, col int, value double"
+    ddl = f"{by} {measured.schema[by].dataType.simpleString()}, row int, col int, value double"
     arrow = blocks.arrow_schema(ddl)
 
     def run(table: pa.Table) -> pa.Table:
@@ -226,11 +353,8 @@ def interp_linear(
         first = int(rows["_band"][0]) * height
         row, col = np.arange(first, min(first + height, n)), np.arange(n)
         lon, lat = _line(rows, "lon", col, n), _line(rows, "lat", row, n)
-        values = np.full((len(row), n), np.nan)
         some = {c: rows[c][~np.isnan(rows["a_lon"])] for c in names}
-        for i in range(len(some["a_lon"])):
-            _draw({c: some[c][i] for c in names}, lon, lat, values)
-        flat = values.ravel()
+        flat = surface.draw(some, lon, lat, *_steps(rows, n)).ravel()
         out = {
             "row": np.repeat(row, n).astype(np.int32), "col": np.tile(col, len(row)).astype(np.int32),
             "value": pa.array(flat, mask=np.isnan(flat)),
@@ -241,42 +365,6 @@ def interp_linear(
     return blocks.spread_evenly(drawn.unionByName(empty), *keys).groupBy(*keys).applyInArrow(run, ddl)
 
 
-def _draw(t: dict[str, float], lon: np.ndarray, lat: np.ndarray, values: np.ndarray) -> None:
-    """Set the cells inside one triangle; each grid row visits only the columns between its sides.
-    Where triangles share a border the smaller value stays."""
-    x = np.array([t["a_lon"], t["b_lon"], t["c_lon"]])
-    y = np.array([t["a_lat"], t["b_lat"], t["c_lat"]])
-    up, right = lat[1] - lat[0] if len(lat) > 1 else np.inf, lon[1] - lon[0]
-    low = max(int(np.floor((y.min() - lat[0]) / up)) if np.isfinite(up) else 0, 0)
-    high = min(int(np.ceil((y.max() - lat[0]) / up)) if np.isfinite(up) else 0, len(lat) - 1)
-    if high < low:
-        return
-    rows = np.arange(low, high + 1)
-    # a row that only touches the triangle between grid lines takes the nearest height inside it
-    at = np.clip(lat[rows], y.min(), y.max())[:, None]
-    y1, y2, x1, x2 = y, np.roll(y, -1), x, np.roll(x, -1)
-    tall = np.where(y2 == y1, 1.0, y2 - y1)
-    share = (at - y1) / tall
-    met = (at >= np.minimum(y1, y2)) & (at <= np.maximum(y1, y2))
-    cross = np.where(y2 == y1, x1, x1 + share * (x2 - x1))
-    ends = np.stack([np.where(met, cross, np.nan), np.where(met & (y1 == y2), x2, np.nan)], axis=2)
-    left, past = np.nanmin(ends, axis=(1, 2)), np.nanmax(ends, axis=(1, 2))
-    first = np.clip(np.floor((left - lon[0]) / right).astype(int), 0, len(lon))
-    last = np.clip(np.ceil((past - lon[0]) / right).astype(int), -1, len(lon) - 1)
-    width = np.maximum(last - first + 1, 0)
-    i = np.repeat(rows, width)
-    j = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
-    ax, ay, bx, by = x[0] - x[2], y[0] - y[2], x[1] - x[2], y[1] - y[2]
-    det = ax * by - bx * ay
-    px, py = lon[j] - x[2], lat[i] - y[2]
-    wa, wb = (px * by - bx * py) / det, (ax * py - px * ay) / det
-    wc = 1.0 - wa - wb
-    inside = np.minimum(np.minimum(wa, wb), wc) >= -1e-12
-    i, j = i[inside], j[inside]
-    mixed = (wa * t["a_v"] + wb * t["b_v"] + wc * t["c_v"])[inside]
-    values[i, j] = np.fmin(values[i, j], mixed)
-
-
 def _fill(linear: DataFrame, near: DataFrame, by: str) -> DataFrame:
     near = near.select(by, "row", "col", F.col("value").alias("_near"))
     return linear.join(near, [by, "row", "col"]).select(
@@ -293,80 +381,135 @@ def _mask(cells: DataFrame, near: DataFrame, max_km: float, by: str) -> DataFram
 
 def interp_hybrid(
     points: DataFrame, value: str, n: int = 200, margin: float = 0.1, by: str = "ts",
-    max_block: int = blocks.MAX_BLOCK,
+    max_block: int = blocks.MAX_BLOCK, tile: int = MapSpec.tile,
 ) -> DataFrame:
     """Linear inside the hull, nearest outside."""
-    linear = interp_linear(points, value, n, margin, by, max_block)
-    return _fill(linear, _nearest(points, value, n, margin, by, max_block), by)
-
+    def cut(layers: DataFrame) -> DataFrame:
+        linear = _crowded_linear(layers, n, margin, by, max_block)
+        return _fill(linear, _crowded_nearest(layers, n, margin, by, max_block), by)
 
-def distance_mask(
-    cells: DataFrame, points: DataFrame, value: str, n: int = 200, max_km: float = 50.0,
-    margin: float = 0.1, by: str = "ts", max_block: int = blocks.MAX_BLOCK,
-) -> DataFrame:
-    """Cell values set to null where the station nearest in degrees is farther than ``max_km``."""
-    return _mask(cells, _nearest(points, value, n, margin, by, max_block), max_km, by)
+    spec = MapSpec(n, "hybrid", margin=margin, tile=tile)
+    return _interpolate(points, value, spec, by, max_block, cut)
 
 
 def interpolated_layer(
     points: DataFrame, value: str, n: int = 200, method: str = "hybrid", sigma: float = 0.8,
     max_km: float | None = 50.0, margin: float = 0.1, by: str = "ts",
-    max_block: int = blocks.MAX_BLOCK,
+    max_block: int = blocks.MAX_BLOCK, clip: bool = True, tile: int = MapSpec.tile,
 ) -> DataFrame:
     """The usual map of one variable: interpolate, smooth (``sigma`` 0 leaves it out), mask far
-    cells (``max_km`` None leaves it out), clip to the range observed. The nearest station is
-    searched once for filling and masking."""
-    if method not in ("idw", "nearest", "linear", "hybrid"):
-        raise ValueError(f"unknown method {method!r}")
-    keys, km = [by, "row", "col"], () if max_km is None else ("km",)
-    if method == "nearest":
-        cells = _nearest(points, value, n, margin, by, max_block)
-    elif method == "idw":
-        cells = interp_idw(points, value, n, margin=margin, by=by, max_block=max_block)
-    else:
-        cells = interp_linear(points, value, n, margin, by, max_block)
-    if method == "hybrid" or (max_km is not None and method != "nearest"):
-        near = _nearest(points, value, n, margin, by, max_block).withColumnRenamed("value", "_near")
-        filled = F.coalesce("value", "_near") if method == "hybrid" else F.col("value")
-        cells = cells.join(near, keys).select(*keys, filled.alias("value"), *km)
-    if sigma:
-        cells = smooth_gaussian(cells, n, sigma, by=by, keep=km)
-    if max_km is not None:
-        cells = cells.withColumn("value", F.when(F.col("km") <= max_km, F.col("value"))).drop("km")
-    return clip_to_observed(cells, points, value, by)
+    cells (``max_km`` None leaves it out), clip to the range observed. One task does all of it for
+    a tile; the nearest station is searched once for filling and masking."""
+    spec = MapSpec(n, method, 1.0, sigma, max_km, clip, margin, tile)
+
+    def cut(layers: DataFrame) -> DataFrame:
+        keys, km = [by, "row", "col"], () if max_km is None else ("km",)
+        if method == "nearest":
+            cells = _crowded_nearest(layers, n, margin, by, max_block)
+        elif method == "idw":
+            cells = _crowded_idw(layers, n, spec.power, margin, by, max_block)
+        else:
+            cells = _crowded_linear(layers, n, margin, by, max_block)
+        if method == "hybrid" or (km and method != "nearest"):
+            near = _crowded_nearest(layers, n, margin, by, max_block).withColumnRenamed("value", "_near")
+            filled = F.coalesce("value", "_near") if method == "hybrid" else F.col("value")
+            cells = cells.join(near, keys).select(*keys, filled.alias("value"), *km)
+        if sigma:
+            cells = smooth_gaussian(cells, n, sigma, by=by, keep=km, tile=tile)
+        if km:
+            cells = cells.withColumn("value", F.when(F.col("km") <= max_km, F.col("value")))
+        cells = cells.select(*keys, "value")
+        return clip_to_observed(cells, layers, "value", by) if clip else cells
+
+    return _interpolate(points, value, spec, by, max_block, cut)
+
+
+def distance_mask(
+    cells: DataFrame, points: DataFrame, value: str, n: int = 200, max_km: float = 50.0,
+    margin: float = 0.1, by: str = "ts", max_block: int = blocks.MAX_BLOCK, tile: int = MapSpec.tile,
+) -> DataFrame:
+    """Cell values, of any origin, set to null where the station nearest in degrees is farther than
+    ``max_km``. Cells meet the stations of their layer tile by tile; ``interpolated_layer`` masks
+    without moving cells. Cells of a layer without stations are left out."""
+    spec = MapSpec(n, margin=margin, tile=tile)
+    ddl = f"{by} {cells.schema[by].dataType.simpleString()}, row int, col int, value double"
+    arrow = blocks.arrow_schema(ddl)
+    keys = [by, "_tr", "_tc"]
+
+    def run(some: pa.Table, near: pa.Table) -> pa.Table:
+        if not some.num_rows or not near.num_rows:
+            return arrow.empty_table()
+        stations = blocks.to_stations(near.rename_columns([c.removeprefix("_") for c in near.column_names]))
+        inner = [spec.lines(some.column(k)[0].as_py()) for k in keys[1:]]
+        lat, lon = (
+            _grid_lines(stations[axis], np.arange(*lines), spec)[0]
+            for axis, lines in zip(("lat", "lon"), inner, strict=True)
+        )
+        _, km = _closest(stations, lon, lat)
+        row, col = (some.column(c).to_numpy() for c in ("row", "col"))
+        close = pa.array(km[row - inner[0][0], col - inner[1][0]] <= max_km)
+        value = pc.if_else(close, some.column("value"), pa.scalar(None, pa.float64()))
+        return pa.table([some.column(by), some.column("row"), some.column("col"), value], schema=arrow)
+
+    def whole(layers: DataFrame) -> DataFrame:
+        index = F.sequence(F.lit(0), F.lit(spec.tiles - 1))
+        # new names: the cells may come from the same stations
+        visits = layers.select(*[F.col(c).alias(f"_{c}") for c in layers.columns])
+        visits = visits.withColumn("_sr", F.explode(index)).withColumn("_sc", F.explode(index))
+        near = [f"_{by}", "_sr", "_sc"]
+        placed = cells.select(
+            by, F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("double"),
+            *[F.floor(F.col(c) / tile).cast("int").alias(k) for c, k in (("row", "_tr"), ("col", "_tc"))],
+        )
+        return (
+            blocks.spread_evenly(placed, *keys).groupBy(*keys)
+            .cogroup(blocks.spread_evenly(visits, *near).groupBy(*near)).applyInArrow(run, ddl)
+        )
+
+    def cut(layers: DataFrame) -> DataFrame:
+        return _mask(cells, _crowded_nearest(layers, n, margin, by, max_block), max_km, by)
+
+    return blocks.by_size(_measured(points, value, by), by, max_block, whole, cut)
 
 
 def smooth_gaussian(
     cells: DataFrame, n: int, sigma: float = 0.8, truncate: float = 4.0, by: str = "ts",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), tile: int = MapSpec.tile,
 ) -> DataFrame:
     """Gaussian smoothing of a full grid, edges mirrored, one pass along each axis; a null spreads
-    to the cells that would use it. A layer of ``n`` x ``n`` values is one group; the double columns
-    in ``keep`` pass through."""
-    radius = int(truncate * sigma + 0.5)
-    reach = np.arange(-radius, radius + 1)
-    weights = np.exp(-0.5 * (reach / sigma) ** 2)
-    weights /= weights.sum()
-    mirror = (np.arange(n)[:, None] + reach[None, :]) % (2 * n)
-    mirror = np.where(mirror < n, mirror, 2 * n - 1 - mirror)
-    columns = [by, "row", "col", "value", *keep]
+    to the cells that would use it. Cells go to their tile and, near its border, to the tiles whose
+    rim they belong to. The double columns in ``keep`` pass through."""
+    spec, radius = MapSpec(n, sigma=sigma, tile=tile), surface.radius_of(sigma, truncate)
+    columns = ["row", "col", "value", *keep]
     ddl = ", ".join([f"{by} {cells.schema[by].dataType.simpleString()}, row int, col int, value double",
                      *[f"{c} double" for c in keep]])
     arrow = blocks.arrow_schema(ddl)
+    keys = [by, "_tr", "_tc"]
 
     def run(table: pa.Table) -> pa.Table:
+        inner = [spec.lines(table.column(k)[0].as_py()) for k in keys[1:]]
+        outer = [surface.with_rim(*lines, radius, n) for lines in inner]
         row, col = table.column("row").to_numpy(), table.column("col").to_numpy()
-        grid = np.full((n, n), np.nan)
-        grid[row, col] = table.column("value").to_numpy(zero_copy_only=False).astype(float)
-        for _ in range(2):
-            grid = (grid[mirror] * weights[None, :, None]).sum(axis=1).T
-        flat = grid[row, col]
-        out = {"row": row, "col": col, "value": pa.array(flat, mask=np.isnan(flat)),
-               **{c: table.column(c) for c in keep}}
-        return pa.table([table.column(by), *[out[c] for c in columns[1:]]], names=columns).cast(arrow)
-
-    rows = cells.select(by, F.col("row").cast("int"), F.col("col").cast("int"), "value", *keep)
-    return blocks.spread_evenly(rows, by).groupBy(by).applyInArrow(run, ddl)
+        grid = np.full([high - low for low, high in outer], np.nan)
+        grid[row - outer[0][0], col - outer[1][0]] = table.column("value").to_numpy().astype(float)
+        grid = surface.blur(grid, *inner, n, sigma, truncate)
+        own = (row >= inner[0][0]) & (row < inner[0][1]) & (col >= inner[1][0]) & (col < inner[1][1])
+        mine = table.filter(pa.array(own))
+        flat = grid[row[own] - inner[0][0], col[own] - inner[1][0]]
+        out = {c: mine.column(c) for c in [by, "row", "col", *keep]}
+        out["value"] = pa.array(flat, mask=np.isnan(flat))
+        return pa.table([out[f.name] for f in arrow], schema=arrow)
+
+    def tiles_of(line: str) -> Column:
+        low, high = (F.floor((F.col(line) + F.lit(k)) / F.lit(tile)).cast("int") for k in (-radius, radius))
+        return F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(spec.tiles - 1)))
+
+    rows = cells.select(
+        by, F.col("row").cast("int"), F.col("col").cast("int"),
+        *[F.col(c).cast("double") for c in columns[2:]],
+    )
+    placed = rows.withColumn("_tr", F.explode(tiles_of("row"))).withColumn("_tc", F.explode(tiles_of("col")))
+    return blocks.spread_evenly(placed, *keys).groupBy(*keys).applyInArrow(run, ddl)
 
 
 def clip_to_observed(cells: DataFrame, points: DataFrame, value: str, by: str = "ts") -> DataFrame:

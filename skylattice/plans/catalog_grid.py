@@ -146,10 +146,18 @@ def _masked(table: str) -> str:
             " n.lon AS lon) m) k ON k.ts = i.ts AND k.row = i.row AND k.col = i.col)")
 
 
-@query("distance_mask", sql("points", _digest_sql("masked"), *BASE, IDW, NEAR, _masked("idw")))
+_MASKED_IDW = sql("points", _digest_sql("masked"), *BASE, IDW, NEAR, _masked("idw"))
+
+
+@query("distance_mask", _MASKED_IDW)
+def _(s, d):
+    return _digest(gd.interpolated_layer(_points(s, d), "temp", N, "idw", sigma=0.0, clip=False))
+
+
+@query("distance_mask_cells", _MASKED_IDW)
 def _(s, d):
     points = _points(s, d)
-    return _digest(gd.distance_mask(gd.interp_idw(points, "temp", N), points, "temp", N))
+    return _digest(gd.distance_mask(gd.interp_idw(points, "temp", N), points, "temp", N, tile=50))
 
 
 _WEIGHTS = [f"exp(-0.5e0 * ({k} / 0.8e0) * ({k} / 0.8e0))" for k in range(-3, 4)]
@@ -167,11 +175,18 @@ def _blur(table: str, fixed: str, moving: str, out: str) -> str:
             f" (SELECT CAST(range AS INTEGER) AS j FROM range({N})))")
 
 
-@query("smooth_gaussian",
-       sql("points", _digest_sql("smooth"), *BASE, IDW,
-           _blur("idw", "row", "col", "half"), _blur("half", "col", "row", "smooth")))
+_SMOOTH_IDW = sql("points", _digest_sql("smooth"), *BASE, IDW,
+                  _blur("idw", "row", "col", "half"), _blur("half", "col", "row", "smooth"))
+
+
+@query("smooth_gaussian", _SMOOTH_IDW)
 def _(s, d):
-    return _digest(gd.smooth_gaussian(gd.interp_idw(_points(s, d), "temp", N), N))
+    return _digest(gd.interpolated_layer(_points(s, d), "temp", N, "idw", max_km=None, clip=False))
+
+
+@query("smooth_gaussian_cells", _SMOOTH_IDW)
+def _(s, d):
+    return _digest(gd.smooth_gaussian(gd.interp_idw(_points(s, d), "temp", N), N, tile=50))
 
 
 def _clipped(table: str, factor: str) -> str:
@@ -187,14 +202,26 @@ def _(s, d):
     return _digest(gd.clip_to_observed(cells, points, "temp"))
 
 
-@query("interpolated_layer",
-       sql("points", _digest_sql("clipped"), *BASE, NEAR, *TRI, _FILLED,
-           _blur("hybrid", "row", "col", "half"), _blur("half", "col", "row", "smooth"),
-           _masked("smooth"), _clipped("masked", "1e0")))
+_LAYER = sql("points", _digest_sql("clipped"), *BASE, NEAR, *TRI, _FILLED,
+             _blur("hybrid", "row", "col", "half"), _blur("half", "col", "row", "smooth"),
+             _masked("smooth"), _clipped("masked", "1e0"))
+
+
+@query("interpolated_layer", _LAYER)
 def _(s, d):
     return _digest(gd.interpolated_layer(_points(s, d), "temp", N))
 
 
+@query("interpolated_layer_tiles", _LAYER)
+def _(s, d):
+    return _digest(gd.interpolated_layer(_points(s, d), "temp", N, tile=50))
+
+
+@query("interpolated_layer_cut", _LAYER)
+def _(s, d):
+    return _digest(gd.interpolated_layer(_points(s, d), "temp", N, max_block=12, tile=50))
+
+
 @query("dedupe_coordinates",
        sql("raw", "SELECT ts, event_id FROM (SELECT *, row_number() OVER"
                   " (PARTITION BY ts, lat, lon ORDER BY event_id) AS k FROM raw) WHERE k = 1"))
@@ -238,6 +265,16 @@ def _(s, d):
     return gd.contour_bands(cells, variable="wind_speed")
 
 
+@query("contour_bands_grid",
+       sql("points", "SELECT ts, CAST(least(greatest(floor(value / 10e0) + 1, 0), 10) AS INTEGER) AS band,"
+                     f" count(*) AS cells, {r('sum(value)', 'total', 4)} FROM idw GROUP BY ALL",
+           MEASURED.replace("temp", "wind_speed"), BOUNDS, GRID, LISTS, IDW))
+def _(s, d):
+    cells = gd.interp_idw(_points(s, d), "wind_speed", N)
+    return gd.contour_bands(cells, variable="wind_speed").groupBy("ts", "band").agg(
+        F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("wind_arrows",
        sql("points", f"SELECT ts, station_id, {rr('lon', 'lat')},"
                      f" {r('cos(radians(wind_dir)) * wind_speed * 0.05e0', 'arrow_u')},"
