@@ -2,8 +2,7 @@
 
 A snapshot is one hour of stations. Distances between its stations are worked out in numpy inside
 a task and only results leave it. A snapshot of at most ``MAX_BLOCK`` stations is one group. Larger
-ones go through spatial tiles (``tiles``), each snapshot by its own size. What really needs every distance of a snapshot is computed on ordered pairs of hashed
-chunks, each its own group, so neither a crowded hour nor a dense area ends up in one task.
+ones go through spatial tiles (``tiles``), each snapshot by its own size.
 """
 
 from __future__ import annotations
@@ -95,51 +94,6 @@ def per_snapshot(
     return spread_evenly(points, by).groupBy(by).applyInArrow(run, ddl)
 
 
-def per_block_pair(
-    points: DataFrame, fn: BlockFunction, schema: str, by: str = "ts", size: int = MAX_BLOCK
-) -> DataFrame:
-    """``fn(queries, candidates)`` for every ordered pair of chunks of a snapshot. The result has
-    the chunk of the queries in ``q_chunk``; rows of one query from different blocks still have
-    to be merged."""
-    # half-full chunks on average, so hashing unevenness stays within ``size``
-    chunks = points.groupBy(by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(size / 2)).cast("int").alias("_n")
-    )
-    own = F.pmod(F.xxhash64("station_id"), F.col("_n")).cast("int")
-    others = F.sequence(F.lit(0), F.col("_n") - 1)
-
-    def role(q, c, as_query, as_candidate):
-        return F.struct(
-            q.alias("q_chunk"), c.alias("c_chunk"),
-            as_query.alias("_query"), as_candidate.alias("_candidate"),
-        )
-
-    mine = F.col("_own")
-    as_query = F.transform(others, lambda j: role(mine, j, F.lit(True), j == mine))
-    as_candidate = F.transform(
-        F.filter(others, lambda i: i != mine), lambda i: role(i, mine, F.lit(False), F.lit(True))
-    )
-    spread = (
-        points.join(chunks, by)
-        .withColumn("_own", own)
-        .select(*points.columns, F.inline(F.concat(as_query, as_candidate)))
-    )
-    ddl = f"{by} {points.schema[by].dataType.simpleString()}, q_chunk int, {schema}"
-    arrow = arrow_schema(ddl)
-
-    def run(table: pa.Table) -> pa.Table:
-        constants = {by: table.column(by)[0], "q_chunk": table.column("q_chunk")[0]}
-        stations = to_stations(table.drop_columns([by, "q_chunk", "c_chunk"]))
-        as_query, as_candidate = (stations.pop(c).astype(bool) for c in ("_query", "_candidate"))
-        queries, candidates = take(stations, as_query), take(stations, as_candidate)
-        return to_table(fn(queries, candidates), arrow, **constants)
-
-    return (
-        spread_evenly(spread, by, "q_chunk", "c_chunk")
-        .groupBy(by, "q_chunk", "c_chunk").applyInArrow(run, ddl)
-    )
-
-
 def distances(queries: Stations, candidates: Stations) -> np.ndarray:
     """Straight-line km between Cartesian positions; infinite from a station to itself."""
     squares = np.zeros((len(queries["x"]), len(candidates["x"])))

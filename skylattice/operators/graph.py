@@ -12,6 +12,7 @@ from skylattice.constants import EARTH_RADIUS_KM, EDGE_ATTRIBUTES, EDGE_DIFFS, H
 from skylattice.functions.geodesy import bearing_deg, haversine_km, to_cartesian
 from skylattice.operators import blocks, tiles
 from skylattice.operators.delaunay import EDGE_SCHEMA, delaunay_edges
+from skylattice.operators.quantile import distance_quantile
 from skylattice.session import materialize
 
 SIGNED = [*EDGE_DIFFS, "bearing_sin", "bearing_cos"]
@@ -129,7 +130,6 @@ def adaptive_radius_edges(
     return blocks.by_size(positions(nodes, by), by, max_block, whole, cut)
 
 
-BINS = 65536
 DIAMETER_KM = 2.0 * (EARTH_RADIUS_KM + 100.0)
 
 
@@ -143,65 +143,17 @@ def radius_at_quantile(
     nodes: DataFrame, quantile: float, by: str = "ts", max_block: int = blocks.MAX_BLOCK
 ) -> DataFrame:
     """``ts, radius``: exact quantile, linearly interpolated, of the full distance matrix of the
-    snapshot with its zero diagonal. For cut-up snapshots a histogram of the distances finds the
-    bins of the two neighbouring ranks, then only the distances in those bins are ranked."""
+    snapshot with its zero diagonal. Crowded snapshots open few of their pairs (``quantile``)."""
     def quantile_of(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         return {"radius": np.array([np.quantile(_with_self(queries, candidates), quantile)])}
 
     return blocks.by_size(
         positions(nodes, by), by, max_block,
         lambda at: blocks.per_snapshot(at, quantile_of, "radius double", by),
-        lambda at: _cut_quantile(at, quantile, by, max_block),
+        lambda at: distance_quantile(at, quantile, DIAMETER_KM, by, max_block),
     )
 
 
-def _cut_quantile(at: DataFrame, quantile: float, by: str, max_block: int) -> DataFrame:
-    width = DIAMETER_KM / BINS
-
-    def histogram(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-        bins = np.floor(_with_self(queries, candidates) / width).astype(np.int64)
-        found, n = np.unique(bins, return_counts=True)
-        return {"bin": found, "n": n.astype(np.int64)}
-
-    counts = (
-        blocks.per_block_pair(at, histogram, "bin bigint, n bigint", by, max_block)
-        .groupBy(by, "bin").agg(F.sum("n").alias("n"))
-    )
-    below = F.sum("n").over(Window.partitionBy(by).orderBy("bin")) - F.col("n")
-    rank = (F.sum("n").over(Window.partitionBy(by)) - 1) * F.lit(float(quantile))
-    holding = (
-        counts.select(by, "bin", "n", below.alias("below"), rank.alias("rank"))
-        .filter((F.col("below") + F.col("n") > F.floor("rank")) & (F.col("below") <= F.ceil("rank")))
-    )
-    band = materialize(
-        holding.groupBy(by).agg(
-            F.min("bin").alias("bin_lo"), F.max("bin").alias("bin_hi"),
-            F.min("below").alias("below"), F.max("rank").alias("rank"),
-        )
-    )
-
-    def in_band(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
-        dist = _with_self(queries, candidates).ravel()
-        bins = np.floor(dist / width).astype(np.int64)
-        if not len(dist):
-            return {"d": dist, "n": bins}
-        lo, hi = queries["bin_lo"][0], queries["bin_hi"][0]
-        found, n = np.unique(dist[(bins >= lo) & (bins <= hi)], return_counts=True)
-        return {"d": found, "n": n.astype(np.int64)}
-
-    inside = (
-        blocks.per_block_pair(at.join(band, by), in_band, "d double, n bigint", by, max_block)
-        .groupBy(by, "d").agg(F.sum("n").alias("n"))
-        .join(band, by)
-    )
-    upto = F.sum("n").over(Window.partitionBy(by).orderBy("d")) + F.col("below")
-    ranked = inside.withColumn("upto", upto)
-    lower = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("d")))
-    upper = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("d")))
-    share = F.max(F.col("rank") - F.floor("rank"))
-    return ranked.groupBy(by).agg((lower + (upper - lower) * share).alias("radius"))
-
-
 def radius_edges(
     nodes: DataFrame, quantile: float = 0.65, by: str = "ts", max_block: int = blocks.MAX_BLOCK
 ) -> DataFrame:
@@ -214,7 +166,7 @@ def radius_edges(
         return _pairs_within(queries, candidates, dist, radius)
 
     def cut(at: DataFrame) -> DataFrame:
-        radius = _cut_quantile(at, quantile, by, max_block).select(
+        radius = distance_quantile(at, quantile, DIAMETER_KM, by, max_block).select(
             by, (F.col("radius") * F.lit(ROUND_UP)).alias("reach")
         )
         tiled = materialize(_tiled(at, by, max_block).join(radius, by))

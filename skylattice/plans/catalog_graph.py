@@ -234,12 +234,19 @@ def _(s, d):
     return gr.radius_edges(materialize(ev.points(s, d)), 0.55).select("ts", "src", "dst")
 
 
-@query("radius_at_quantile",
-       sql("points", f"SELECT ts, {r('rad', 'radius')} FROM quant", cart("points"), DIST, RADIUS))
+_QUANTILE = sql("points", f"SELECT ts, {r('rad', 'radius')} FROM quant", cart("points"), DIST, RADIUS)
+
+
+@query("radius_at_quantile", _QUANTILE)
 def _(s, d):
     return gr.radius_at_quantile(materialize(ev.points(s, d)), 0.55)
 
 
+@query("radius_at_quantile_cut", _QUANTILE)
+def _(s, d):
+    return gr.radius_at_quantile(materialize(ev.points(s, d)), 0.55, max_block=SMALL_BLOCK)
+
+
 @query("max_alt_filter",
        sql("points", f"SELECT delaunay.ts, delaunay.src, delaunay.dst, {r('gap', 'alt_diff_km')}"
                      " FROM delaunay JOIN dist ON dist.ts = delaunay.ts AND dist.src = delaunay.src"
