@@ -35,20 +35,27 @@ def archive_files(
     )
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root with the scheme that Spark's own readers would use for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString()
+
+
 def _file_system(root: str):
     from pyarrow import fs
 
     if root.startswith("file:"):
         return fs.LocalFileSystem(), re.sub(r"^file:(//[^/]*)?(?=/)", "", root)
-    if "://" in root:
-        return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), root
+    return fs.FileSystem.from_uri(root)
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Write each row (``path`` below the root, ``content``) as one file; ``path, length`` of all.
     Tasks write where Spark's writers would choose the names themselves; a task that runs again
-    writes the same files."""
+    writes the same files. A root without a scheme lies on the session's default file system."""
+    root = _qualified(files.sparkSession, root)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _file_system(root)
         for batch in batches:
@@ -63,9 +70,12 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str, suffix: str = FILE_SUFFIX) -> DataFrame:
     """``path, length`` of all files including empty ones, which Spark's readers leave out. Folders
-    are listed level by level in tasks; the driver only learns whether another level follows."""
+    are listed level by level in tasks; the driver only learns whether another level follows. A root
+    without a scheme lies on the session's default file system."""
     from pyarrow import fs
 
+    root = _qualified(spark, root)
+
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = _file_system(root)
         for batch in batches:

@@ -8,30 +8,28 @@ from skylattice.constants import FILE_SUFFIX, RAW_TO_CANONICAL
 from skylattice.operators.quality import exclude_paths, file_timestamp
 from skylattice.sources.files import archive_files, decoded, open_quote
 
-# a comma followed by an even number of quotes is a separator
-SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def _fields(line: Column) -> Column:
-    def unquoted(f: Column) -> Column:
-        inner = F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1")
-        return F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit(BREAK), F.lit("\n"))
-
-    return F.transform(F.split(line, SEPARATOR, -1), unquoted)
-
-
-#: Stands for a line break inside quotes while a file is split into lines; a private character.
-BREAK = "\ue000"
+#: Stand for a line break and a comma inside quotes while a file is split; private characters.
+BREAK, COMMA = "\ue000", "\ue001"
 
 
 def _lines(text: Column) -> Column:
-    """Lines of a file. Every second part between quotes is quoted, its line breaks are none."""
+    """Lines of a file. Every second part between quotes is quoted: its line breaks end no line and
+    its commas no field. One pass over the text marks both."""
     parts = F.split(text, '"', -1)
-    kept = F.transform(
-        parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, "\r?\n", BREAK)).otherwise(p))
+    kept = F.transform(parts, lambda p, i: F.when(
+        i % 2 == 1, F.replace(F.regexp_replace(p, "\r?\n", BREAK), F.lit(","), F.lit(COMMA))).otherwise(p))
     return F.split(F.array_join(kept, '"'), "\r?\n")
 
 
+def _fields(line: Column) -> Column:
+    """Fields of a line that ``_lines`` has marked."""
+    def unquoted(f: Column) -> Column:
+        inner = F.replace(F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))
+        return F.translate(inner, BREAK + COMMA, "\n,")
+
+    return F.transform(F.split(line, ",", -1), unquoted)
+
+
 def rejected_files(contents: DataFrame) -> DataFrame:
     """``path, reason`` of the files that ``parse_observations`` leaves out."""
     header = F.transform(_fields(F.col("_first")), lambda f: F.trim(f))

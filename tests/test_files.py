@@ -95,6 +95,33 @@ def test_quoted_line_breaks_and_rejections(spark):
         ("2016010101", "open_quote"), ("2016010102", "no_header"), ("notes.csv", "no_hour")}
 
 
+def test_quoted_commas_and_very_long_lines(spark):
+    """A comma inside quotes is text, however many commas a line has."""
+    town = "a, b" + "," * 300_000
+    cells = {**STATION, "Poblacio": f'{town}""x""', "Font": "METEOCAT"}
+    text = "\n".join([fl.KNOWN_HEADER, line(**cells), line(**STATION) + "," * 300_000, line(**STATION)])
+    contents = spark.createDataFrame(
+        [("/a/2016010100dadesPC_utc.csv", bytearray(text.encode()))], "path string, content binary")
+    rows = ob.parse_observations(contents).select("line_no", "station_id", "temp").collect()
+    assert sorted(rows) == [(1, "C1", "10.5"), (3, "C1", "10.5")]
+    quoted = ob._fields(ob._lines(F.lit('1,"a, b\n""c""",,"d"'))[0])
+    assert spark.range(1).select(quoted.alias("f")).first()["f"] == ["1", 'a, b\n"c"', "", "d"]
+
+
+def test_roots_without_a_scheme_lie_where_spark_reads(spark, archive):
+    plain, full = (fl.inventory(spark, root).collect() for root in (archive, "file:" + archive))
+    assert plain and sorted(plain) == sorted(full)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.viewfs.mounttable.shared.link./data", "file:" + archive)
+    hadoop.set("fs.defaultFS", "viewfs://shared/")
+    try:
+        assert fl._qualified(spark, "/data/x") == "viewfs://shared/data/x"
+        assert fl._qualified(spark, "file:/data/x") == "file:/data/x"
+    finally:
+        hadoop.set("fs.defaultFS", before)
+
+
 def test_audits(spark, archive):
     listed = fl.inventory(spark, archive)
     contents = fl.archive_files(spark, archive)
