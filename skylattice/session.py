@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end of the block the tables that ``materialize`` writes inside it, for blocks
+    that store their result elsewhere."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in [p for p in _TABLES if p not in before]:
+            _TABLES.remove(path)
+            remove_folder(spark, path)
+
+
 def release(*frames: DataFrame) -> int:
     """Remove the materialized tables that the given frames read and return their number."""
     removed = 0
@@ -64,11 +79,11 @@ def release(*frames: DataFrame) -> int:
         folders = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
         for path in [p for p in _TABLES if p.rsplit("/", 1)[-1] in folders]:
             _TABLES.remove(path)
-            removed += _delete(df.sparkSession, path)
+            removed += remove_folder(df.sparkSession, path)
     return removed
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def remove_folder(spark: SparkSession, path: str) -> bool:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
 
@@ -78,5 +93,5 @@ def drop_materialized(spark: SparkSession) -> int:
     Frames that were built on them can no longer be read."""
     removed = 0
     while _TABLES:
-        removed += _delete(spark, _TABLES.pop())
+        removed += remove_folder(spark, _TABLES.pop())
     return removed
