@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skylattice.llm import copies, decontaminate, language, mixing, ring
 from skylattice.llm.catalog import MIX_WEIGHTS, id_crc
 from skylattice.llm.frames import own
-from skylattice.session import ensure_checkpoint_dir
+from skylattice.session import ensure_checkpoint_dir, remove_folder, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table, each written as Parquet and read by the next."""
+    """All stages on the documents table, each written as Parquet and read by the next. A stage's
+    inner tables go when its output is written, and the output when the next one has read it."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if read:
+            remove_folder(spark, read)
+        read = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
