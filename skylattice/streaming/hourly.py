@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OBS_SCHEMA = (
     "station_id string, source string, ts timestamp, lat double, lon double, alt double,"
@@ -76,56 +74,21 @@ def stream_hourly_stats(
     return grouped.select(F.col("w.start").alias("window_start"), by, F.inline(F.array(*parts)))
 
 
-RAIN_OUT = "station_id string, ts timestamp, rain double"
-RAIN_STATE = "hours array<int>, totals array<double>, done int"
-HOUR_MS = 3_600_000
-
-
-def _rain_steps(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """One station and day. The state holds the totals of its hours (24 at most) and the last hour
-    given out; an hour is given out once the watermark has passed it, so its previous hour has
-    arrived by then or never will."""
-    station, day = key
-    hours, totals, done = state.get if state.exists else ([], [], -1)
-    known = dict(zip(hours, totals))
-    if not state.hasTimedOut:
-        for batch in batches:
-            for hour, rain in zip(batch["ts"].dt.hour, batch["rain"].fillna(0.0)):
-                known.setdefault(int(hour), float(rain))
-    midnight = pd.Timestamp(day)
-    start_ms = int((midnight - pd.Timestamp(0)) / pd.Timedelta(milliseconds=1))
-    watermark = state.getCurrentWatermarkMs()
-    ready = sorted(h for h in known if h > done and start_ms + h * HOUR_MS < watermark)
-    waiting = sorted(h for h in known if h > done and h not in ready)
-    if ready:
-        done = ready[-1]
-    end_ms = start_ms + 24 * HOUR_MS
-    if not waiting and watermark >= end_ms:
-        state.remove()
-    else:
-        state.update(([*known], [*known.values()], done))
-        wake = start_ms + waiting[0] * HOUR_MS if waiting else end_ms
-        state.setTimeoutTimestamp(max(wake, watermark) + 1)
-    if ready:
-        rain = [max(known[h] - (known.get(h - 1, 0.0) if h else 0.0), 0.0) for h in ready]
-        yield pd.DataFrame(
-            {
-                "station_id": station,
-                "ts": [midnight + pd.Timedelta(hours=h) for h in ready],
-                "rain": rain,
-            }
-        )
-
-
 def stream_hourly_rain(stream: DataFrame) -> DataFrame:
     """Rain of the hour from rain accumulated since midnight, as the batch operator computes it.
-    The stream needs a watermark. Totals restart at midnight, so state is kept per station and
-    day: small, spread over tasks, and dropped when the watermark passes the day."""
-    rows = stream.select("station_id", "ts", "rain").withColumn("day", F.to_date("ts"))
-    return rows.groupBy("station_id", "day").applyInPandasWithState(
-        _rain_steps, RAIN_OUT, RAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    The stream needs a watermark. A window of two hours per station holds an hour and the one before
+    it; it closes, and its second hour comes out, when the watermark has passed both. Of several
+    readings in an hour one counts, so take them from ``stream_observations``."""
+    hour = F.date_trunc("hour", "ts")
+    rows = stream.select("station_id", "ts", F.coalesce("rain", F.lit(0.0)).alias("rain"), hour.alias("_hour"))
+    windows = rows.select("station_id", F.window("ts", "2 hours", "1 hour").alias("w"), "rain", "_hour")
+    before = F.first(F.when(F.col("_hour") == F.col("w.start"), F.col("rain")), ignorenulls=True)
+    own = F.first(F.when(F.col("_hour") != F.col("w.start"), F.col("rain")), ignorenulls=True)
+    held = windows.groupBy("station_id", "w").agg(before.alias("_before"), own.alias("_own"))
+    ts = F.col("w.end") - F.expr("INTERVAL 1 HOUR")
+    since = F.when(F.hour(ts) == 0, F.lit(0.0)).otherwise(F.coalesce("_before", F.lit(0.0)))
+    return held.filter("_own IS NOT NULL").select(
+        "station_id", ts.alias("ts"), F.greatest(F.col("_own") - since, F.lit(0.0)).alias("rain")
     )
 
 

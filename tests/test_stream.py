@@ -77,3 +77,15 @@ def test_hourly_rain_matches_the_batch_operator(spark, tmp_path):
     want = {r.ts: r.rain for r in im.hourly_rain(batch).collect()}
     got = {r.ts: r.rain for r in spark.table("rain").collect()}
     assert got == want
+
+
+def test_hourly_rain_needs_no_python_per_station_and_day(spark, tmp_path):
+    path = str(tmp_path / "in")
+    put(spark, path, [row(h, s, rain=float(h * i)) for h in (0, 1, 3) for i, s in enumerate("ABC")])
+    hs.close_arrivals(spark, path)
+    stream = hs.stream_hourly_rain(hs.stream_observations(spark, path))
+    rows = hs.write_available(stream, str(tmp_path / "out")).collect()
+    got = {(r.station_id, r.ts.hour): r.rain for r in rows}
+    gain = {0: 0.0, 1: 1.0, 3: 3.0}
+    assert got == {(s, h): gain[h] * i for h in gain for i, s in enumerate("ABC")}
+    assert "Pandas" not in stream._jdf.queryExecution().logical().toString()
