@@ -1,5 +1,7 @@
 """Grid arithmetic against plain forms, and maps cut into tiles against whole ones."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,25 @@ def test_empty_layers(spark, stations):
     none = stations.filter("ts = 3")
     assert gd.interpolated_layer(none, "v", 9).count() == 0
     assert gd.interpolated_layer(none, "v", 9, tile=4).count() == 0
+
+
+@pytest.mark.parametrize("method", ["idw", "nearest", "linear", "hybrid"])
+def test_layers_of_several_chunks_give_the_whole_map(spark, method):
+    spots = np.random.default_rng(7).permutation(256)[:200]
+    rows = [(datetime(2024, 1, 1), f"s{i:03d}", k % 16 / 4.0, k // 16 / 4.0, float(i % 17))
+            for i, k in enumerate(spots.tolist())]
+    stations = spark.createDataFrame(rows, "ts timestamp, station_id string, lon double, lat double, v double")
+
+    def drawn(**options):
+        cells = gd.interpolated_layer(stations, "v", 9, method, 0.8, 30.0, **options).collect()
+        return {(r.row, r.col): r.value for r in cells}
+
+    whole, cut = drawn(), drawn(max_block=12, tile=5)
+    assert len(cut) == len(whole) == 81
+    for cell, value in whole.items():
+        assert cut[cell] == (value if value is None else pytest.approx(value, abs=1e-9))
+    # partial results: one row per tile and chunk of as many stations as there are cells
+    measured = stations.withColumnRenamed("v", "value")
+    chunks = -(-measured.count() // 81)
+    spec = gd.MapSpec(9, "nearest", max_km=30.0, tile=5)
+    assert gd._pieces(measured, spec, "ts", 12).count() <= 4 * chunks
