@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import graph as gr, grid as gd
+from skylattice.operators import delaunay, graph as gr, grid as gd
 from skylattice.operators.delaunay import delaunay_edges, delaunay_triangles
 
 HOURS = [datetime(2024, 1, 1, h) for h in range(2)]
@@ -199,3 +199,28 @@ def test_coalesce_and_reverse(spark):
     summed = {(r.src, r.dst): r.d_temp for r in gr.coalesce_edges(both, "sum").collect()}
     assert first == {("a", "b"): (1.0, 3), ("b", "a"): (-1.0, 3)}
     assert summed == {("a", "b"): 3.0, ("b", "a"): -3.0}
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-5])
+def test_rings_found_for_many_stations_at_once_are_those_of_each(spread):
+    rng = np.random.default_rng(3)
+    x, y = rng.random(300), rng.random(300)
+    if spread:
+        x, y = 0.5 + np.where(rng.random(300) < 0.8, spread, 1.0) * (np.stack([x, y]) - 0.5)
+    stations = {"px": x, "py": y, "station_id": np.array([f"s{i:03d}" for i in range(300)], dtype=object)}
+    rings = delaunay._clear_rings(stations, stations)
+    assert sum(ring is not None for ring in rings) > 200
+    for i, ring in enumerate(rings):
+        if ring is not None:
+            others = np.flatnonzero(np.arange(300) != i)
+            want, closed = delaunay.star(x[others] - x[i], y[others] - y[i], stations["station_id"][others], f"s{i:03d}")
+            assert closed and others[want].tolist() == ring.tolist()
+
+
+def test_stations_well_inside_a_star_change_nothing():
+    angle = np.arange(6) * np.pi / 3
+    rx, ry = np.cos(angle), np.sin(angle)
+    dx, dy = np.array([3.0, 0.4, -5.0]), np.array([3.0, 0.1, 0.5])
+    assert delaunay._enclosed(dx, dy, rx, ry).tolist() == [True, False, True]
+    # the gap of an open ring lies between its last station and its first
+    assert delaunay._enclosed(dx, dy, rx[2:5], ry[2:5]).tolist() == [False, False, True]
