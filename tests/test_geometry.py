@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import delaunay, graph as gr, grid as gd
+from skylattice.operators import delaunay, graph as gr, grid as gd, tiles
 from skylattice.operators.delaunay import delaunay_edges, delaunay_triangles
 
 HOURS = [datetime(2024, 1, 1, h) for h in range(2)]
@@ -224,3 +224,21 @@ def test_stations_well_inside_a_star_change_nothing():
     assert delaunay._enclosed(dx, dy, rx, ry).tolist() == [True, False, True]
     # the gap of an open ring lies between its last station and its first
     assert delaunay._enclosed(dx, dy, rx[2:5], ry[2:5]).tolist() == [False, False, True]
+
+
+def test_tiles_do_not_outgrow_the_root_of_the_stations(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, f"S{i:04d}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((900, 2)))]
+    placed = tiles.assign_tiles(spark.createDataFrame(rows, "ts int, station_id string, px double, py double"), size=2)
+    held = [n for (n,) in placed.groupBy("tile").count().select("count").collect()]
+    assert sum(held) == 900 and 10 < len(held) <= 60
+
+
+def test_circles_that_leave_the_margin_of_a_tile(spark):
+    frame = spark.createDataFrame(
+        [(0.5, 0.5, 1.4), (0.5, 0.5, 1.6), (1.5, 0.5, 0.4), (1.5, 0.5, 0.6), (2.5, 2.5, 0.1), (0.9, 0.1, 1.2), (0.5, 0.5, float("inf"))],
+        "disc_x double, disc_y double, disc_r double",
+    ).withColumns({f"_{p}_{a}": F.lit(v) for p, v in (("lo", 0.0), ("hi", 1.0)) for a in ("px", "py")})
+    disc = F.struct("disc_x", "disc_y", "disc_r")
+    left = frame.withColumn("_reach", F.lit(1.0)).select(delaunay._leaves_margin(disc).alias("out"))
+    assert [r.out for r in left.collect()] == [False, True, False, True, True, True, True]
