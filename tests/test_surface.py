@@ -130,3 +130,14 @@ def test_layers_of_several_chunks_give_the_whole_map(spark, method):
     chunks = -(-measured.count() // 81)
     spec = gd.MapSpec(9, "nearest", max_km=30.0, tile=5)
     assert gd._pieces(measured, spec, "ts", 12).count() <= 4 * chunks
+
+
+def test_few_stations_are_summed_in_order():
+    rng = np.random.default_rng(3)
+    lon, lat, x, y, value = (rng.random(m) for m in (6, 5, 40, 40, 40))
+    total, weight = surface.weighted_sums(lon, lat, x, y, value, 2.0)
+    want_total, want_weight = np.zeros((5, 6)), np.zeros((5, 6))
+    for k in range(40):
+        w = (lon - x[k]) ** 2 + (lat[:, None] - y[k]) ** 2 + 1e-12
+        want_total, want_weight = want_total + value[k] / w, want_weight + 1.0 / w
+    assert (total == want_total).all() and (weight == want_weight).all()
