@@ -217,6 +217,21 @@ def test_rings_found_for_many_stations_at_once_are_those_of_each(spread):
             assert closed and others[want].tolist() == ring.tolist()
 
 
+def test_rings_of_stations_in_clusters_are_found_together():
+    rng = np.random.default_rng(4)
+    centres = np.stack(np.meshgrid(np.arange(12.0), np.arange(12.0)), axis=-1).reshape(-1, 2) + 0.2 * rng.random((144, 2))
+    at = (centres[:, None] + 0.05 * rng.random((144, 8, 2))).reshape(-1, 2)
+    names = np.array([f"s{i:04d}" for i in range(len(at))], dtype=object)
+    candidates = {"px": at[:, 0], "py": at[:, 1], "station_id": names}
+    inner = np.flatnonzero(((at > 2.5) & (at < 9.5)).all(axis=1))
+    rings = delaunay._clear_rings({c: v[inner] for c, v in candidates.items()}, candidates)
+    assert sum(ring is not None for ring in rings) > 0.95 * len(inner)
+    for i, ring in zip(inner[::20], rings[::20], strict=True):
+        others = np.flatnonzero(np.arange(len(at)) != i)
+        want, closed = delaunay.star(at[others, 0] - at[i, 0], at[others, 1] - at[i, 1], names[others], names[i])
+        assert ring is None or (closed and others[want].tolist() == ring.tolist())
+
+
 def test_stations_well_inside_a_star_change_nothing():
     angle = np.arange(6) * np.pi / 3
     rx, ry = np.cos(angle), np.sin(angle)
