@@ -39,3 +39,22 @@ def test_only_straddling_parts_are_opened():
     assert counts[-1] == 2 * (d < 1.0).sum()
     inside = sum(n for k, n in counts.items() if 0 <= k < qt.BINS)
     assert inside == 2 * ((d >= 1.0) & (d < 1.01)).sum()
+
+
+def test_a_refuted_guess_is_given_up(crowded, monkeypatch):
+    want = {r.ts: r.radius for r in gr.radius_at_quantile(crowded, 0.3).collect()}
+    monkeypatch.setattr(qt, "CLOSE", -1e-12)
+    got = {r.ts: r.radius for r in gr.radius_at_quantile(crowded, 0.3, max_block=30).collect()}
+    assert got == {t: pytest.approx(r, abs=1e-9) for t, r in want.items()}
+
+
+def test_two_nodes_give_few_rows_however_many_their_distances():
+    rng = np.random.default_rng(3)
+    a, b = (qt._Parts(rng.random((2000, 3)), rng.integers(1, 3, 2000)) for _ in range(2))
+    row = {"lo": 0.3, "hi": 0.9, "times": 2}
+    found = qt._count(a, b, row)
+    assert len(found["bin"]) <= 4098
+    d = np.sqrt(((a.at[:, None] - b.at) ** 2).sum(axis=2)).ravel()
+    w = np.outer(a.weight[a.weight > 0], b.weight[b.weight > 0]).sum()
+    assert found["n"][found["bin"] < 0].sum() > 0 and found["n"].sum() < 2 * w
+    assert (d > 0.9).any()
