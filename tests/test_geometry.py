@@ -257,3 +257,17 @@ def test_circles_that_leave_the_margin_of_a_tile(spark):
     disc = F.struct("disc_x", "disc_y", "disc_r")
     left = frame.withColumn("_reach", F.lit(1.0)).select(delaunay._leaves_margin(disc).alias("out"))
     assert [r.out for r in left.collect()] == [False, True, False, True, True, True, True]
+
+
+def test_pairs_within_reach_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(gr, "STRIP", 60)
+    rng = np.random.default_rng(4)
+    some = {"station_id": np.array([f"S{i:02d}" for i in range(20)], dtype=object), "alt": rng.random(20),
+            "reach": np.full(20, 0.5), **{axis: rng.random(20) for axis in "xyz"}}
+    pieces = list(gr._reach_block(some, some))
+    assert len(pieces) == 7 and max(len(p["src"]) for p in pieces) <= 60
+    at = np.stack([some[axis] for axis in "xyz"], axis=1)
+    apart = np.sqrt(((at[:, None] - at) ** 2).sum(axis=2))
+    want = {(f"S{i:02d}", f"S{j:02d}") for i, j in np.argwhere(apart <= 0.5) if i != j}
+    got = [pair for p in pieces for pair in zip(p["src"].to_pylist(), p["dst"].to_pylist())]
+    assert set(got) == want and len(got) == len(want)
