@@ -65,3 +65,7 @@ def check(edges, want):
 def test_radius_edges_of_crowded_snapshots(spark, points, groups):
     want = brute(groups, lambda d: np.quantile(d, 0.55) * (1 + 1e-9))
     check(gr.radius_edges(points.filter(F.col("lat").isNotNull()), 0.55, max_block=8), want)
+
+
+def test_radius_km_edges_of_crowded_snapshots(spark, points, groups):
+    check(gr.radius_km_edges(points, 30.0, max_block=100), brute(groups, lambda d: 30.0))
