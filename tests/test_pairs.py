@@ -69,3 +69,7 @@ def test_radius_edges_of_crowded_snapshots(spark, points, groups):
 
 def test_radius_km_edges_of_crowded_snapshots(spark, points, groups):
     check(gr.radius_km_edges(points, 30.0, max_block=100), brute(groups, lambda d: 30.0))
+
+
+def test_radius_km_edges_in_many_tiles(spark, points, groups):
+    check(gr.radius_km_edges(points, 30.0, max_block=4), brute(groups, lambda d: 30.0))
