@@ -15,7 +15,7 @@ from skylattice.operators import blocks, tiles
 from skylattice.operators.delaunay import EDGE_SCHEMA, delaunay_edges
 from skylattice.operators.pairs import pairs_within
 from skylattice.operators.quantile import distance_quantile
-from skylattice.session import materialize
+from skylattice.session import materialize, release
 
 SIGNED = [*EDGE_DIFFS, "bearing_sin", "bearing_cos"]
 ROUND_UP = 1.0 + 1e-9
@@ -199,6 +199,31 @@ def max_alt_filter(edges: DataFrame, km: float = 0.15) -> DataFrame:
     return edges.filter(F.col("alt_diff_km") <= km)
 
 
+#: Slack in km that covers how rounding tells near stations apart in a search on the sphere.
+CHORD_SLACK = 1e-6
+
+
+def _nearest_level(
+    lonely: blocks.Stations, candidates: blocks.Stations, max_km: float, max_alt_km: float
+) -> blocks.Stations:
+    """``dst, alt_diff_km, km`` of the nearest other station within the limits, the first by name of
+    equally near ones, and the straight line to it on the sphere; km is infinite if there is none."""
+    if not len(candidates["lat"]):
+        none = np.full(len(lonely["lat"]), np.inf)
+        return {"dst": np.full(len(none), None, object), "alt_diff_km": none, "km": none, "chord": none}
+    lat1, lon1 = (np.radians(lonely[c])[:, None] for c in ("lat", "lon"))
+    lat2, lon2 = (np.radians(candidates[c])[None, :] for c in ("lat", "lon"))
+    a = (np.sin((lat2 - lat1) / 2) ** 2
+         + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2 + HAVERSINE_EPS)
+    km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
+    gap = np.abs(lonely["alt"][:, None] - candidates["alt"][None, :]) / 1000.0
+    km[~((km <= max_km) & (gap <= max_alt_km)) | blocks.same_station(lonely, candidates)] = np.inf
+    rows, best = np.arange(len(km)), km.argmin(axis=1)
+    out = {"dst": candidates["station_id"][best], "alt_diff_km": gap[rows, best], "km": km[rows, best]}
+    out["chord"] = 2 * EARTH_RADIUS_KM * np.sqrt(np.minimum(a[rows, best], 1.0))
+    return out
+
+
 def rescue_isolated(
     nodes: DataFrame, edges: DataFrame, max_km: float = 80.0, max_alt_km: float = 0.15,
     by: str = "ts", max_block: int = blocks.MAX_BLOCK,
@@ -206,37 +231,58 @@ def rescue_isolated(
     """Edges both ways between each station without an edge and its nearest other station within
     the distance and altitude limits."""
     touched = edges.select(by, F.explode(F.array("src", "dst")).alias("station_id")).distinct()
-    linked = positions(nodes, by).join(
+    linked = positions(nodes, by).drop(*SEARCH_AXES).join(
         touched.withColumn("_linked", F.lit(True)), [by, "station_id"], "left"
     )
     marked = linked.withColumn("isolated", F.col("_linked").isNull()).drop("_linked")
 
+    def best_of(lonely: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        """The nearest candidate of each station, in strips that bound the matrices; no number if none."""
+        step = max(1, STRIP // max(1, len(candidates["lat"])))
+        parts = [_nearest_level(blocks.take(lonely, slice(low, low + step)), candidates, max_km, max_alt_km)
+                 for low in range(0, max(1, len(lonely["lat"])), step)]
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
     def nearest(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
         lonely = blocks.take(queries, queries["isolated"].astype(bool))
-        lat1, lon1 = (np.radians(lonely[c])[:, None] for c in ("lat", "lon"))
-        lat2, lon2 = (np.radians(candidates[c])[None, :] for c in ("lat", "lon"))
-        a = (np.sin((lat2 - lat1) / 2) ** 2
-             + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2 + HAVERSINE_EPS)
-        km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
-        gap = np.abs(lonely["alt"][:, None] - candidates["alt"][None, :]) / 1000.0
-        km[(km > max_km) | (gap > max_alt_km) | blocks.same_station(lonely, candidates)] = np.inf
-        rows = np.flatnonzero(np.isfinite(km).any(axis=1))
-        best = km[rows].argmin(axis=1) if len(rows) else rows
-        return {
-            "src": lonely["station_id"][rows],
-            "dst": candidates["station_id"][best],
-            "alt_diff_km": gap[rows, best],
-            "km": km[rows, best],
-        }
+        best = best_of(lonely, candidates)
+        best["src"] = lonely["station_id"]
+        return blocks.take(best, np.isfinite(best["km"]))
+
+    # the nearest of the own tile bounds the search in others
+    def at_home(queries: blocks.Stations, candidates: blocks.Stations) -> blocks.Stations:
+        lonely = blocks.take(queries, queries["isolated"].astype(bool))
+        best = best_of(lonely, candidates)
+        none = ~np.isfinite(best["km"])
+        best["reach"] = np.where(none, max_km, np.minimum(best.pop("chord"), max_km)) * ROUND_UP + CHORD_SLACK
+        best["km"] = pa.array(best["km"], mask=none)
+        return {**{c: lonely[c] for c in lonely if c != "home"}, "tile": lonely["home"], **best}
 
     def cut(some: DataFrame) -> DataFrame:
-        # a straight line is shorter than the arc but for the altitude between its ends
-        straight = F.lit(max_km + max_alt_km + 0.01)
-        searching = _tiled(some, by, max_block).withColumn(
-            "reach", F.when(F.col("isolated"), straight).otherwise(F.lit(-1.0))
+        # a station without a position has no nearest one, and its box would have no bounds
+        placed = some.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("lat", "lon", "alt")))
+        slim = materialize(_tiled(placed, by, max_block))
+        release(some)
+        on_sphere = to_cartesian("lat", "lon", F.lit(0.0))
+        tiled = slim.withColumns(dict(zip(SEARCH_AXES, on_sphere, strict=True)))
+        fields = ", ".join(f"{c} {k}" for c, k in tiled.dtypes if c != by)
+        lonely = materialize(tiles.search(
+            tiled, None, at_home, f"{fields}, dst string, alt_diff_km double, km double, reach double", by
+        ))
+        # on the sphere without altitude a straight line is shorter than the arc
+        level = [F.min("alt").alias("lo_alt"), F.max("alt").alias("hi_alt")]
+        homes = tiles.boxes(lonely, SEARCH_AXES, F.max("reach").alias("reach"), *level, by=by)
+        pairs = materialize(tiles.tile_pairs(
+            homes, SEARCH_AXES, "reach", by, tiles.boxes(tiled, SEARCH_AXES, *level, by=by),
+            extra={"alt": max_alt_km * 1000.0 * ROUND_UP},
+        ))
+        visitors = tiles.visits(
+            lonely, pairs, SEARCH_AXES, F.col("reach"), by, extra={"alt": max_alt_km * 1000.0 * ROUND_UP}
         )
+        elsewhere = tiles.search(slim, visitors, nearest, PAIR_SCHEMA, by, own=False)
+        own = lonely.filter(F.col("km").isNotNull()).withColumnRenamed("station_id", "src")
         return (
-            _search_within(materialize(searching), nearest, PAIR_SCHEMA, by)
+            own.select(elsewhere.columns).unionByName(elsewhere)
             .groupBy(by, "src")
             .agg(F.min(F.struct("km", "dst", "alt_diff_km")).alias("best"))
             .select(by, "src", "best.dst", "best.alt_diff_km", "best.km")

@@ -73,3 +73,40 @@ def test_radius_km_edges_of_crowded_snapshots(spark, points, groups):
 
 def test_radius_km_edges_in_many_tiles(spark, points, groups):
     check(gr.radius_km_edges(points, 30.0, max_block=4), brute(groups, lambda d: 30.0))
+
+
+def rescued(group, linked, max_km, max_alt_km):
+    """The nearest station within the limits of every station not ``linked``, both ways."""
+    found = set()
+    for _, a, lat, lon, alt in group:
+        best = []
+        for _, b, lat2, lon2, alt2 in group:
+            if a in linked or a == b or lat is None or lat2 is None or abs(alt - alt2) / 1000 > max_alt_km:
+                continue
+            dlat, dlon = np.radians(lat2 - lat) / 2, np.radians(lon2 - lon) / 2
+            h = np.sin(dlat) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat2)) * np.sin(dlon) ** 2 + 1e-8
+            best.append((2 * 6371.0 * np.arcsin(np.sqrt(h)), b))
+        if best and min(best)[0] <= max_km:
+            found |= {(a, min(best)[1]), (min(best)[1], a)}
+    return found
+
+
+@pytest.mark.parametrize("size", [1024, 64, 4])
+def test_rescue_searches_no_farther_than_needed(spark, points, groups, size, monkeypatch):
+    linked = {f"S{i:03d}" for i in range(0, 230, 3)}
+    edges = spark.createDataFrame([(ts, a, a) for ts in HOURS for a in linked], "ts timestamp, src string, dst string")
+    visitors = []
+
+    def counted(*args, _visits=gr.tiles.visits, **kwargs):
+        out = _visits(*args, **kwargs)
+        visitors.append((out.count(), out.select("ts", "station_id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(gr.tiles, "visits", counted)
+    got = gr.rescue_isolated(points, edges, 300.0, 0.05, max_block=size).collect()
+    want = {(ts, *e) for ts, g in groups.items() for e in rescued(g, linked, 300.0, 0.05)}
+    assert len(got) == len(want)
+    assert {(r.ts, r.src, r.dst) for r in got} == want
+    # every tile lies within 300 km of every station, yet few are visited
+    for visits, stations in visitors:
+        assert visits <= 6 * stations
