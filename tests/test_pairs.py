@@ -110,3 +110,48 @@ def test_rescue_searches_no_farther_than_needed(spark, points, groups, size, mon
     # every tile lies within 300 km of every station, yet few are visited
     for visits, stations in visitors:
         assert visits <= 6 * stations
+
+
+def graph_by_operators(nodes, o):
+    """Every edge of a multiscale graph as a row of its own, one operator after the other."""
+    found = gr.delaunay_edges(nodes).unionByName(gr.adaptive_radius_edges(nodes, o.k, o.scale))
+    found = gr.max_alt_filter(found.unionByName(gr.radius_edges(nodes, o.multiscale_quantile)), o.max_alt_km)
+    base = found.groupBy("ts", "src", "dst").agg(F.count(F.lit(1)).alias("multiplicity"), F.first("alt_diff_km").alias("alt_diff_km"))
+    saved = gr.rescue_isolated(nodes, base, o.rescue_km, o.max_alt_km).withColumn("multiplicity", F.lit(1).cast("long"))
+    plain = base.withColumn("rescued", F.lit(False)).unionByName(saved.withColumn("rescued", F.lit(True)))
+    both = gr.reverse_edges(gr.edge_attributes(plain, nodes, cartesian=o.cartesian)).filter("NOT (flipped AND rescued)")
+    return gr.edge_weight(gr.coalesce_edges(gr.drop_self_loops(both), o.coalesce))
+
+
+@pytest.mark.parametrize("options", [
+    {"coalesce": "sum"}, {"coalesce": "first", "max_block": 40, "cartesian": True}])
+def test_wide_edges_of_a_graph_are_not_stored(spark, options, monkeypatch):
+    rows = [(*r, float(i % 7), float(i % 11)) for i, r in enumerate(crowd(HOURS[0], 90, 5)[15:-1])]
+    # one station too high for any edge, one for any but a rescue
+    rows += [(HOURS[0], "T1", 40.5, 1.5, 5000.0, 1.0, 1.0), (HOURS[0], "T2", 43.9, 6.9, 5100.0, 1.0, 2.0)]
+    nodes = spark.createDataFrame(rows, SCHEMA + ", u double, v double").withColumns(
+        {"alt_norm": F.col("alt") / 100.0, **{c: F.col("u") * i + F.col("v")
+                                             for i, c in enumerate(dict.fromkeys(gr.EDGE_DIFFS.values()))}})
+    o = gr.GraphOptions(multiscale_quantile=0.55, rescue_km=900.0, **options)
+    stored = []
+
+    def counted(df, _materialize=gr.materialize):
+        out = _materialize(df)
+        if "multiplicity" in out.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(gr, "materialize", counted)
+    graph = gr.build_graph(nodes, o)
+    key = lambda r: (r.src, r.dst)
+    got, most = sorted(graph.edges.collect(), key=key), max(stored)
+    want = sorted(graph_by_operators(nodes, o).collect(), key=key)
+    assert [key(r) for r in got] == [key(r) for r in want]
+    assert {"T1", "T2"} <= {r.src for r in got}
+    for a, b in zip(got, want):
+        assert a.multiplicity == b.multiplicity
+        assert [a[c] for c in (*gr.EDGE_ATTRIBUTES, "weight")] == pytest.approx(
+            [b[c] for c in (*gr.EDGE_ATTRIBUTES, "weight")], abs=1e-9)
+    # what is stored is a few edges a station, the rest of the pairs is worked out when read
+    assert most < len(want) * 0.7
+    assert graph.meta.collect()[0].edges == len(want) // 2
